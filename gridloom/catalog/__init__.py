@@ -5,9 +5,14 @@ from __future__ import annotations
 from gridloom.catalog.base import ORACLES, QUERIES
 
 from gridloom.catalog import (  # noqa: F401  (importing registers the queries)
+    aggregates,
     grids,
     indexing,
+    joins,
     masking,
+    patching,
+    sampling,
+    temporal,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

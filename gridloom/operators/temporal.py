@@ -166,3 +166,22 @@ def frame_delta(
 def time_index(df: DataFrame, year: str, first_year: Column | int, out: str = "t") -> DataFrame:
     first = F.lit(first_year) if isinstance(first_year, int) else first_year
     return df.withColumn(out, (F.col(year) - first).cast("int"))
+
+
+def windows_with_labels(
+    samples: DataFrame, cube: DataFrame, labels: DataFrame, place: str, pixel: list[str],
+    bands: list[str], label: str, time: str = "t",
+) -> DataFrame:
+    """Sample list with the two imagery steps ``t-1, t`` per pixel and the label at ``t-1``.
+
+    The list expands to the steps it asks for, so all three tables meet on equality keys.
+    """
+    steps = samples.withColumn("step_", F.explode(F.array(F.col(time) - 1, F.col(time))))
+    imagery = cube.select(place, *pixel, F.col(time).alias("step_"), *bands)
+    joined = steps.join(imagery, [place, "step_"]).withColumn("label_step_", F.col(time) - 1)
+    target = labels.select(*pixel, F.col(time).alias("label_step_"), label)
+    return (
+        joined.join(target, [*pixel, "label_step_"], "left")
+        .withColumn("k", (F.col("step_") - F.col(time) + 1).cast("int"))
+        .drop("step_", "label_step_")
+    )
