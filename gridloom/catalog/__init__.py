@@ -10,9 +10,12 @@ from gridloom.catalog import (  # noqa: F401  (importing registers the queries)
     indexing,
     joins,
     masking,
+    modelling,
     patching,
     sampling,
+    storage,
     temporal,
+    vectors,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,9 +6,8 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-RING = "array<struct<x:double,y:double>>"
 POLYGON = "type string, coordinates array<array<array<double>>>"
 
 
@@ -19,7 +18,7 @@ def read_features(spark: SparkSession, path: str, geometry: str = "ring") -> Dat
     if kind == "string":
         return df.withColumn("ring", ring_from_geojson(F.col(geometry)))
     if kind == "binary":
-        return df.withColumn("ring", ring_from_wkb(F.col(geometry)))
+        return df.transform(lambda d: with_wkb_ring(d, geometry))
     return df.withColumnRenamed(geometry, "ring")
 
 
@@ -46,16 +45,29 @@ def ring_from_geojson(text: Column) -> Column:
     return _ring(F.from_json(text, POLYGON)["coordinates"])
 
 
-def _decode(wkb: bytes) -> list[dict]:
+def _vertices(wkb: bytes) -> np.ndarray | None:
+    """Outer ring of a two-dimensional polygon as ``x0, y0, x1, y1, ...``."""
     order = "<" if wkb[0] == 1 else ">"
     kind, rings, n = struct.unpack_from(order + "III", wkb, 1)
     if kind & 0xFF != 3 or rings == 0:
-        return []
-    points = np.frombuffer(wkb, dtype=order + "f8", count=2 * n, offset=13).reshape(n, 2)
-    return [{"x": float(x), "y": float(y)} for x, y in points]
+        return None
+    return np.frombuffer(wkb, dtype=order + "f8", count=2 * n, offset=13).astype("f8")
 
 
-@F.pandas_udf(RING)
-def ring_from_wkb(wkb: pd.Series) -> pd.Series:
-    """Outer ring of a two-dimensional WKB polygon; Spark reads WKB but exposes no vertices."""
-    return wkb.map(lambda b: None if b is None else _decode(bytes(b)))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _wkb_vertices(wkb: pd.Series) -> pd.Series:
+    return wkb.map(lambda b: None if b is None else _vertices(bytes(b)))
+
+
+def with_wkb_ring(df: DataFrame, geometry: str) -> DataFrame:
+    """Add the outer ring of a WKB polygon column.
+
+    Spark stores WKB but exposes no vertices, so the bytes are read in Arrow batches; the
+    ring itself is built by expressions.
+    """
+    index = F.sequence(F.lit(0), F.size("flat_") - 2, F.lit(2))
+    ring = F.transform(
+        F.when(F.size("flat_") >= 2, index),
+        lambda k: F.struct(F.get("flat_", k).alias("x"), F.get("flat_", k + 1).alias("y")),
+    )
+    return df.withColumn("flat_", _wkb_vertices(F.col(geometry))).withColumn("ring", ring).drop("flat_")
