@@ -99,6 +99,22 @@ def contains_point(edge_list: Column, px: Column, py: Column) -> Column:
     return F.size(F.filter(edge_list, crosses)) % 2 == 1
 
 
+def row_crossings(edge_list: Column, py: Column) -> Column:
+    """Sorted x positions where a horizontal line crosses the polygon.
+
+    A point is inside between the first and second crossing, the third and fourth, and so
+    on, closed on the left and open on the right: the rule of :func:`contains_point`.  Each
+    edge is evaluated from its lower end, so polygons sharing an edge agree on it exactly.
+    """
+    def position(e: Column) -> Column:
+        upward = e["ax"] + (py - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])
+        downward = e["bx"] + (py - e["by"]) * (e["ax"] - e["bx"]) / (e["ay"] - e["by"])
+        return F.when(e["by"] > e["ay"], upward).otherwise(downward)
+
+    spanning = F.filter(edge_list, lambda e: (e["ay"] > py) != (e["by"] > py))
+    return F.array_sort(F.transform(spanning, position))
+
+
 def boxes_touch(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Closed box overlap: boxes that only share a border count."""
     return (
@@ -118,20 +134,18 @@ def touches_box(
     edge normal), or the polygon swallows the box whole.
     """
 
+    cx, cy = (minx + maxx) / 2, (miny + maxy) / 2
+    hx, hy = (maxx - minx) / 2, (maxy - miny) / 2
+
     def edge_meets(e: Column) -> Column:
         dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-
-        def side(x: Column, y: Column) -> Column:
-            return dx * (y - e["ay"]) - dy * (x - e["ax"])
-
-        corners = [side(x, y) for x in (minx, maxx) for y in (miny, maxy)]
+        offset = dx * (cy - e["ay"]) - dy * (cx - e["ax"])
         return (
             (F.least(e["ax"], e["bx"]) <= maxx)
             & (F.greatest(e["ax"], e["bx"]) >= minx)
             & (F.least(e["ay"], e["by"]) <= maxy)
             & (F.greatest(e["ay"], e["by"]) >= miny)
-            & (F.least(*corners) <= 0)
-            & (F.greatest(*corners) >= 0)
+            & (F.abs(offset) <= F.abs(dx) * hy + F.abs(dy) * hx)
         )
 
     return F.exists(edge_list, edge_meets) | contains_point(edge_list, minx, miny)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridloom.operators.ranks import exact_median, top_row
+from gridloom.operators.ranks import exact_median, hot_groups, top_row
 
 # Fixed value: the first day the archive can serve.
 FIRST_AVAILABLE = date(1984, 3, 16)
 
+SALTS = 64  # pieces a group above the hot limit is cut into
+
 
 def median_composite(
     observations: DataFrame, keys: list[str], bands: list[str], n_col: str | None = None,
@@ -27,24 +29,42 @@ def medoid_composite(
     """The real observation closest to the per-band median, by squared distance.
 
     ``tie_break`` orders equally close observations; it must be a total order over the
-    columns kept.  The medians are one row per group, so a skewed group splits in the join
-    (adaptive skew handling) and the pick combines on the map side.
+    columns kept.  Ordinary groups are shuffled once: the medians are a window over the
+    group, and the pick runs on the same partitioning.  Groups above ``hot_rows`` rows never
+    sit in one task: their medians come from a global sort and meet the rows in a join that
+    splits, and the pick combines on the map side.
     """
-    medians = exact_median(observations, keys, bands, hot_rows=hot_rows)
-    renamed = medians.select(*keys, *[F.col(b).alias(f"med_{b}") for b in bands])
-    distance = sum(
-        (
-            F.coalesce(F.pow(F.col(b) - F.col(f"med_{b}"), F.lit(2.0)), F.lit(0.0))
-            for b in bands
-        ),
-        F.lit(0.0),
+    hot = hot_groups(observations, keys, hot_rows)
+    ordinary = observations
+    if hot is not None:
+        ordinary = observations.join(hot.select(*keys), keys, "left_anti")
+    group = W.partitionBy(*keys)
+    medians = {f"med_{b}": F.median(b).over(group) for b in bands}
+    picked = _closest(ordinary.withColumns(medians), keys, bands, tie_break)
+    if hot is None:
+        return picked
+    crowded = observations.join(hot.select(*keys), keys, "left_semi")
+    medians = exact_median(crowded, keys, bands, hot_rows=hot_rows).select(
+        *keys, *[F.col(b).alias(f"med_{b}") for b in bands]
+    )
+    # few groups with very many rows: salt both sides so that one group spreads over tasks
+    salt = F.pmod(F.xxhash64(*tie_break), F.lit(SALTS)).cast("int")
+    salted = crowded.withColumn("salt_", salt).join(
+        medians.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
+        [*keys, "salt_"],
     )
+    return picked.unionByName(_closest(salted.drop("salt_"), keys, bands, tie_break))
+
+
+def _closest(df: DataFrame, keys: list[str], bands: list[str], tie_break: list[str]) -> DataFrame:
+    squares = [
+        F.coalesce(F.pow(F.col(b) - F.col(f"med_{b}"), F.lit(2.0)), F.lit(0.0)) for b in bands
+    ]
     # rounding keeps ties that differ only in the last bit of the sum as ties
-    scored = observations.join(renamed, keys).withColumn("distance_", F.round(distance, 9))
+    scored = df.withColumn("distance_", F.round(sum(squares, F.lit(0.0)), 9))
     scored = scored.drop(*[f"med_{b}" for b in bands])
-    return top_row(scored, keys, [("distance_", "asc"), *[(c, "asc") for c in tie_break]]).drop(
-        "distance_"
-    )
+    order = [("distance_", "asc"), *[(c, "asc") for c in tie_break]]
+    return top_row(scored, keys, order).drop("distance_")
 
 
 def month_starts(start: date, end: date) -> list[tuple[date, date]]:

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions import rings
 from gridloom.operators.grid import densify, with_axis
-from gridloom.operators.ranks import dimension
+from gridloom.session import balance
+
+WORD = 62  # planes kept in one 64-bit word
 
 
 def with_geometry(features: DataFrame, ring: str = "ring") -> DataFrame:
@@ -40,9 +42,17 @@ def polygon_cells(
     rows = _touched(F.col("top_") - F.col("maxy"), F.col("top_") - F.col("miny"), gy)
     cols = _touched(F.col("minx") - F.col("left_"), F.col("maxx") - F.col("left_"), gx)
     cells = placed.withColumn("r", F.explode(rows)).withColumn("c", F.explode(cols))
-    top = F.col("top_") - F.col("r") * gy
-    left = F.col("left_") + F.col("c") * gx
-    hit = rings.touches_box(F.col("edges"), left, top - gy, left + gx, top)
+    # corners as columns: the edge test below mentions them many times
+    cells = cells.withColumn("top_", F.col("top_") - F.col("r") * gy).withColumn(
+        "left_", F.col("left_") + F.col("c") * gx
+    )
+    top, left = F.col("top_"), F.col("left_")
+    # a polygon within one cell meets it; only the others need the edge test
+    within = (
+        (F.col("minx") >= left) & (F.col("maxx") <= left + gx)
+        & (F.col("maxy") <= top) & (F.col("miny") >= top - gy)
+    )
+    hit = within | rings.touches_box(F.col("edges"), left, top - gy, left + gx, top)
     return cells.where(hit).drop("left_", "top_")
 
 
@@ -102,18 +112,20 @@ def burned_pixels(
     by: list[str],
     tile: int = 256,
     extent: tuple[int, int] | None = None,
+    distinct: bool = True,
 ) -> DataFrame:
     """Distinct ``(*by, yi, xi)`` whose pixel centre lies inside a polygon.
 
-    A polygon is cut along the tile grid first and the pieces are spread over the cluster,
-    so neither one huge polygon nor one crowded tile is expanded in a single task.
+    A polygon is cut along the tile grid first and the pieces are dealt evenly over the
+    cluster, so neither one huge polygon nor one crowded tile is expanded in a single task.
+    ``distinct=False`` leaves repeats in for a caller that merges them itself.
     ``extent`` is ``(height, width)`` of the raster; pixels outside it are never made.
     """
     s = float(scale)
     span = tile * s
     left, top = F.lit(float(minx)), F.lit(float(maxy))
-    pieces = polygon_cells(features, left, top, span, span)
-    pieces = pieces.repartition("r", "c", *by, "minx", "maxy")
+    wanted = features.select(*by, "minx", "miny", "maxx", "maxy", "edges")
+    pieces = balance(polygon_cells(wanted, left, top, span, span))
     # pixel centres sit half a pixel inside the corner labels
     y_lo = F.greatest(
         F.ceil((top - F.col("maxy")) / s - 0.5).cast("int"), F.col("r") * tile, F.lit(0)
@@ -121,30 +133,26 @@ def burned_pixels(
     y_hi = F.least(
         F.floor((top - F.col("miny")) / s - 0.5).cast("int"), F.col("r") * tile + tile - 1
     )
-    x_lo = F.greatest(
-        F.ceil((F.col("minx") - left) / s - 0.5).cast("int"), F.col("c") * tile, F.lit(0)
-    )
-    x_hi = F.least(
-        F.floor((F.col("maxx") - left) / s - 0.5).cast("int"), F.col("c") * tile + tile - 1
-    )
+    first, last = F.col("c") * tile, F.col("c") * tile + tile - 1
     if extent is not None:
-        y_hi, x_hi = F.least(y_hi, F.lit(extent[0] - 1)), F.least(x_hi, F.lit(extent[1] - 1))
-    pixels = (
-        pieces.withColumn("yi", F.explode(F.when(y_lo <= y_hi, F.sequence(y_lo, y_hi))))
-        .withColumn("xi", F.explode(F.when(x_lo <= x_hi, F.sequence(x_lo, x_hi))))
+        y_hi = F.least(y_hi, F.lit(extent[0] - 1))
+        last = F.least(last, F.lit(extent[1] - 1))
+    rows = pieces.withColumn("yi", F.explode(F.when(y_lo <= y_hi, F.sequence(y_lo, y_hi))))
+    # one crossing test per row, not per pixel: runs of pixels between pairs of crossings
+    crossings = rings.row_crossings(F.col("edges"), top - (F.col("yi") + 0.5) * s)
+    rows = rows.select(*by, "yi", first.alias("first_"), last.alias("last_"), crossings.alias("x_"))
+    runs = rows.withColumn(
+        "k_", F.explode(F.when(F.size("x_") >= 2, F.sequence(F.lit(0), F.size("x_") - 2, F.lit(2))))
     )
-    px = left + (F.col("xi") + 0.5) * s
-    py = top - (F.col("yi") + 0.5) * s
-    inside = pixels.where(rings.contains_point(F.col("edges"), px, py))
-    return inside.select(*by, "yi", "xi").distinct()
 
+    def pixel_at(x: Column) -> Column:
+        return F.ceil((x - left) / s - 0.5).cast("int")
 
-def pixel_feature_pairs(
-    features: DataFrame, minx: float, maxy: float, scale: float, carry: list[str],
-    tile: int = 256,
-) -> DataFrame:
-    """(pixel, polygon) pairs, one per polygon a pixel centre lies in."""
-    return burned_pixels(features, minx, maxy, scale, carry, tile)
+    x_lo = F.greatest(pixel_at(F.get("x_", F.col("k_"))), F.col("first_"), F.lit(0))
+    x_hi = F.least(pixel_at(F.get("x_", F.col("k_") + 1)) - 1, F.col("last_"))
+    inside = runs.withColumn("xi", F.explode(F.when(x_lo <= x_hi, F.sequence(x_lo, x_hi))))
+    pixels = inside.select(*by, "yi", "xi")
+    return pixels.distinct() if distinct else pixels
 
 
 def rasterise(
@@ -175,23 +183,44 @@ def label_cube(
     """One 0/1 plane per (label, date) over the skeleton pixels.
 
     Bands follow the sorted labels and times the sorted dates; a combination without
-    polygons is a plane of zeros.
+    polygons is a plane of zeros.  Planes are numbered and kept as bits of a word per pixel,
+    so the polygons merge into one number per pixel on the map side, the skeleton meets them
+    once per pixel and not once per plane, and the planes are unfolded after the join.
     """
-    labels = dimension(features, label_column, "band")
-    dates = dimension(features, date_column, "t")
-    burned = burned_pixels(features, minx, maxy, scale, [label_column, date_column], tile)
-    burned = (
-        burned.join(labels, label_column)
-        .join(dates, date_column)
-        .select("band", "t", "yi", "xi", F.lit(1.0).alias("value"))
+    def members(column: str) -> Column:
+        return features.agg(F.sort_array(F.collect_set(column))).scalar()
+
+    dims = F.struct(members(label_column).alias("labels"), members(date_column).alias("dates"))
+    burned = burned_pixels(
+        features, minx, maxy, scale, [label_column, date_column], tile, distinct=False
+    ).withColumn("d_", dims)
+    band = F.array_position("d_.labels", F.col(label_column)) - 1
+    step = F.array_position("d_.dates", F.col(date_column)) - 1
+    plane = band * F.size("d_.dates") + step
+    words = (
+        burned.select("yi", "xi", plane.cast("int").alias("plane_"))
+        .select(
+            "yi", "xi", F.floor(F.col("plane_") / WORD).cast("int").alias("word_"),
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("plane_") % WORD).alias("bit_"),
+        )
+        .groupBy("yi", "xi", "word_")
+        .agg(F.bit_or("bit_").alias("bits_"))
+    )
+    frame = skeleton.withColumn("d_", dims).withColumn("n_t", F.size("d_.dates"))
+    frame = frame.withColumn("n_", F.size("d_.labels") * F.col("n_t")).drop("d_")
+    last = F.floor((F.col("n_") - 1) / WORD).cast("int")
+    frame = frame.withColumn("word_", F.explode(F.when(F.col("n_") > 0, F.sequence(F.lit(0), last))))
+    joined = frame.join(words, ["yi", "xi", "word_"], "left")
+    upto = F.least(F.lit(WORD - 1), F.col("n_") - 1 - F.col("word_") * WORD)
+    planes = joined.withColumn("k_", F.explode(F.sequence(F.lit(0), upto)))
+    number = F.col("word_") * WORD + F.col("k_")
+    lit = F.call_function("getbit", F.coalesce("bits_", F.lit(0).cast("bigint")), F.col("k_"))
+    return planes.select(
+        *skeleton.columns,
+        F.floor(number / F.col("n_t")).cast("int").alias("band"),
+        F.pmod(number, F.col("n_t")).cast("int").alias("t"),
+        lit.cast("double").alias("value"),
     )
-
-    def positions(dim: DataFrame, index: str) -> Column:
-        return F.sequence(F.lit(0), dim.agg(F.max(index)).scalar())
-
-    planes = with_axis(skeleton, positions(labels, "band"), "band")
-    planes = with_axis(planes, positions(dates, "t"), "t")
-    return densify(planes, burned, ["band", "t", "yi", "xi"], {"value": 0.0})
 
 
 def scene_fraction(scenes: DataFrame, aoi: dict[str, float]) -> DataFrame:

@@ -25,6 +25,18 @@ def top_row(df: DataFrame, keys: list[str], order: list[tuple[str, str]]) -> Dat
     return best.select(*keys, "best_.*")
 
 
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame | None:
+    """Keys of groups above ``hot_rows`` rows with their ``size_``, or ``None`` without any.
+
+    The probe reads only the key columns and counts on the map side.
+    """
+    if hot_rows is None:
+        return None
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size_"))
+    hot = sizes.where(F.col("size_") > hot_rows)
+    return None if hot.isEmpty() else cut(hot)
+
+
 def exact_median(
     df: DataFrame,
     keys: list[str],
@@ -36,8 +48,8 @@ def exact_median(
 
     Ordinary groups use the built-in aggregate.  Groups above ``hot_rows`` rows would hold
     all their values in one task's memory, so they are ranked by a global sort instead.
-    The probe for them reads only the key columns; ``hot_rows=None`` skips it where the
-    group size is known to be small.  Key columns must not be NULL.
+    ``hot_rows=None`` skips the probe where the group size is known to be small.  Key
+    columns must not be NULL.
     """
 
     def plain(part: DataFrame) -> DataFrame:
@@ -46,13 +58,9 @@ def exact_median(
             aggs.insert(0, F.count(F.lit(1)).alias(n_col))
         return part.groupBy(*keys).agg(*aggs)
 
-    if hot_rows is None:
-        return plain(df)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size_"))
-    hot = sizes.where(F.col("size_") > hot_rows)
-    if hot.isEmpty():
+    hot = hot_groups(df, keys, hot_rows)
+    if hot is None:
         return plain(df)
-    hot = cut(hot)
     cold = plain(df.join(hot.select(*keys), keys, "left_anti"))
     ranked = _median_by_sort(df.join(hot.select(*keys), keys, "left_semi"), keys, values)
     if n_col:

@@ -68,3 +68,12 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *cols)
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Deal rows evenly over all tasks, whatever their keys.
+
+    For rows that need no company but are about to be expanded: neither a crowded tile nor
+    a run of copies ends up in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
