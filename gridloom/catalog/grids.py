@@ -110,13 +110,13 @@ def g9(i):
 @query(
     "g10_utm_zone",
     """
-SELECT o_orderkey, CASE WHEN lat > 0 THEN 'EPSG:326' ELSE 'EPSG:327' END || CAST(CASE
+SELECT o_orderkey, CASE WHEN lat > 0 THEN 'EPSG:326' ELSE 'EPSG:327' END || lpad(CAST(CASE
     WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32
-    WHEN lat >= 72 AND lat < 84 AND lon >= 0 AND lon < 9 THEN 31
-    WHEN lat >= 72 AND lat < 84 AND lon >= 9 AND lon < 21 THEN 33
-    WHEN lat >= 72 AND lat < 84 AND lon >= 21 AND lon < 33 THEN 35
-    WHEN lat >= 72 AND lat < 84 AND lon >= 33 AND lon < 42 THEN 37
-    ELSE CAST(floor((lon + 180e0) / 6e0) AS INT) % 60 + 1 END AS VARCHAR) AS epsg
+    WHEN lat >= 72 AND lat <= 84 AND lon >= 0 AND lon < 9 THEN 31
+    WHEN lat >= 72 AND lat <= 84 AND lon >= 9 AND lon < 21 THEN 33
+    WHEN lat >= 72 AND lat <= 84 AND lon >= 21 AND lon < 33 THEN 35
+    WHEN lat >= 72 AND lat <= 84 AND lon >= 33 AND lon < 42 THEN 37
+    ELSE CAST(floor((lon + 180e0) / 6e0) AS INT) % 60 + 1 END AS VARCHAR), 2, '0') AS epsg
 FROM (SELECT o_orderkey, (o_orderkey * 7) % 3600 / 10e0 - 180e0 AS lon,
              (o_custkey * 11) % 1640 / 10e0 - 80e0 AS lat FROM {orders})""",
 )

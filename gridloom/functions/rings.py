@@ -160,7 +160,7 @@ def box_overlap_area(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """EPSG code of the UTM zone of a lon/lat point, with the Norway and Svalbard exceptions."""
     plain = (F.floor((lon + 180) / 6) % 60 + 1).cast("int")
-    svalbard = (lat >= 72) & (lat < 84) & (lon >= 0) & (lon < 42)
+    svalbard = (lat >= 72) & (lat <= 84) & (lon >= 0) & (lon < 42)
     zone = (
         F.when((lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12), F.lit(32))
         .when(svalbard & (lon < 9), F.lit(31))
@@ -169,4 +169,7 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
         .when(svalbard, F.lit(37))
         .otherwise(plain)
     )
-    return F.concat(F.when(lat > 0, F.lit("EPSG:326")).otherwise(F.lit("EPSG:327")), zone.cast("string"))
+    return F.concat(
+        F.when(lat > 0, F.lit("EPSG:326")).otherwise(F.lit("EPSG:327")),
+        F.lpad(zone.cast("string"), 2, "0"),
+    )
