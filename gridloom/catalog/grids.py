@@ -9,6 +9,7 @@ from gridloom.catalog.base import (
 )
 from gridloom.functions import rings
 from gridloom.operators import grid, patches, polygons
+from gridloom.operators.ranks import lookup_join
 
 
 def chunks_of(i):
@@ -136,7 +137,7 @@ WHERE yi >= y0 AND yi < y0 + 11 AND xi >= 14 AND xi < 14 + 11""",
 )
 def g11(i):
     heights = i.rasters.groupBy("img").agg((F.max("yi") + 1).alias("h_"))
-    images = i.rasters.join(heights, "img")
+    images = lookup_join(i.rasters, heights, ["img"])
     return grid.centre_clip(images, F.col("h_"), WIDTH, 11).select("img", "yi", "xi", "pred")
 
 

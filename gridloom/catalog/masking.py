@@ -8,7 +8,7 @@ from gridloom.catalog.base import BANDS, CHUNKS, G, MAXY, query, r6, rounded, s6
 from gridloom.catalog.grids import chunks_of
 from gridloom.functions import indices, vectors
 from gridloom.operators import composites, masks, pairs, polygons
-from gridloom.operators.ranks import dimension
+from gridloom.operators.sampling import class_filter
 from gridloom.sources import cubes
 
 def day():
@@ -255,8 +255,7 @@ def p14(i):
          WHERE k IN (0, 2))""",
 )
 def p15(i):
-    wanted = dimension(i.features, "label", "band").where(F.col("band").isin(0, 2))
-    return i.features.join(wanted, "label", "left_semi").select("fid", "label")
+    return class_filter(i.features, "label", [0, 2]).select("fid", "label")
 
 
 YEARS = list(range(1995, 2002))
@@ -275,6 +274,18 @@ def p16(i):
     return rounded(wide, *[c for c in wide.columns if c not in ("yi", "xi")])
 
 
+@query(
+    "p16_month_band_names",
+    f"""SELECT yi, xi, concat_ws('_', yr, lpad(CAST(month(acquired) AS VARCHAR), 2, '0'), k.b) AS name,
+               {s6("median(CASE k.b WHEN 'b4' THEN b4 ELSE b5 END)")} AS value
+        FROM {{observations}}, (VALUES ('b4'), ('b5')) k(b) GROUP BY 1, 2, 3""",
+)
+def p16b(i):
+    monthly = i.observations.withColumn("month", F.month("acquired"))
+    out = composites.median_composite(monthly, ["yi", "xi", "yr", "month"], ["b4", "b5"])
+    return rounded(composites.long_names(out, ["yi", "xi"], ["yr", "month"], ["b4", "b5"]), "value")
+
+
 @query("p17_cast_on_write", "SELECT scene_id, yi, xi, CAST(b1 AS FLOAT) AS b1 FROM {observations}")
 def p17(i):
     return cubes.as_float(i.observations.select("scene_id", "yi", "xi", "b1"), ["b1"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.catalog.base import CHUNKS, CHUNK, G, SCALE, WIDTH, query, r6, rounded, s6
 from gridloom.catalog.grids import chunks_of
 from gridloom.operators import sampling, temporal
+from gridloom.operators.ranks import lookup_join
 
 
 def drawn(keys: str, seed: int, n: int, epoch: int = 0) -> str:
@@ -162,5 +163,5 @@ def q8(i):
 )
 def q10(i):
     heights = i.rasters.groupBy("img").agg((F.max("yi") + 1).alias("h_"))
-    images = i.rasters.join(heights, "img")
+    images = lookup_join(i.rasters, heights, ["img"])
     return sampling.patch_corners(images, F.col("h_"), WIDTH, 5).select("img", "yi", "xi")

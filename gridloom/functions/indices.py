@@ -76,10 +76,12 @@ def focal(x: Column, target: Column, alpha: float = 0.25, gamma: float = 2.0) ->
 
 def cross_entropy(
     logits: Column, target: Column, num_classes: int, label_smoothing: float = 0.0,
-    weights: list[float] | None = None,
+    weights: list[float] | None = None, ignore_index: int = -100,
 ) -> Column:
     """Cross-entropy of one pixel from an array of logits and a class index.
 
+    A pixel of the ignored class has no loss (NULL), so means and sums pass over it.
+
     Smoothing spreads ``label_smoothing / num_classes`` over all classes.  With class
     weights the value is the weighted loss; the mean then divides by the target weights.
     """
@@ -95,4 +97,4 @@ def cross_entropy(
         for k, wk in enumerate(per_class):
             smooth = smooth + F.lit(float(wk)) * (log_z - F.get(logits, F.lit(k)))
         loss = (1 - label_smoothing) * loss + (label_smoothing / num_classes) * smooth
-    return loss
+    return F.when(target != ignore_index, loss)

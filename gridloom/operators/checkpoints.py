@@ -48,4 +48,4 @@ def tile_progress(expected: DataFrame, written: DataFrame, keys: list[str]) -> D
 
 
 def missing_tiles(expected: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
-    return expected.join(written.select(*keys).distinct(), keys, "left_anti")
+    return expected.join(written.select(*keys), keys, "left_anti")

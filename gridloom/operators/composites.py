@@ -6,7 +6,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridloom.operators.ranks import exact_median, hot_groups, top_row
+from gridloom.operators.ranks import HOT_ROWS, exact_median, hot_groups, top_row
 
 # Fixed value: the first day the archive can serve.
 FIRST_AVAILABLE = date(1984, 3, 16)
@@ -16,7 +16,7 @@ SALTS = 64  # pieces a group above the hot limit is cut into
 
 def median_composite(
     observations: DataFrame, keys: list[str], bands: list[str], n_col: str | None = None,
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Median of each band over the observations of a (pixel, period)."""
     return exact_median(observations, keys, bands, n_col=n_col, hot_rows=hot_rows)
@@ -24,7 +24,7 @@ def median_composite(
 
 def medoid_composite(
     observations: DataFrame, keys: list[str], bands: list[str], tie_break: list[str],
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """The real observation closest to the per-band median, by squared distance.
 
@@ -189,6 +189,18 @@ def stack_periods(
     return composite.groupBy(*pixel).pivot(period, periods).agg(*aggs)
 
 
+def long_names(df: DataFrame, pixel: list[str], period: list[str], bands: list[str]) -> DataFrame:
+    """One row per output band, named ``<year>_<band>`` or ``<year>_<month>_<band>``."""
+    parts = [F.lpad(F.col(p).cast("string"), 2, "0") if p == "month" else F.col(p).cast("string") for p in period]
+    named = F.array(
+        *[
+            F.struct(F.concat_ws("_", *parts, F.lit(b)).alias("name"), F.col(b).alias("value"))
+            for b in bands
+        ]
+    )
+    return df.select(*pixel, F.inline(named))
+
+
 def add_bands(base: DataFrame, other: DataFrame, pixel: list[str]) -> DataFrame:
     """Stack another raster's bands on the pixels of the first."""
     return base.join(other, pixel, "left")

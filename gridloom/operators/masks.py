@@ -45,8 +45,12 @@ def scan_scenes(
 
 
 def exclude(df: DataFrame, unwanted: DataFrame, key: str) -> DataFrame:
-    """Drop the listed scenes."""
-    return df.join(unwanted.select(key).distinct(), key, "left_anti")
+    """Drop the listed scenes.
+
+    The list is joined as it is: an anti join does not mind repeats, and a plain shuffle on
+    both sides lets a scene with very many pixels be split.
+    """
+    return df.join(unwanted.select(key), key, "left_anti")
 
 
 def mask_flags(qa: Column, labels: list[str]) -> dict[str, Column]:

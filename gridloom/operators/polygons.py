@@ -190,13 +190,13 @@ def label_cube(
     def members(column: str) -> Column:
         return features.agg(F.sort_array(F.collect_set(column))).scalar()
 
-    dims = F.struct(members(label_column).alias("labels"), members(date_column).alias("dates"))
+    labels, dates = members(label_column), members(date_column)
     burned = burned_pixels(
         features, minx, maxy, scale, [label_column, date_column], tile, distinct=False
-    ).withColumn("d_", dims)
-    band = F.array_position("d_.labels", F.col(label_column)) - 1
-    step = F.array_position("d_.dates", F.col(date_column)) - 1
-    plane = band * F.size("d_.dates") + step
+    )
+    band = F.array_position(labels, F.col(label_column)) - 1
+    step = F.array_position(dates, F.col(date_column)) - 1
+    plane = band * F.size(dates) + step
     words = (
         burned.select("yi", "xi", plane.cast("int").alias("plane_"))
         .select(
@@ -206,8 +206,7 @@ def label_cube(
         .groupBy("yi", "xi", "word_")
         .agg(F.bit_or("bit_").alias("bits_"))
     )
-    frame = skeleton.withColumn("d_", dims).withColumn("n_t", F.size("d_.dates"))
-    frame = frame.withColumn("n_", F.size("d_.labels") * F.col("n_t")).drop("d_")
+    frame = skeleton.withColumn("n_t", F.size(dates)).withColumn("n_", F.size(labels) * F.col("n_t"))
     last = F.floor((F.col("n_") - 1) / WORD).cast("int")
     frame = frame.withColumn("word_", F.explode(F.when(F.col("n_") > 0, F.sequence(F.lit(0), last))))
     joined = frame.join(words, ["yi", "xi", "word_"], "left")

@@ -8,6 +8,9 @@ from gridloom.functions.text import draw
 from gridloom.session import cut
 
 
+HOT_ROWS = 200_000  # rows of one group that a single task may hold
+
+
 def top_row(df: DataFrame, keys: list[str], order: list[tuple[str, str]]) -> DataFrame:
     """First row of every group in the given order.
 
@@ -42,21 +45,25 @@ def exact_median(
     keys: list[str],
     values: list[str],
     n_col: str | None = None,
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Exact median of several columns per group.
 
-    Ordinary groups use the built-in aggregate.  Groups above ``hot_rows`` rows would hold
-    all their values in one task's memory, so they are ranked by a global sort instead.
+    Ordinary groups are shuffled once, as plain rows, and the built-in median runs over the
+    group; its partial form would ship a value map per group and cannot shrink distinct
+    values.  Groups above ``hot_rows`` rows would hold all their values in one task's memory,
+    so they are ranked by a global sort instead.
     ``hot_rows=None`` skips the probe where the group size is known to be small.  Key
     columns must not be NULL.
     """
 
     def plain(part: DataFrame) -> DataFrame:
-        aggs = [F.median(v).alias(v) for v in values]
+        group = W.partitionBy(*keys)
+        over = {v: F.median(v).over(group) for v in values}
         if n_col:
-            aggs.insert(0, F.count(F.lit(1)).alias(n_col))
-        return part.groupBy(*keys).agg(*aggs)
+            over[n_col] = F.count(F.lit(1)).over(group)
+        rows = part.select(*keys, *[c.alias(name) for name, c in over.items()])
+        return rows.groupBy(*keys).agg(*[F.first(name).alias(name) for name in over])
 
     hot = hot_groups(df, keys, hot_rows)
     if hot is None:
@@ -113,6 +120,28 @@ def _median_by_sort(df: DataFrame, keys: list[str], values: list[str]) -> DataFr
     return present.join(wide, keys, "left")
 
 
+def lookup_join(
+    rows: DataFrame, table: DataFrame, keys: list[str], share: int = 1000
+) -> DataFrame:
+    """Left join of many rows with a table that has one row per key.
+
+    A key holding more than one part in ``share`` of the rows is one of fewer than ``share``
+    keys, so its table row is broadcast and the rows stay where they are; every other key is
+    small enough to shuffle.  For tables that come out of an aggregation, where adaptive
+    execution cannot split a skewed key.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c_"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    heavy = counts.where(F.col("c_") * share > total).select(*keys)
+    if heavy.isEmpty():
+        return rows.join(table, keys, "left")
+    heavy = cut(heavy)  # fewer than ``share`` rows
+    crowded = table.join(F.broadcast(heavy), keys, "left_semi")
+    first = rows.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(crowded), keys, "left")
+    rest = rows.join(F.broadcast(heavy), keys, "left_anti").join(table, keys, "left")
+    return first.unionByName(rest)
+
+
 def _bucketed(df: DataFrame, keys: list[str], seed: int, epoch: int, digits: int) -> DataFrame:
     digest = draw([F.col(k) for k in keys], seed, epoch)
     return df.withColumn("digest_", digest).withColumn("bucket_", F.substring("digest_", 1, digits))

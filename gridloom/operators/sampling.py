@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.indices import clamp01
 from gridloom.functions.text import draw_int, draw_unit
-from gridloom.operators.ranks import hash_rank, hash_sample
+from gridloom.operators.ranks import hash_rank, hash_sample, lookup_join
 
 
 def epoch_sample(df: DataFrame, keys: list[str], ratio: float, seed: int, epoch: int) -> DataFrame:
@@ -146,7 +146,7 @@ def colour_jitter(
     """Brightness ``clamp(f x)`` then contrast ``clamp(f x + (1 - f) mean)`` per band and step.
 
     ``uniform`` shares the factors over all bands and steps of a sample.  The mean is that of
-    the brightened plane; planes are averaged on the map side and joined back by key.
+    the brightened plane; planes are averaged on the map side and looked up by key.
     """
     planes = [*keys, time] if time else list(keys)
 
@@ -159,7 +159,7 @@ def colour_jitter(
 
     bright = df.withColumns({b: clamp01(F.col(b) * factor(brightness, b, 0)) for b in bands})
     means = bright.groupBy(*planes).agg(*[F.avg(b).alias(f"mean_{b}") for b in bands])
-    joined = bright.join(means, planes)
+    joined = lookup_join(bright, means, planes)
     return joined.withColumns(
         {
             b: clamp01(
@@ -171,6 +171,15 @@ def colour_jitter(
     ).drop(*[f"mean_{b}" for b in bands])
 
 
+def class_filter(df: DataFrame, column: str, positions: list[int]) -> DataFrame:
+    """Keep the classes at the given places of the sorted distinct class list.
+
+    The list itself is one small value, so rows are tested where they are.
+    """
+    classes = df.agg(F.sort_array(F.collect_set(column))).scalar()
+    return df.where((F.array_position(classes, F.col(column)) - 1).isin(positions))
+
+
 def prepend_background(df: DataFrame, pixel: list[str], cls: str, value: str) -> DataFrame:
     """Class 0 is 1 where all classes of a pixel sum to 0; the others move up by one."""
     background = df.groupBy(*pixel).agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.operators.ranks import lookup_join
+
 
 def band_stats(cube: DataFrame, bands: list[str], ddof: int = 0) -> DataFrame:
     """Count, mean and standard deviation per band, NULLs skipped.
@@ -148,7 +150,7 @@ def density(
     cells = field.select(F.inline(corners)).groupBy("gu", "gv").agg(
         *[F.max(F.when(F.col("corner") == k, F.col("w"))).alias(f"f{k}_") for k in range(4)]
     )
-    # one row per cell meets each sample once; a crowded cell is split by the skew-join rule
+    # one row per cell meets each sample once, and a crowded cell is looked up in place
     rows = whitened.select(
         *df.columns, "scale_", fu.alias("fu_"), fv.alias("fv_"),
         gu.cast("bigint").alias("gu"), gv.cast("bigint").alias("gv"),
@@ -158,4 +160,4 @@ def density(
         (1 - a) * (1 - b) * F.col("f0_") + (1 - a) * b * F.col("f1_")
         + a * (1 - b) * F.col("f2_") + a * b * F.col("f3_")
     )
-    return rows.join(cells, ["gu", "gv"]).select(*df.columns, (value * F.col("scale_")).alias(out))
+    return lookup_join(rows, cells, ["gu", "gv"]).select(*df.columns, (value * F.col("scale_")).alias(out))

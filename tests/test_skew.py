@@ -104,3 +104,13 @@ def test_dimension_is_dense(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "v string")
     assert sorted(map(tuple, ranks.dimension(df, "v", "k").collect())) == [("a", 0), ("b", 1)]
     assert ranks.dimension(df.where(F.lit(False)), "v", "k").count() == 0
+
+
+def test_lookup_join_with_heavy_keys(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("k"))
+    table = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for share in (2, 10, 100_000):
+        got = {r.id: r.v for r in ranks.lookup_join(rows, table, ["k"], share).collect()}
+        assert len(got) == 4000
+        for r in rows.collect():
+            assert got[r.id] == (r.k * 2 if r.k < 600 else None)
