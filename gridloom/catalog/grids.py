@@ -10,6 +10,7 @@ from gridloom.catalog.base import (
 from gridloom.functions import rings
 from gridloom.operators import grid, patches, polygons
 from gridloom.operators.ranks import lookup_join
+from gridloom.plans import landcover
 
 
 def chunks_of(i):
@@ -98,9 +99,7 @@ dat AS (SELECT yr, CAST(row_number() OVER (ORDER BY yr) - 1 AS INT) AS t
         FROM (SELECT DISTINCT yr FROM {features}))""",
 )
 def g8(i):
-    return polygons.label_cube(
-        skeleton(i), i.polygons, 0.0, MAXY, SCALE, "label", "yr", tile=16
-    )
+    return landcover.annotate(i.polygons, i.extent, 0.0, MAXY, CHUNK, SCALE, "label", "yr")
 
 
 @query("g9_polygon_area", f"SELECT fid, {s6('w * h / 2e0')} AS area FROM {{features}}")

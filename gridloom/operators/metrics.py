@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridloom.operators.tiling import column_window, drop_halo, row_window, with_halo
 
@@ -148,24 +148,28 @@ def ssim_map(
     tiles = with_halo(
         df.select(*keys, "yi", "xi", *[c.alias(f"{n}_") for n, c in terms.items()]), keys, tile, half
     )
-    weights = [1.0 / size] * size if kernel == "uniform" else gaussian_weights(sigma, size)
-    for window in (row_window, column_window):
-        full = F.count(F.lit(1)).over(window(keys, half, half)) == size
-        tiles = tiles.withColumn("full_", full)
+    weights = gaussian_weights(sigma, size)
+    names = [f"{n}_" for n in terms]
+    for window, axis in ((row_window, "xi"), (column_window, "yi")):
+        near = window(keys, half, half)
+        full = F.count(F.lit(1)).over(near) == size
         if kernel == "uniform":
-            sums = {
-                f"{n}_": F.avg(f"{n}_").over(window(keys, half, half)) for n in terms
-            }
+            sums = {n: F.avg(n).over(near) for n in names}
         else:
+            # a full window is gapless, so row offsets are pixel offsets
+            across = "yi" if axis == "xi" else "xi"
+            line = W.partitionBy(*keys, "ty_", "tx_", across).orderBy(axis)
+            shifts = {
+                f"at{d}_": F.lead(F.struct(*names), d - half).over(line) for d in range(size)
+            }
+            tiles = tiles.withColumns({**shifts, "full_": full})
+            full = F.col("full_")
             sums = {
-                f"{n}_": sum(
-                    (F.max(f"{n}_").over(window(keys, -d, d)) * w
-                     for d, w in zip(range(-half, half + 1), weights)),
-                    F.lit(0.0),
-                )
-                for n in terms
+                n: sum((F.col(f"at{d}_")[n] * w for d, w in enumerate(weights)), F.lit(0.0))
+                for n in names
             }
-        tiles = tiles.withColumns({n: F.when(F.col("full_"), c) for n, c in sums.items()})
+        tiles = tiles.withColumns({n: F.when(full, c) for n, c in sums.items()})
+        tiles = tiles.drop("full_", *[f"at{d}_" for d in range(size)])
     correct = size**2 / (size**2 - 1) if kernel == "uniform" else 1.0
     mx, my = F.col("x_"), F.col("y_")
     vx = (F.col("xx_") - mx * mx) * correct

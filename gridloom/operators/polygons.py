@@ -35,13 +35,15 @@ def polygon_cells(
 ) -> DataFrame:
     """One row per (polygon, grid cell) that intersect, touching included.
 
-    Needs the columns of :func:`with_geometry`.
+    Needs the columns of :func:`with_geometry`.  A polygon is cut into rows of cells and the
+    rows are dealt evenly over the cluster before the edge tests, which are the real work:
+    neither a huge polygon, nor a crowded place, nor a coarse input file stays in one task.
     """
     gy, gx = float(gy), float(gx)
     placed = features.withColumn("left_", minx).withColumn("top_", maxy)
     rows = _touched(F.col("top_") - F.col("maxy"), F.col("top_") - F.col("miny"), gy)
     cols = _touched(F.col("minx") - F.col("left_"), F.col("maxx") - F.col("left_"), gx)
-    cells = placed.withColumn("r", F.explode(rows)).withColumn("c", F.explode(cols))
+    cells = balance(placed.withColumn("r", F.explode(rows))).withColumn("c", F.explode(cols))
     # corners as columns: the edge test below mentions them many times
     cells = cells.withColumn("top_", F.col("top_") - F.col("r") * gy).withColumn(
         "left_", F.col("left_") + F.col("c") * gx
@@ -116,8 +118,8 @@ def burned_pixels(
 ) -> DataFrame:
     """Distinct ``(*by, yi, xi)`` whose pixel centre lies inside a polygon.
 
-    A polygon is cut along the tile grid first and the pieces are dealt evenly over the
-    cluster, so neither one huge polygon nor one crowded tile is expanded in a single task.
+    A polygon is cut along the tile grid first (:func:`polygon_cells` deals the pieces), so
+    neither one huge polygon nor one crowded tile is expanded in a single task.
     ``distinct=False`` leaves repeats in for a caller that merges them itself.
     ``extent`` is ``(height, width)`` of the raster; pixels outside it are never made.
     """
@@ -125,7 +127,7 @@ def burned_pixels(
     span = tile * s
     left, top = F.lit(float(minx)), F.lit(float(maxy))
     wanted = features.select(*by, "minx", "miny", "maxx", "maxy", "edges")
-    pieces = balance(polygon_cells(wanted, left, top, span, span))
+    pieces = polygon_cells(wanted, left, top, span, span)
     # pixel centres sit half a pixel inside the corner labels
     y_lo = F.greatest(
         F.ceil((top - F.col("maxy")) / s - 0.5).cast("int"), F.col("r") * tile, F.lit(0)

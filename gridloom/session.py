@@ -60,14 +60,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def task_count(spark: SparkSession) -> int:
+    """Pieces to deal rows into: the session's shuffle partitions, or a few per core when the
+    cores are known to be fewer."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        return min(parts, 4 * spark.sparkContext.defaultParallelism)
+    return max(parts, spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash a short driving table over all tasks before it is exploded into many rows.
 
     The partition count is given so that adaptive execution does not fold the few
     driving rows back into one task.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *cols)
+    return df.repartition(task_count(df.sparkSession), *cols)
 
 
 def balance(df: DataFrame) -> DataFrame:
@@ -76,4 +84,4 @@ def balance(df: DataFrame) -> DataFrame:
     For rows that need no company but are about to be expanded: neither a crowded tile nor
     a run of copies ends up in one task.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(task_count(df.sparkSession))

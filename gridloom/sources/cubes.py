@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions.vectors import nan_to_null
+from gridloom.session import spread
 
 
 def tile_of(yi: Column, xi: Column, height: int, width: int, across: int | Column) -> Column:
@@ -25,10 +26,10 @@ def write_tiles(df: DataFrame, path: str, partition: tuple[str, ...] = ("tile_id
     """Write whole tiles; writing a tile again replaces that tile and no other.
 
     Rows of one partition are brought together first, so each tile is one file.  A tile has
-    a bounded number of pixels, which bounds the task.
+    a bounded number of pixels, which bounds the task; the tiles spread over all tasks.
     """
     (
-        df.repartition(*partition)
+        spread(df, *partition)
         .sortWithinPartitions(*partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -55,7 +56,7 @@ def write_vectors(df: DataFrame, path: str, tile: int = 256) -> None:
     tiled = keyed.withColumn("ty", F.floor(F.col("yi") / tile).cast("int")).withColumn(
         "tx", F.floor(F.col("xi") / tile).cast("int")
     )
-    tiled.repartition("ty", "tx").write.mode("overwrite").partitionBy("ty", "tx").parquet(path)
+    spread(tiled, "ty", "tx").write.mode("overwrite").partitionBy("ty", "tx").parquet(path)
 
 
 def merge_document(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
