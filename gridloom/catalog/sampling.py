@@ -104,11 +104,17 @@ sq AS (SELECT img, CAST((yi // 8) * 5 + xi // 8 AS INT) AS block, CAST(yi % 8 AS
     SQUARE,
 )
 def q5(i):
-    chosen = sampling.with_choice(square(i), ["img", "block"], 3, seed=9, epoch=4)
-    flipped = sampling.flip(chosen, F.col("choice") == 1, F.lit(False), 8, 8)
-    # transform 2 touches the input only; 0 is the identity
-    negated = F.when(F.col("choice") == 2, -F.col("soft")).otherwise(F.col("soft"))
-    return flipped.select("img", "block", "yi", "choice", "xi", negated.alias("inpt"), F.col("pred").alias("target"))
+    blocks = sampling.with_choice(square(i), ["img", "block"], 3, seed=9, epoch=4)
+    place = ["img", "block", "yi", "xi"]
+    flip = {"xi": F.lit(7) - F.col("xi")}
+    negate = {"inpt": -F.col("inpt")}
+    # the identity, a flip of both, and a change of the input alone
+    inputs, labels = sampling.augment_pair(
+        blocks.select(*place, "choice", F.col("soft").alias("inpt")),
+        blocks.select(*place, F.col("pred").alias("target")),
+        ["img", "block"], [({}, False), (flip, False), (negate, True)], seed=9, epoch=4,
+    )
+    return inputs.join(labels, place)
 
 
 @query(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.catalog.base import BANDS, CHUNKS, G, SCALE, query, r6, rounded, s6
-from gridloom.catalog.grids import chunks_of
+from gridloom.catalog.base import BANDS, CHUNK, HITS, SCALE, query, r6, rounded, s6
 from gridloom.functions import indices, rings
 from gridloom.operators import polygons
+from gridloom.plans import landcover
 from gridloom.session import scratch_path
 from gridloom.sources import cubes, features as layers
 
@@ -64,6 +64,44 @@ def s5(i):
     return cubes.read_cube(i.spark, path).select("tile_id", "t", "yi", "xi", "b1")
 
 
+@query(
+    "s5_composite_to_tiles",
+    """SELECT CAST(yi // 16 * 3 + xi // 16 AS INT) AS tile_id, yr, yi, xi, CAST(b1 AS FLOAT) AS b1, CAST(b4 AS FLOAT) AS b4 FROM {cube}""",
+)
+def s5b(i):
+    path = scratch_path(i.spark, "composite")
+    landcover.composite_tiles(i.observations, path, ["b1", "b4"], tile=16, across=3)
+    return cubes.read_cube(i.spark, path).select("tile_id", "yr", "yi", "xi", "b1", "b4")
+
+
+@query(
+    "s8_stats_documents",
+    f"""SELECT 'band' AS kind, band AS name, n, {s6('mean')} AS first_value, {s6('std')} AS second_value FROM b
+        UNION ALL SELECT 'class', label, count(*), {s6('sum(w * h / 2e0)', 3)}, NULL FROM {{features}} GROUP BY label""",
+    HITS + """,
+inside AS (SELECT c.* FROM {cube} c JOIN (SELECT DISTINCT r, c AS cc FROM hits) k ON k.r = c.yi // 4 AND k.cc = c.xi // 4),
+b AS (SELECT 'b1' AS band, count(b1) AS n, avg(b1) AS mean, stddev_samp(b1) AS std FROM inside
+      UNION ALL SELECT 'b4', count(b4), avg(b4), stddev_samp(b4) FROM inside)""",
+)
+def s8b(i):
+    tables = landcover.statistics_documents(
+        i.cube, i.polygons, i.extent, CHUNK, SCALE, ["b1", "b4"], "label", rings.area(F.col("ring"))
+    )
+    path = scratch_path(i.spark, "documents")
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}")
+    stored = {name: i.spark.read.parquet(f"{path}/{name}") for name in tables}
+    bands = stored["bands"].select(
+        F.lit("band").alias("kind"), F.col("band").alias("name"), "n",
+        r6("mean").alias("first_value"), r6("std").alias("second_value"),
+    )
+    classes = stored["classes"].select(
+        F.lit("class").alias("kind"), F.col("label").alias("name"), "n",
+        r6("area", 3).alias("first_value"), F.lit(None).cast("double").alias("second_value"),
+    )
+    return bands.unionByName(classes)
+
+
 @query(
     "s8_stats_merge",
     """SELECT coalesce(b.label, a.label) AS label, coalesce(b.n, a.n) AS n FROM

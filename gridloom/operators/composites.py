@@ -127,6 +127,11 @@ def best_scene(scenes: DataFrame, day: Column, start: date, end: date) -> DataFr
     return top_row(dated, ["range_start"], [("fraction", "desc"), ("scene_id", "asc")])
 
 
+def _day(year: int, month: int, day: int) -> date:
+    """A day past the end of its month runs on into the next."""
+    return date(year, month, 1) + timedelta(days=day - 1)
+
+
 def quarter_windows(start: date, end: date) -> list[tuple[date, date]]:
     """Three-month windows from the start month up to the end month, rolled over the year end."""
     windows = []
@@ -134,8 +139,8 @@ def quarter_windows(start: date, end: date) -> list[tuple[date, date]]:
         stop = month + 3
         windows.append(
             (
-                date(start.year, month, start.day),
-                date(end.year + (stop - 1) // 12, (stop - 1) % 12 + 1, end.day),
+                _day(start.year, month, start.day),
+                _day(end.year + (stop - 1) // 12, (stop - 1) % 12 + 1, end.day),
             )
         )
     return windows
@@ -148,10 +153,13 @@ def season_windows(
     windows = []
     for year in range(start.year, end.year + 1):
         if low_start is not None and low_end is not None:
-            windows.append(
-                (year, "lo", low_start.replace(year=year - 1), low_end.replace(year=year))
-            )
-        windows.append((year, "hi", start.replace(year=year), end.replace(year=year)))
+            windows.append((
+                year, "lo", _day(year - 1, low_start.month, low_start.day),
+                _day(year, low_end.month, low_end.day),
+            ))
+        windows.append((
+            year, "hi", _day(year, start.month, start.day), _day(year, end.month, end.day)
+        ))
     return windows
 
 

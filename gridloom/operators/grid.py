@@ -109,11 +109,21 @@ def with_axis(df: DataFrame, values: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(values))
 
 
-def region_index(df: DataFrame, maxy: float, minx: float, scale: float) -> DataFrame:
-    """First row and column at or after the coordinate ``(ty, tx)``."""
-    return df.withColumn(
-        "row0", ceil_index((F.lit(maxy) - F.col("ty")) / scale)
-    ).withColumn("col0", ceil_index((F.col("tx") - F.lit(minx)) / scale))
+def region_index(
+    df: DataFrame, maxy: float, minx: float, scale: float,
+    height: int | None = None, width: int | None = None,
+) -> DataFrame:
+    """First row and column at or after the coordinate ``(ty, tx)``.
+
+    A coordinate before the first row or column gives 0, one past the last gives their number.
+    """
+    def first(distance: Column, n: int | None) -> Column:
+        index = F.greatest(ceil_index(distance / scale), F.lit(0))
+        return index if n is None else F.least(index, F.lit(n))
+
+    return df.withColumn("row0", first(F.lit(maxy) - F.col("ty"), height)).withColumn(
+        "col0", first(F.col("tx") - F.lit(minx), width)
+    )
 
 
 def to_coordinates(df: DataFrame, minx: float, maxy: float, sx: float, sy: float) -> DataFrame:

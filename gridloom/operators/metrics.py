@@ -132,7 +132,7 @@ def gaussian_weights(sigma: float, size: int) -> list[float]:
 
 
 def ssim_map(
-    df: DataFrame, keys: list[str], pred: str, target: str, data_range: float = 1.0,
+    df: DataFrame, keys: list[str], pred: str, target: str, data_range: float | None = 1.0,
     kernel: str = "uniform", size: int = 7, sigma: float = 1.5, k1: float = 0.01,
     k2: float = 0.03, tile: int = 256,
 ) -> DataFrame:
@@ -140,7 +140,8 @@ def ssim_map(
 
     The window is separable: one pass along rows, one down columns, both inside tiles that
     already hold their halo, so the image is shuffled once.  ``uniform`` uses the sample
-    covariance, ``gaussian`` the weighted population covariance.  Images must be dense.
+    covariance, ``gaussian`` the weighted population covariance.  Without a ``data_range``
+    the wider of the two value ranges is used.  Images must be dense.
     """
     half = size // 2
     x, y = F.col(pred).cast("double"), F.col(target).cast("double")
@@ -175,7 +176,10 @@ def ssim_map(
     vx = (F.col("xx_") - mx * mx) * correct
     vy = (F.col("yy_") - my * my) * correct
     vxy = (F.col("xy_") - mx * my) * correct
-    c1, c2 = (k1 * data_range) ** 2, (k2 * data_range) ** 2
+    span = F.lit(data_range) if data_range is not None else df.agg(
+        F.greatest(F.max(pred) - F.min(pred), F.max(target) - F.min(target))
+    ).scalar()
+    c1, c2 = F.pow(k1 * span, F.lit(2.0)), F.pow(k2 * span, F.lit(2.0))
     value = ((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))
     return (
         drop_halo(tiles.withColumn("ssim", value))
@@ -209,3 +213,8 @@ def gradient_magnitudes(
         .groupBy(step, "layer")
         .agg(F.avg("norm_").alias("avgmag"))
     )
+
+
+def ssim_loss(df: DataFrame, keys: list[str], pred: str, target: str, **options) -> DataFrame:
+    """One minus the mean structural similarity of each image."""
+    return ssim(df, keys, pred, target, **options).select(*keys, (1 - F.col("ssim")).alias("loss"))

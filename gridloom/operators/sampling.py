@@ -86,6 +86,39 @@ def with_choice(
     return df.withColumn(out, draw_int([F.col(k) for k in keys], seed, n, epoch))
 
 
+def apply_choice(df: DataFrame, choice: str, transforms: list[dict[str, Column]]) -> DataFrame:
+    """Apply to each row the transform its choice names, in one projection.
+
+    A transform maps column names to their new expressions; the empty one is the identity.
+    """
+    changed: dict[str, Column] = {}
+    for k, transform in enumerate(transforms):
+        for name, expression in transform.items():
+            otherwise = changed.get(name, F.col(name))
+            changed[name] = F.when(F.col(choice) == k, expression).otherwise(otherwise)
+    return df.withColumns(changed)
+
+
+def augment_pair(
+    inputs: DataFrame, labels: DataFrame, keys: list[str],
+    transforms: list[tuple[dict[str, Column], bool]], seed: int, epoch: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """One random transform per sample, the same for input and label.
+
+    Each transform comes with a flag: set, it leaves the label untouched.  The label gets only
+    the expressions for columns it has.
+    """
+    chosen = [with_choice(d, keys, len(transforms), seed, epoch, "choice_") for d in (inputs, labels)]
+    for_label = [
+        {} if inputs_only else {n: c for n, c in t.items() if n in labels.columns}
+        for t, inputs_only in transforms
+    ]
+    return (
+        apply_choice(chosen[0], "choice_", [t for t, _ in transforms]).drop("choice_"),
+        apply_choice(chosen[1], "choice_", for_label).drop("choice_"),
+    )
+
+
 def random_crop(
     df: DataFrame, keys: list[str], height: int, width: int, size: int, seed: int, epoch: int = 0
 ) -> DataFrame:

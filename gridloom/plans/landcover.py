@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.indices import ndvi
 from gridloom.operators import grid, models, patches, polygons, stats
-from gridloom.operators.composites import median_composite
+from gridloom.operators.composites import median_composite, medoid_composite
 from gridloom.operators.masks import clear_pixels
+from gridloom.sources.cubes import as_float, tile_of, write_tiles
 
 BANDS = ["b1", "b2", "b3", "b4", "b5", "b6"]
 
@@ -31,6 +32,35 @@ def index_by_label(
     )
 
 
+def composite_tiles(
+    observations: DataFrame, path: str, bands: list[str], composite: str = "median",
+    tie_break: list[str] | None = None, tile: int = 256, across: int = 1 << 15,
+) -> None:
+    """Scenes to a stored cube: QA mask, annual composite, tiles keyed by place and year.
+
+    Running it again for some years replaces the tiles of those years only.
+    """
+    clear = clear_pixels(observations)
+    keys = ["yi", "xi", "yr"]
+    if composite == "medoid":
+        annual = medoid_composite(clear, keys, bands, tie_break or bands)
+    else:
+        annual = median_composite(clear, keys, bands)
+    tiled = annual.withColumn("tile_id", tile_of(F.col("yi"), F.col("xi"), tile, tile, across))
+    write_tiles(as_float(tiled, bands).select("tile_id", "yr", "yi", "xi", *bands), path, ("tile_id", "yr"))
+
+
+def statistics_documents(
+    cube: DataFrame, features: DataFrame, extent: DataFrame, chunk: int, scale: float,
+    bands: list[str], label: str, area: Column,
+) -> dict[str, DataFrame]:
+    """The two statistics tables a model reads: per band and per class."""
+    return {
+        "bands": layer_statistics(cube, features, extent, chunk, scale, bands),
+        "classes": stats.class_stats(features, label, area),
+    }
+
+
 def annotate(
     features: DataFrame, extent: DataFrame, minx: float, maxy: float, chunk: int, scale: float,
     label: str, date: str,

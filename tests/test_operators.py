@@ -189,6 +189,20 @@ def test_quarters_roll_over_the_year(spark):
     ]
 
 
+def test_days_past_the_month_run_on():
+    assert composites.quarter_windows(date(2021, 11, 30), date(2021, 11, 30)) == [
+        (date(2021, 11, 30), date(2022, 3, 2))
+    ]
+    seasons = composites.season_windows(date(2020, 2, 29), date(2021, 9, 1))
+    assert [s[2] for s in seasons] == [date(2020, 2, 29), date(2021, 3, 1)]
+
+
+def test_region_index_is_clamped(spark):
+    df = spark.createDataFrame([(200.0, -50.0), (75.0, 10.0), (-500.0, 900.0)], "ty double, tx double")
+    out = grid.region_index(df, 100.0, 0.0, 10.0, height=10, width=12).collect()
+    assert [(r.row0, r.col0) for r in out] == [(0, 0), (3, 1), (10, 12)]
+
+
 def test_overlapping_windows_share_an_observation(spark):
     df = spark.createDataFrame([(0, date(2020, 3, 1), 5.0), (0, date(2020, 6, 1), 7.0)], "p int, d date, b double")
     windows = [("a", date(2020, 1, 1), date(2020, 4, 1)), ("b", date(2020, 2, 1), date(2020, 7, 1))]
@@ -305,6 +319,23 @@ def test_ssim(spark, kernel, size):
     assert same.collect()[0].ssim == pytest.approx(1.0)
 
 
+def test_ssim_without_a_data_range(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.random((9, 9)) * 40, rng.random((9, 9)) * 30
+    df = image(spark, x, "p").join(image(spark, y, "t"), ["img", "yi", "xi"])
+    span = max(x.max() - x.min(), y.max() - y.min())
+    auto = metrics.ssim(df, ["img"], "p", "t", data_range=None).collect()[0].ssim
+    given = metrics.ssim(df, ["img"], "p", "t", data_range=float(span)).collect()[0].ssim
+    loss = metrics.ssim_loss(df, ["img"], "p", "t", data_range=None).collect()[0].loss
+    assert auto == pytest.approx(given) and loss == pytest.approx(1 - auto)
+
+
+def test_ignored_class_has_no_loss(spark):
+    z = F.array(F.lit(1.0), F.lit(2.0))
+    assert value(spark, indices.cross_entropy(z, F.lit(1), 2, ignore_index=1)) is None
+    assert value(spark, indices.cross_entropy(z, F.lit(-100), 2)) is None
+
+
 def test_scores_without_positives(spark):
     df = spark.createDataFrame([(0.1, 0.0), (0.2, 0.0)], "p double, t double")
     r = metrics.binary_scores(df, "p", "t").collect()[0]
