@@ -307,37 +307,42 @@ def shifted_windows(i):
     return grid.window_pads(windows, grid.pixel_extent(i.observations), CHUNK, CHUNK, SCALE)
 
 
+def padded_blocks(i):
+    """Every shifted window at every time step, padded to full size."""
+    windows = shifted_windows(i).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    cube = i.cube.select("yi", "xi", "t", "b1")
+    return grid.padded_windows(windows, cube, CHUNK, CHUNK, {"b1": -1.0})
+
+
 @query(
     "g22_edge_padding",
     f"""
-SELECT sample_id, pad_top, pad_bottom, pad_left, pad_right, CAST(y AS INT) AS oy, CAST(x AS INT) AS ox,
-       coalesce({s6('c.b1')}, -1e0) AS b1
-FROM pads p CROSS JOIN generate_series(0, 3) a(y) CROSS JOIN generate_series(0, 3) b(x)
-LEFT JOIN {{cube}} c ON c.t = 3
+SELECT sample_id, CAST(s AS INT) AS t, pad_top, pad_bottom, pad_left, pad_right, CAST(y AS INT) AS oy,
+       CAST(x AS INT) AS ox, coalesce({s6('c.b1')}, -1e0) AS b1
+FROM pads p CROSS JOIN generate_series(0, 6) d(s) CROSS JOIN generate_series(0, 3) a(y) CROSS JOIN generate_series(0, 3) b(x)
+LEFT JOIN {{cube}} c ON c.t = s
   AND y >= pad_top AND y < 4 - pad_bottom AND c.yi = row0 + y - pad_top
   AND x >= pad_left AND x < 4 - pad_right AND c.xi = col0 + x - pad_left""",
     SHIFTED,
 )
 def g22(i):
-    step = i.cube.where("t = 3").select("yi", "xi", "b1")
-    out = grid.padded_windows(shifted_windows(i), step, CHUNK, CHUNK, {"b1": -1.0})
     pads = ["pad_top", "pad_bottom", "pad_left", "pad_right"]
-    return rounded(out.select("sample_id", *pads, "oy", "ox", "b1"), "b1")
+    return rounded(padded_blocks(i).select("sample_id", "t", *pads, "oy", "ox", "b1"), "b1")
 
 
 @query(
     "g23_unpad_write_back",
     """
-SELECT sample_id, tY - 30e0 * pad_top AS tY, tx + 30e0 * pad_left AS tx,
+SELECT sample_id, CAST(s AS INT) AS t, tY - 30e0 * pad_top AS tY, tx + 30e0 * pad_left AS tx,
        CAST(y - pad_top AS INT) AS oy, CAST(x - pad_left AS INT) AS ox
-FROM pads, generate_series(0, 3) a(y), generate_series(0, 3) b(x)
+FROM pads, generate_series(0, 6) d(s), generate_series(0, 3) a(y), generate_series(0, 3) b(x)
 WHERE y >= pad_top AND y < 4 - pad_bottom AND x >= pad_left AND x < 4 - pad_right""",
     SHIFTED,
 )
 def g23(i):
-    cube = i.cube.where("t = 3").select("yi", "xi", "b1")
-    blocks = grid.padded_windows(shifted_windows(i), cube, CHUNK, CHUNK, {"b1": -1.0})
-    return grid.unpad(blocks, CHUNK, CHUNK, SCALE).select("sample_id", "tY", "tx", "oy", "ox")
+    return grid.unpad(padded_blocks(i), CHUNK, CHUNK, SCALE).select(
+        "sample_id", "t", "tY", "tx", "oy", "ox"
+    )
 
 
 @query(

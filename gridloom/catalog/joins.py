@@ -68,20 +68,27 @@ def j4(i):
     return joined.select("scene_id", "sensor", (F.col("b_probability") > 65).alias("is_cloud"), "b_probability")
 
 
+YEARS = range(1995, 2002)
+
+
 @query(
     "j5_stack_rasters",
-    f"""SELECT p.yi, p.xi, p.landcover, {s6('c.b1')} AS b1, {s6('c.b4')} AS b4
-        FROM (SELECT CAST(floor(p_partkey / 40e0) AS INT) AS yi, CAST(p_partkey % 40 AS INT) AS xi, p_size AS landcover
-              FROM {{part}}) p LEFT JOIN {{cube}} c ON c.yi = p.yi AND c.xi = p.xi AND c.t = 5""",
+    "SELECT p.yi, p.xi, p.landcover, "
+    + ", ".join(f'{s6(f"max(CASE WHEN c.yr = {y} THEN c.{b} END)")} AS "{y}_{b}"' for y in YEARS for b in ("b1", "b4"))
+    + """
+FROM (SELECT CAST(floor(p_partkey / 40e0) AS INT) AS yi, CAST(p_partkey % 40 AS INT) AS xi, p_size AS landcover
+      FROM {part}) p LEFT JOIN {cube} c ON c.yi = p.yi AND c.xi = p.xi GROUP BY 1, 2, 3""",
 )
 def j5(i):
+    """Land cover with the bands of every year stacked behind it."""
     landcover = i.part.select(
         F.floor(F.col("p_partkey") / 40).cast("int").alias("yi"),
         (F.col("p_partkey") % 40).cast("int").alias("xi"),
         F.col("p_size").alias("landcover"),
     )
-    step = i.cube.where("t = 5").select("yi", "xi", "b1", "b4")
-    return rounded(composites.add_bands(landcover, step, ["yi", "xi"]), "b1", "b4")
+    years = composites.stack_periods(i.cube, ["yi", "xi"], "yr", list(YEARS), ["b1", "b4"])
+    stacked = composites.add_bands(landcover, years, ["yi", "xi"])
+    return rounded(stacked, *[c for c in stacked.columns if "_b" in c])
 
 
 def label_steps(i):

@@ -15,8 +15,12 @@ from gridloom.plans import landcover
 @query("m1_pixel_forest")
 def m1(i):
     """Fit on pixel histories, score the same pixels forward and time-reversed."""
-    wanted = i.polygons.where("label = '1-URGENT' AND yr = 1998")
-    burned = polygons.burned_pixels(wanted, 0.0, MAXY, SCALE, [], tile=16).withColumn("hit", F.lit(1.0))
+    # target: pixels under more urgent polygons than the average pixel
+    urgent = i.polygons.where("label = '1-URGENT'")
+    burned = polygons.burned_pixels(urgent, 0.0, MAXY, SCALE, ["fid"], tile=16)
+    depth = burned.groupBy("yi", "xi").agg(F.count(F.lit(1)).alias("depth"))
+    usual = depth.agg(F.avg("depth")).scalar()
+    burned = depth.select("yi", "xi", F.when(F.col("depth") > usual, 1.0).otherwise(0.0).alias("hit"))
     forward = models.pixel_features(i.cube, ["yi", "xi"], BANDS, "t", 7)
     labelled = forward.join(burned, ["yi", "xi"], "left").fillna({"hit": 0.0})
     # fitting runs many jobs over these rows and scoring reads them again

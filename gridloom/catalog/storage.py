@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog.base import BANDS, CHUNK, HITS, SCALE, query, r6, rounded, s6
-from gridloom.functions import indices, rings
-from gridloom.operators import polygons
+from gridloom.functions import indices, rings, vectors
+from gridloom.operators import patches, polygons
 from gridloom.plans import landcover
 from gridloom.session import scratch_path
 from gridloom.sources import cubes, features as layers
@@ -39,10 +39,10 @@ def stored_cube(i) -> str:
 @query(
     "s2_cube_scan_optional_labels",
     f"""SELECT tile_id, t, count(*) AS n, {s6('sum(CAST(CAST(b5 AS FLOAT) AS DOUBLE))')} AS b5, count(*) AS unlabelled
-        FROM {{cube}} WHERE t = 3 GROUP BY tile_id, t""",
+        FROM {{cube}} GROUP BY tile_id, t""",
 )
 def s2(i):
-    cube = cubes.read_cube(i.spark, stored_cube(i)).where("t = 3")
+    cube = cubes.read_cube(i.spark, stored_cube(i))
     labels = cubes.read_cube(i.spark, None)
     out = cubes.with_labels(cube, labels, ["yi", "xi"], "label")
     return out.groupBy("tile_id", "t").agg(
@@ -120,15 +120,16 @@ def s8(i):
 
 @query(
     "s9_pixel_vectors",
-    f"""SELECT yi || '_' || xi AS key, CAST(yi // 16 AS INT) AS ty, CAST(xi // 16 AS INT) AS tx,
-               {s6('b1 + b4')} AS total FROM {{cube}} WHERE t = 6""",
+    f"""SELECT yi || '_' || xi AS key, CAST(yi // 16 AS INT) AS ty, CAST(xi // 16 AS INT) AS tx, CAST(14 AS INT) AS dims,
+               {s6('sum(b1) + sum(b4)')} AS total FROM {{cube}} GROUP BY yi, xi""",
 )
 def s9(i):
     path = scratch_path(i.spark, "vectors")
-    rows = i.cube.where("t = 6").select("yi", "xi", F.array("b1", "b4").alias("vec"))
-    cubes.write_vectors(rows, path, tile=16)
+    rows = patches.flatten_pixels(i.cube, ["yi", "xi"], ["b1", "b4"], "t", 7)
+    cubes.write_vectors(rows.withColumnRenamed("features", "vec"), path, tile=16)
     back = i.spark.read.parquet(path)
-    return back.select("key", "ty", "tx", r6(F.get("vec", F.lit(0)) + F.get("vec", F.lit(1))).alias("total"))
+    present = F.filter("vec", lambda v: v.isNotNull())
+    return back.select("key", "ty", "tx", F.size("vec").alias("dims"), r6(vectors.total(present)).alias("total"))
 
 
 @query(
