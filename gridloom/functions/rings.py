@@ -39,8 +39,7 @@ def edges_of_rings(rings: Column) -> Column:
 
 
 def bounds(ring: Column) -> dict[str, Column]:
-    xs = F.transform(ring, lambda p: p["x"])
-    ys = F.transform(ring, lambda p: p["y"])
+    xs, ys = ring["x"], ring["y"]  # a field of an array of structs is the array of that field
     return {
         "minx": F.array_min(xs),
         "miny": F.array_min(ys),
@@ -112,7 +111,7 @@ def row_crossings(edge_list: Column, py: Column) -> Column:
         return F.when(e["by"] > e["ay"], upward).otherwise(downward)
 
     spanning = F.filter(edge_list, lambda e: (e["ay"] > py) != (e["by"] > py))
-    return F.array_sort(F.transform(spanning, position))
+    return F.sort_array(F.transform(spanning, position))
 
 
 def boxes_touch(a: dict[str, Column], b: dict[str, Column]) -> Column:
