@@ -6,8 +6,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from gridloom.catalog.base import BANDS, BURN, CHUNK, G, HITS, MAXY, SCALE, query, r6, rounded, s6
-from gridloom.catalog.masking import day, raw_sensors
+from gridloom.catalog.base import BANDS, BURN, CHUNK, HITS, MAXY, SCALE, query, r6, rounded, s6
+from gridloom.catalog.masking import day
 from gridloom.functions import indices, rings
 from gridloom.operators import checkpoints, composites, masks, metrics, polygons, stats
 from gridloom.operators.ranks import dimension

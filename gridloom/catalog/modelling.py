@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.catalog.base import BANDS, CHUNK, MAXY, SCALE, query, r6, rounded, s6
+from gridloom.catalog.base import BANDS, CHUNK, MAXY, SCALE, query, rounded
 from gridloom.catalog.grids import SHIFTED, shifted_windows
 from gridloom.functions.vectors import sigmoid
 from gridloom.operators import metrics, models, polygons

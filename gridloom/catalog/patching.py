@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.catalog.base import query, r6, rounded, s6
+from gridloom.catalog.base import query, rounded, s6
 from gridloom.functions.indices import ndvi
 from gridloom.operators import patches
 

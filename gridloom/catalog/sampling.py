@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.catalog.base import CHUNKS, CHUNK, G, SCALE, WIDTH, query, r6, rounded, s6
+from gridloom.catalog.base import CHUNKS, G, SCALE, WIDTH, query, r6, rounded, s6
 from gridloom.catalog.grids import chunks_of
 from gridloom.operators import sampling, temporal
 from gridloom.operators.ranks import lookup_join

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog.base import query, r6, rounded, s6
 from gridloom.functions import vectors as V
-from gridloom.operators import models, pairs, stats
+from gridloom.operators import models, pairs
 
 LONG = """
 el AS (SELECT vec_id, label, unnest(generate_series(0, 63)) AS idx, unnest(CAST(emb_a AS DOUBLE[])) AS a,
