@@ -60,6 +60,18 @@ def area(ring: Column) -> Column:
     return F.abs(_twice_signed_area(edges(ring))) / 2
 
 
+def area_of_parts(parts: Column) -> Column:
+    """Area of polygons with holes: each part is an outer ring followed by its holes."""
+    def part(rings: Column) -> Column:
+        holes = F.aggregate(
+            F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), F.lit(0.0),
+            lambda acc, ring: acc + area(ring),
+        )
+        return area(F.get(rings, F.lit(0))) - holes
+
+    return F.aggregate(parts, F.lit(0.0), lambda acc, rings: acc + part(rings))
+
+
 def centroid(ring: Column) -> Column:
     """Area-weighted centroid ``STRUCT<x, y>``; the vertex mean where the area is zero."""
     es = edges(ring)

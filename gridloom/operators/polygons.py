@@ -25,6 +25,15 @@ def with_geometry(features: DataFrame, ring: str = "ring") -> DataFrame:
     )
 
 
+def with_parts_geometry(features: DataFrame, parts: str = "parts") -> DataFrame:
+    """Like :func:`with_geometry` for polygons with holes or several parts."""
+    all_rings = F.flatten(F.col(parts))
+    box = rings.bounds(F.flatten(all_rings))
+    return features.select(
+        "*", *[c.alias(n) for n, c in box.items()], rings.edges_of_rings(all_rings).alias("edges")
+    )
+
+
 def _touched(lo: Column, hi: Column, g: float) -> Column:
     """Cells of width ``g`` that a closed interval meets, merely touched neighbours included."""
     return F.sequence((F.ceil(lo / g) - 1).cast("int"), F.floor(hi / g).cast("int"))

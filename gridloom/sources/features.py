@@ -9,65 +9,105 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 POLYGON = "type string, coordinates array<array<array<double>>>"
+MULTIPOLYGON = "type string, coordinates array<array<array<array<double>>>>"
 
 
 def read_features(spark: SparkSession, path: str, geometry: str = "ring") -> DataFrame:
-    """A parquet layer whose geometry column holds a ring array, GeoJSON text or WKB."""
+    """A parquet layer whose geometry column holds a ring array, GeoJSON text or WKB.
+
+    Text and bytes give ``parts`` (polygons, each an outer ring and its holes) and ``ring``,
+    the outer ring of the first part.
+    """
     df = spark.read.parquet(path)
     kind = df.schema[geometry].dataType.typeName()
     if kind == "string":
-        return df.withColumn("ring", ring_from_geojson(F.col(geometry)))
+        return _with_ring(df.withColumn("parts", parts_from_geojson(F.col(geometry))))
     if kind == "binary":
-        return df.transform(lambda d: with_wkb_ring(d, geometry))
+        return _with_ring(with_wkb_parts(df, geometry))
     return df.withColumnRenamed(geometry, "ring")
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """A FeatureCollection file per row group of features; ``properties`` is a DDL schema."""
-    schema = (
-        f"features array<struct<properties: struct<{properties}>, "
-        "geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-    )
+    """The features of FeatureCollection files; ``properties`` is a DDL schema.
+
+    Geometries stay text until they are parsed, so polygons and multi-polygons can mix.
+    """
+    schema = f"features array<struct<properties: struct<{properties}>, geometry: string>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     rows = raw.select(F.explode("features").alias("f"))
-    return rows.select("f.properties.*", _ring(F.col("f.geometry.coordinates")).alias("ring"))
+    return _with_ring(
+        rows.select("f.properties.*", parts_from_geojson(F.col("f.geometry")).alias("parts"))
+    )
+
 
+def _with_ring(df: DataFrame) -> DataFrame:
+    return df.withColumn("ring", F.get(F.get("parts", F.lit(0)), F.lit(0)))
 
-def _ring(coordinates: Column) -> Column:
+
+def _ring(points: Column) -> Column:
     return F.transform(
-        F.get(coordinates, F.lit(0)),
-        lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")),
+        points, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    )
+
+
+def parts_from_geojson(text: Column) -> Column:
+    """Every polygon of a GeoJSON Polygon or MultiPolygon, holes included."""
+    single = F.array(F.transform(F.from_json(text, POLYGON)["coordinates"], _ring))
+    several = F.transform(
+        F.from_json(text, MULTIPOLYGON)["coordinates"], lambda part: F.transform(part, _ring)
     )
+    kind = F.get_json_object(text, "$.type")
+    return F.when(kind == "Polygon", single).when(kind == "MultiPolygon", several)
 
 
 def ring_from_geojson(text: Column) -> Column:
     """Outer ring of a GeoJSON polygon."""
-    return _ring(F.from_json(text, POLYGON)["coordinates"])
+    return F.get(F.get(parts_from_geojson(text), F.lit(0)), F.lit(0))
 
 
-def _vertices(wkb: bytes) -> np.ndarray | None:
-    """Outer ring of a two-dimensional polygon as ``x0, y0, x1, y1, ...``."""
+def _polygon(wkb: bytes, start: int) -> tuple[list[np.ndarray], int]:
+    """Rings of one two-dimensional polygon as ``x0, y0, x1, y1, ...``, and where it ends."""
+    order = "<" if wkb[start] == 1 else ">"
+    count = struct.unpack_from(order + "I", wkb, start + 5)[0]
+    at, found = start + 9, []
+    for _ in range(count):
+        n = struct.unpack_from(order + "I", wkb, at)[0]
+        found.append(np.frombuffer(wkb, dtype=order + "f8", count=2 * n, offset=at + 4).astype("f8"))
+        at += 4 + 16 * n
+    return found, at
+
+
+def _vertices(wkb: bytes) -> list[list[np.ndarray]] | None:
     order = "<" if wkb[0] == 1 else ">"
-    kind, rings, n = struct.unpack_from(order + "III", wkb, 1)
-    if kind & 0xFF != 3 or rings == 0:
+    kind = struct.unpack_from(order + "I", wkb, 1)[0]
+    if kind == 3:
+        return [_polygon(wkb, 0)[0]]
+    if kind != 6:
         return None
-    return np.frombuffer(wkb, dtype=order + "f8", count=2 * n, offset=13).astype("f8")
+    parts, at = [], 9
+    for _ in range(struct.unpack_from(order + "I", wkb, 5)[0]):
+        part, at = _polygon(wkb, at)
+        parts.append(part)
+    return parts
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
 def _wkb_vertices(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda b: None if b is None else _vertices(bytes(b)))
 
 
-def with_wkb_ring(df: DataFrame, geometry: str) -> DataFrame:
-    """Add the outer ring of a WKB polygon column.
+def with_wkb_parts(df: DataFrame, geometry: str) -> DataFrame:
+    """Add the parts of a WKB Polygon or MultiPolygon column.
 
     Spark stores WKB but exposes no vertices, so the bytes are read in Arrow batches; the
-    ring itself is built by expressions.
+    rings themselves are built by expressions.
     """
-    index = F.sequence(F.lit(0), F.size("flat_") - 2, F.lit(2))
-    ring = F.transform(
-        F.when(F.size("flat_") >= 2, index),
-        lambda k: F.struct(F.get("flat_", k).alias("x"), F.get("flat_", k + 1).alias("y")),
-    )
-    return df.withColumn("flat_", _wkb_vertices(F.col(geometry))).withColumn("ring", ring).drop("flat_")
+    def ring(flat: Column) -> Column:
+        index = F.sequence(F.lit(0), F.size(flat) - 2, F.lit(2))
+        return F.transform(
+            F.when(F.size(flat) >= 2, index),
+            lambda k: F.struct(F.get(flat, k).alias("x"), F.get(flat, k + 1).alias("y")),
+        )
+
+    parts = F.transform("flat_", lambda part: F.transform(part, ring))
+    return df.withColumn("flat_", _wkb_vertices(F.col(geometry))).withColumn("parts", parts).drop("flat_")

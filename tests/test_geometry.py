@@ -191,6 +191,25 @@ def test_readers_agree(spark, layer, tmp_path):
     assert {r.label for r in read} == {"x"}
 
 
+def test_holes_and_several_parts(spark, tmp_path):
+    square = lambda lo, hi: [(lo, lo), (hi, lo), (hi, hi), (lo, hi), (lo, lo)]
+    parts = [[square(0.0, 100.0), square(30.0, 70.0)], [square(120.0, 150.0)]]
+    polygon = lambda rs: b"\x01" + struct.pack("<II", 3, len(rs)) + b"".join(
+        struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rs
+    )
+    many = b"\x01" + struct.pack("<II", 6, len(parts)) + b"".join(map(polygon, parts))
+    text = json.dumps({"type": "MultiPolygon", "coordinates": parts})
+    one = json.dumps({"type": "Polygon", "coordinates": parts[0]})
+    rows = [(0, many, text), (1, polygon(parts[0]), one), (2, None, None)]
+    spark.createDataFrame(rows, "fid int, w binary, g string").write.parquet(str(tmp_path / "layer"))
+    for geometry in ("w", "g"):
+        layer = polygons.with_parts_geometry(layers.read_features(spark, str(tmp_path / "layer"), geometry))
+        area = {r.fid: r.a for r in layer.select("fid", rings.area_of_parts(F.col("parts")).alias("a")).collect()}
+        assert area == {0: 10000 - 1600 + 900, 1: 10000 - 1600, 2: None}
+        burned = polygons.burned_pixels(layer, 0.0, 150.0, 10.0, ["fid"])
+        assert {r.fid: r["count"] for r in burned.groupBy("fid").count().collect()} == {0: 84 + 9, 1: 84}
+
+
 @pytest.mark.parametrize(
     "lon,lat,epsg",
     [(-123.1, 44.6, "EPSG:32610"), (151.2, -33.9, "EPSG:32756"), (5.3, 60.4, "EPSG:32632"),
