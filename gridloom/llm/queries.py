@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import packing, sharding
+from gridloom.llm import language, licenses, packing, quality, secrets, sharding
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_byte_shards": sharding.SQL}
+ORACLES: dict[str, str] = {"op6_byte_shards": sharding.SQL, "op10_license_templates": licenses.sql()}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -30,6 +30,37 @@ def op2_tiered_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op3_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = language.fit_language(docs)
+    said = docs.select(
+        "doc_id", language.held_out("doc_id").alias("held_out"),
+        language.predict_language("text", model).alias("said"),
+    )
+    return said.select("doc_id", "held_out", "said.*")
+
+
 @query
 def op6_byte_shards(spark, folder):
     return sharding.byte_shards(table(spark, folder, "documents"))
+
+
+@query
+def op7_markov_secrets(spark, folder):
+    docs = table(spark, folder, "documents")
+    return secrets.secret_scan(docs, secrets.fit_models(docs))
+
+
+@query
+def op9_decision_list(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality.quality_rules(docs, quality.learn_rules(docs, table(spark, folder, "labels")))
+
+
+@query
+def op10_license_templates(spark, folder):
+    scanned = table(spark, folder, "documents").select(
+        "doc_id", licenses.license_scan("text").alias("said")
+    )
+    return scanned.select("doc_id", "said.*")
