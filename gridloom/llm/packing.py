@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -22,7 +24,7 @@ CACHE_WORDS = 400_000
 
 # white space that only Python splits on, a letter whose lower case hangs on its neighbours,
 # and the beginning of special tokens
-_WHOLE = re.compile("[\x1c-\x1fΣ]|<\\|")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "<|")
 _TAIL = re.compile(r"(\w+)([^\w\s']+)")
 
 
@@ -35,22 +37,28 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         out = []
         for lo in range(0, len(texts), 4096):
-            for e in self.tokenizer.encode_batch_fast(
-                texts[lo : lo + 4096], add_special_tokens=False
-            ):
+            some = texts[lo : lo + 4096]
+            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
                 out.append(np.array(e.ids, dtype="<u4").tobytes())
         return out
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of lower-case letters only are one group each and go straight to the merges."""
+        merge, spell = self.tokenizer.model.tokenize, self.as_bytes.pre_tokenize_str
+        return [
+            array("I", [t.id for t in merge(w if w.isascii() else spell(w)[0][0])]).tobytes()
+            for w in words
+        ]
+
     def _learn(self, words: list[str]) -> None:
         # trailing punctuation is a token group of its own behind letters
         split = {}
@@ -60,25 +68,39 @@ class WordEncoder:
                 split[w] = m.groups()
         parts = {p for pair in split.values() for p in pair}
         single = [w for w in {*parts, *words} if w not in split and w not in self.known]
-        self.known.update(zip(single, self._direct(single)))
+        letters = [w for w in single if w.isalpha()]
+        others = [w for w in single if not w.isalpha()]
+        self.known.update(zip(letters, self._letters(letters)))
+        self.known.update(zip(others, self._direct(others)))
         for w, (body, tail) in split.items():
             self.known[w] = self.known[body] + self.known[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        whole = [
-            k for k, t in enumerate(texts)
-            if _WHOLE.search(t) or not unicodedata.is_normalized("NFC", t)
-        ]
-        direct = dict(zip(whole, self._direct([texts[k] for k in whole])))
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        words = [() if k in direct else t.lower().split() for k, t in enumerate(texts)]
-        new = set().union(*map(set, words)) - self.known.keys() if words else set()
+        out: list = [None] * len(texts)
+        whole, late, new = [], [], set()
+        look = self.known.get
+        for k, t in enumerate(texts):
+            odd = any(c in t for c in _WHOLE)
+            if odd or not (t.isascii() or unicodedata.is_normalized("NFC", t)):
+                whole.append(k)
+                continue
+            words = t.lower().split()
+            ids = list(map(look, words))
+            if None in ids:
+                new.update(w for w, v in zip(words, ids) if v is None)
+                late.append((k, words))
+            else:
+                out[k] = b"".join(ids)
         if new:
             self._learn(list(new))
-        look = self.known.__getitem__
-        return [direct[k] if k in direct else b"".join(map(look, w)) for k, w in enumerate(words)]
+        for k, words in late:
+            out[k] = b"".join(map(look, words))
+        for k, ids in zip(whole, self._direct([texts[k] for k in whole])):
+            out[k] = ids
+        return out
 
 
 class Packer:
