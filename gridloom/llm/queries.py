@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import language, licenses, packing, quality, secrets, sharding
+from gridloom.llm import (
+    attribution,
+    decontamination,
+    language,
+    licenses,
+    neardup,
+    packing,
+    quality,
+    secrets,
+    sharding,
+)
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +35,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_line_tokens(spark, folder):
+    import public_tokenizers
+
+    return attribution.section_counts(
+        table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 @query
 def op2_tiered_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
@@ -41,6 +60,13 @@ def op3_language_id(spark, folder):
     return said.select("doc_id", "held_out", "said.*")
 
 
+@query
+def op4_seed_and_align(spark, folder):
+    return decontamination.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 @query
 def op6_byte_shards(spark, folder):
     return sharding.byte_shards(table(spark, folder, "documents"))
@@ -52,6 +78,11 @@ def op7_markov_secrets(spark, folder):
     return secrets.secret_scan(docs, secrets.fit_models(docs))
 
 
+@query
+def op8_bag_minhash(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op9_decision_list(spark, folder):
     docs = table(spark, folder, "documents")
