@@ -14,6 +14,7 @@ from gridloom.llm import (
     neardup,
     packing,
     quality,
+    repeats,
     secrets,
     sharding,
 )
@@ -67,6 +68,11 @@ def op4_seed_and_align(spark, folder):
     )
 
 
+@query
+def op5_suffix_repeats(spark, folder):
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op6_byte_shards(spark, folder):
     return sharding.byte_shards(table(spark, folder, "documents"))
