@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.catalog.temporal import DENSE
 from gridloom.catalog.base import BURN, G, HITS, MAXY, SCALE, query, r6, rounded, s6
 from gridloom.catalog.grids import chunks_of
 from gridloom.operators import composites, pairs, polygons, temporal
@@ -101,18 +102,18 @@ def label_steps(i):
     "j6_samples_imagery_labels",
     f"""
 SELECT s.split, s.tile_id, s.t, CAST(c.t - s.t + 1 AS INT) AS k, count(*) AS n, {s6('avg(c.b4)')} AS b4,
-       count(b.yi) AS labelled
-FROM {{splits}} s JOIN {{cube}} c ON c.tile_id = s.tile_id AND c.t BETWEEN s.t - 1 AND s.t
+       CAST(count(b.yi) AS DOUBLE) AS labelled
+FROM {{splits}} s JOIN dense c ON c.tile_id = s.tile_id AND c.t BETWEEN s.t - 1 AND s.t
 LEFT JOIN (SELECT DISTINCT yi, xi, yr - 1995 AS t FROM burn) b ON b.yi = c.yi AND b.xi = c.xi AND b.t = s.t - 1
-GROUP BY 1, 2, 3, 4""",
-    BURN,
+WHERE s.t >= 1 GROUP BY 1, 2, 3, 4""",
+    BURN + "," + DENSE,
 )
 def j6(i):
     joined = temporal.windows_with_labels(
-        i.splits, i.cube, label_steps(i), "tile_id", ["yi", "xi"], ["b4"], "label"
+        i.splits, i.cube, label_steps(i), "tile_id", ["yi", "xi"], ["b4"], "label", 7
     )
     return joined.groupBy("split", "tile_id", "t", "k").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("b4")).alias("b4"), F.count("label").alias("labelled")
+        F.count(F.lit(1)).alias("n"), r6(F.avg("b4")).alias("b4"), F.sum("label").alias("labelled")
     )
 
 
@@ -187,15 +188,15 @@ def j9(i):
 SELECT p.yi, p.xi, p.tdx, CAST(c.t - p.tdx + 1 AS INT) AS k, {s6('c.b4')} AS b4,
        CASE WHEN b.yi IS NULL THEN 0e0 ELSE 1e0 END AS label
 FROM (SELECT DISTINCT yi, xi, CAST(g.t AS INT) AS tdx FROM {{cube}}, generate_series(0, 6) g(t)) p
-JOIN {{cube}} c ON c.yi = p.yi AND c.xi = p.xi AND c.t BETWEEN p.tdx - 1 AND p.tdx + 1
+JOIN dense c ON c.yi = p.yi AND c.xi = p.xi AND c.t BETWEEN p.tdx - 1 AND p.tdx + 1
 LEFT JOIN (SELECT DISTINCT yi, xi, yr - 1995 AS t FROM burn) b ON b.yi = p.yi AND b.xi = p.xi AND b.t = p.tdx
 WHERE p.tdx >= 1 AND p.tdx + 2 <= 7""",
-    BURN,
+    BURN + "," + DENSE,
 )
 def j10(i):
     places = i.cube.select("yi", "xi").distinct()
     anchors = places.withColumn("tdx", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    imagery = temporal.asymmetric_windows(anchors, i.cube.select("yi", "xi", "t", "b4"), ["yi", "xi"], (1, 2), 7)
+    imagery = temporal.asymmetric_windows(anchors, i.cube, ["yi", "xi"], ["yi", "xi"], ["b4"], (1, 2), 7)
     labels = label_steps(i).withColumnRenamed("t", "tdx")
     joined = cubes.with_labels(imagery, labels, ["yi", "xi", "tdx"], "label")
     return joined.select("yi", "xi", "tdx", "k", r6("b4").alias("b4"), F.coalesce("label", F.lit(0.0)).alias("label"))

@@ -10,13 +10,21 @@ from gridloom.catalog.base import query, r6, rounded, s6
 from gridloom.operators import composites, temporal
 
 
+# every step of every pixel, with -1 where the cube has no row
+DENSE = """
+dense AS (SELECT p.tile_id, p.yi, p.xi, CAST(g.t AS INT) AS t, coalesce(c.b1, -1e0) AS b1, coalesce(c.b4, -1e0) AS b4
+          FROM (SELECT DISTINCT tile_id, yi, xi FROM {cube}) p CROSS JOIN generate_series(0, 6) g(t)
+          LEFT JOIN {cube} c ON c.yi = p.yi AND c.xi = p.xi AND c.t = g.t)"""
+
+
 @query(
     "w1_sliding_windows",
     f"""SELECT yi, xi, CAST(a AS INT) AS anchor, CAST(t - a + 3 AS INT) AS k, {s6('b1')} AS b1
-        FROM {{cube}}, generate_series(3, 6) g(a) WHERE t BETWEEN a - 3 AND a - 1""",
+        FROM dense, generate_series(3, 6) g(a) WHERE t BETWEEN a - 3 AND a - 1""",
+    DENSE,
 )
 def w1(i):
-    out = temporal.sliding_windows(i.cube.select("yi", "xi", "t", "b1"), 3, 7)
+    out = temporal.sliding_windows(i.cube, ["yi", "xi"], ["b1"], 3, 7)
     return rounded(out.drop("t"), "b1")
 
 
@@ -24,12 +32,15 @@ def w1(i):
     "w2_asymmetric_windows",
     f"""
 SELECT s.tile_id, s.t AS tdx, CAST(c.t - s.t + 1 AS INT) AS k, count(*) AS n, {s6('avg(c.b1)')} AS b1
-FROM {{splits}} s JOIN {{cube}} c ON c.tile_id = s.tile_id AND c.t BETWEEN s.t + 1 - 2 AND s.t + 1 + 1
+FROM {{splits}} s JOIN dense c ON c.tile_id = s.tile_id AND c.t BETWEEN s.t + 1 - 2 AND s.t + 1 + 1
 WHERE s.t + 1 - 2 >= 0 AND s.t + 1 + 2 <= 7 GROUP BY 1, 2, 3""",
+    DENSE,
 )
 def w2(i):
     anchors = i.splits.select("tile_id", F.col("t").alias("tdx"))
-    out = temporal.asymmetric_windows(anchors, i.cube.select("tile_id", "t", "b1"), ["tile_id"], (2, 2), 7, offset=1)
+    out = temporal.asymmetric_windows(
+        anchors, i.cube, ["tile_id"], ["tile_id", "yi", "xi"], ["b1"], (2, 2), 7, offset=1
+    )
     return out.groupBy("tile_id", "tdx", "k").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("b1")).alias("b1"))
 
 
@@ -50,13 +61,12 @@ SELECT p.yi, p.xi, p.anchor, CAST(s AS INT) AS shift,
        CAST(c.t - (p.anchor + s - 2) AS INT) AS k, {s6('c.b1')} AS b1
 FROM (SELECT DISTINCT yi, xi, CAST(CAST('0x' || substr(md5(concat_ws(':', yi, xi, '11', '2')), 1, 7) AS BIGINT) % 3 + 3 AS INT) AS anchor
       FROM {{cube}}) p CROSS JOIN generate_series(-1, 1) g(s)
-JOIN {{cube}} c ON c.yi = p.yi AND c.xi = p.xi AND c.t BETWEEN p.anchor + s - 2 AND p.anchor + s - 1""",
+JOIN dense c ON c.yi = p.yi AND c.xi = p.xi AND c.t BETWEEN p.anchor + s - 2 AND p.anchor + s - 1""",
+    DENSE,
 )
 def w4(i):
     pixels = i.cube.select("yi", "xi").distinct()
-    out = temporal.holdout_windows(
-        pixels, i.cube.select("yi", "xi", "t", "b1"), ["yi", "xi"], 2, 1, 7, seed=11, epoch=2
-    )
+    out = temporal.holdout_windows(pixels, i.cube, ["yi", "xi"], ["b1"], 2, 1, 7, seed=11, epoch=2)
     return rounded(out.select("yi", "xi", "anchor", "shift", "segment", "k", "b1"), "b1")
 
 
@@ -119,12 +129,13 @@ def w10(i):
 
 FRAMES = """
 frames AS (SELECT CAST(floor(vec_id / 4e0) AS BIGINT) AS img, CAST(vec_id % 4 AS INT) AS t, CAST(embedding AS DOUBLE[]) AS emb
-           FROM {embeddings}),
+           FROM {embeddings} WHERE vec_id % 7 <> 1),
 long AS (SELECT img, t, unnest(emb) AS v, unnest(generate_series(0, 63)) AS pos FROM frames)"""
 
 
 def frames(i):
-    return i.embeddings.select(
+    """Four frames per image; every seventh vector counts as a frame that is missing."""
+    return i.embeddings.where("vec_id % 7 <> 1").select(
         F.floor(F.col("vec_id") / 4).alias("img"), (F.col("vec_id") % 4).cast("int").alias("t"),
         F.col("embedding").cast("array<double>").alias("emb"),
     )
@@ -143,9 +154,11 @@ def w11(i):
 
 @query(
     "w11_frame_delta_concatenated",
-    f"""SELECT img, CAST(pos AS INT) AS pos, {s6('v')} AS value FROM long WHERE t = 0
-        UNION ALL SELECT a.img, CAST(64 * (a.t + 1) + a.pos AS INT), {s6('a.v - b.v')}
-        FROM long a JOIN long b ON b.img = a.img AND b.pos = a.pos AND b.t = a.t + 1""",
+    f"""SELECT img, CAST(pos AS INT) AS pos, {s6('v')} AS value
+        FROM (SELECT *, min(t) OVER (PARTITION BY img) AS t0 FROM long) WHERE t = t0
+        UNION ALL SELECT img, CAST(64 * rn + pos AS INT), {s6('v')}
+        FROM (SELECT a.img, a.pos, a.v - b.v AS v, row_number() OVER (PARTITION BY a.img, a.pos ORDER BY a.t) AS rn
+              FROM long a JOIN long b ON b.img = a.img AND b.pos = a.pos AND b.t = a.t + 1)""",
     FRAMES,
 )
 def w11b(i):
@@ -155,7 +168,8 @@ def w11b(i):
 
 @query(
     "w11_frame_stack",
-    f"SELECT img, CAST(64 * t + pos AS INT) AS pos, {s6('v')} AS value FROM long",
+    f"""SELECT img, CAST(64 * (row_number() OVER (PARTITION BY img, pos ORDER BY t) - 1) + pos AS INT) AS pos,
+               {s6('v')} AS value FROM long""",
     FRAMES,
 )
 def w11c(i):

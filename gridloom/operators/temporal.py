@@ -10,27 +10,58 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gridloom.functions.text import draw_int
 
 
-def sliding_windows(df: DataFrame, length: int, steps: int, time: str = "t") -> DataFrame:
+def dense_steps(
+    df: DataFrame, keys: list[str], bands: list[str], steps: int, fill: float = -1.0, time: str = "t"
+) -> DataFrame:
+    """Every step ``0 .. steps - 1`` of every pixel; missing steps and bands hold ``fill``.
+
+    ``keys`` and the step identify a row.  A pixel's rows are brought together once and looked up
+    by step, so the skeleton is never joined.
+    """
+    known = F.map_from_entries(F.collect_list(F.struct(F.col(time), F.struct(*bands))))
+    inside = df.where(F.col(time).between(0, steps - 1))
+    return (
+        inside.groupBy(*keys)
+        .agg(known.alias("by_step_"))
+        .withColumn(time, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+        .select(
+            *keys,
+            F.col(time).cast("int").alias(time),
+            *[
+                F.coalesce(F.try_element_at("by_step_", F.col(time))[band], F.lit(fill)).alias(band)
+                for band in bands
+            ],
+        )
+    )
+
+
+def sliding_windows(
+    df: DataFrame, keys: list[str], bands: list[str], length: int, steps: int, fill: float = -1.0,
+    time: str = "t",
+) -> DataFrame:
     """Windows of ``length`` steps that end before anchor ``a``, for ``a`` in ``[length, steps)``.
 
-    Each row is copied to the anchors whose window holds it; ``k`` is its place there.
+    Every window is full: steps without a row hold ``fill``.  Each step is copied to the
+    anchors whose window holds it; ``k`` is its place there.
     """
+    full = dense_steps(df, keys, bands, steps, fill, time)
     lo = F.greatest(F.col(time) + 1, F.lit(length))
     hi = F.least(F.col(time) + length, F.lit(steps - 1))
     anchors = F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
-    return df.withColumn("anchor", anchors).withColumn(
+    return full.withColumn("anchor", anchors).withColumn(
         "k", (F.col(time) - F.col("anchor") + length).cast("int")
     )
 
 
 def asymmetric_windows(
-    anchors: DataFrame, df: DataFrame, on: list[str], window: tuple[int, int], steps: int,
-    offset: int = 0, time: str = "t",
+    anchors: DataFrame, df: DataFrame, on: list[str], keys: list[str], bands: list[str],
+    window: tuple[int, int], steps: int, offset: int = 0, fill: float = -1.0, time: str = "t",
 ) -> DataFrame:
     """Steps ``[idx - w0, idx + w1)`` around ``idx = tdx + offset`` for every anchor.
 
-    Windows that leave ``[0, steps)`` are dropped.  Anchors expand to their steps, so the
-    join is an equality on (place, time).
+    Windows that leave ``[0, steps)`` are dropped; inside, steps without a row hold ``fill``.
+    ``keys`` identify a pixel and contain the anchors' place ``on``.  Anchors expand to their steps,
+    so the join is an equality on (place, time).
     """
     back, ahead = window
     idx = F.col("tdx") + offset
@@ -40,7 +71,7 @@ def asymmetric_windows(
     wanted = inside.withColumn(
         time, F.explode(F.sequence((F.col("idx") - back).cast("int"), (F.col("idx") + ahead - 1).cast("int")))
     ).withColumn("k", (F.col(time) - F.col("idx") + back).cast("int"))
-    return wanted.join(df, [*on, time])
+    return wanted.join(dense_steps(df, keys, bands, steps, fill, time), [*on, time])
 
 
 def anchor_steps(steps: int, window: tuple[int, int]) -> Column:
@@ -50,12 +81,13 @@ def anchor_steps(steps: int, window: tuple[int, int]) -> Column:
 
 
 def holdout_windows(
-    pixels: DataFrame, df: DataFrame, on: list[str], length: int, holdout: int, steps: int,
-    seed: int, epoch: int = 0, time: str = "t",
+    pixels: DataFrame, df: DataFrame, on: list[str], bands: list[str], length: int, holdout: int,
+    steps: int, seed: int, epoch: int = 0, fill: float = -1.0, time: str = "t",
 ) -> DataFrame:
     """Current window and its ``holdout`` shifts back and forward, per sampled pixel.
 
-    The anchor is drawn from ``[length + holdout, steps - holdout)`` by hashing the pixel.
+    The anchor is drawn from ``[length + holdout, steps - holdout)`` by hashing the pixel.  Every
+    window is full: steps without a row hold ``fill``.
     """
     span = steps - holdout - (length + holdout)
     keys = [F.col(c) for c in on]
@@ -70,7 +102,7 @@ def holdout_windows(
     wanted = shifted.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn(
         time, (first + F.col("k")).cast("int")
     )
-    return wanted.join(df, [*on, time])
+    return wanted.join(dense_steps(df, on, bands, steps, fill, time), [*on, time])
 
 
 def unpack_segments(
@@ -134,33 +166,39 @@ def frame_delta(
 ) -> DataFrame:
     """Latent change between consecutive frames, earlier minus later.
 
-    ``delta`` gives one row per pair of frames; ``cat_delta`` keeps the first frame in front
-    of the deltas; ``stack`` joins all frames end to end as they are.
+    ``delta`` gives one row per pair of direct successors, none across a missing frame;
+    ``cat_delta`` keeps the first frame in front of the deltas; ``stack`` joins all frames end to
+    end as they are.
     """
     if method == "delta":
-        w = W.partitionBy(*keys).orderBy(time)
-        later = F.lead(vector).over(w)
+        later = _neighbour(df, keys, time, [vector], 1)[vector]
         return (
             df.select(*keys, time, F.col(vector).alias("a_"), later.alias("b_"))
             .where(F.col("b_").isNotNull())
             .select(*keys, time, F.zip_with("a_", "b_", lambda a, b: a - b).alias(vector))
         )
     frames = df.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(time), F.col(vector)))), lambda s: s[vector]
+        F.array_sort(
+            F.collect_list(F.struct(F.col(time).alias("t_"), F.col(vector).alias("v_")))
         ).alias("f_")
     )
     f = F.col("f_")
     if method == "stack":
-        return frames.select(*keys, F.flatten(f).alias(vector))
+        return frames.select(*keys, F.flatten(F.transform(f, lambda s: s["v_"])).alias(vector))
     if method != "cat_delta":
         raise ValueError(f"unknown method {method!r}")
     n = F.size(f) - 1
-    deltas = F.zip_with(
-        F.slice(f, F.lit(1), n), F.slice(f, F.lit(2), n),
-        lambda a, b: F.zip_with(a, b, lambda x, y: x - y),
+    deltas = F.filter(
+        F.zip_with(
+            F.slice(f, F.lit(1), n), F.slice(f, F.lit(2), n),
+            lambda a, b: F.when(
+                b["t_"] == a["t_"] + 1, F.zip_with(a["v_"], b["v_"], lambda x, y: x - y)
+            ),
+        ),
+        lambda d: d.isNotNull(),
     )
-    return frames.select(*keys, F.concat(F.get(f, F.lit(0)), F.flatten(deltas)).alias(vector))
+    first = F.get(f, F.lit(0))["v_"]
+    return frames.select(*keys, F.concat(first, F.flatten(deltas)).alias(vector))
 
 
 def time_index(df: DataFrame, year: str, first_year: Column | int, out: str = "t") -> DataFrame:
@@ -170,18 +208,22 @@ def time_index(df: DataFrame, year: str, first_year: Column | int, out: str = "t
 
 def windows_with_labels(
     samples: DataFrame, cube: DataFrame, labels: DataFrame, place: str, pixel: list[str],
-    bands: list[str], label: str, time: str = "t",
+    bands: list[str], label: str, steps: int, fill: float = -1.0, time: str = "t",
 ) -> DataFrame:
     """Sample list with the two imagery steps ``t-1, t`` per pixel and the label at ``t-1``.
 
-    The list expands to the steps it asks for, so all three tables meet on equality keys.
+    Samples whose window leaves ``[0, steps)`` are dropped.  Missing imagery holds ``fill``, a missing
+    label 0.  The list expands to the steps it asks for, so all three tables meet on equality keys.
     """
-    steps = samples.withColumn("step_", F.explode(F.array(F.col(time) - 1, F.col(time))))
-    imagery = cube.select(place, *pixel, F.col(time).alias("step_"), *bands)
-    joined = steps.join(imagery, [place, "step_"]).withColumn("label_step_", F.col(time) - 1)
+    inside = samples.where((F.col(time) >= 1) & (F.col(time) < steps))
+    wanted = inside.withColumn("step_", F.explode(F.array(F.col(time) - 1, F.col(time))))
+    full = dense_steps(cube, [place, *pixel], bands, steps, fill, time)
+    imagery = full.select(place, *pixel, F.col(time).alias("step_"), *bands)
+    joined = wanted.join(imagery, [place, "step_"]).withColumn("label_step_", F.col(time) - 1)
     target = labels.select(*pixel, F.col(time).alias("label_step_"), label)
     return (
         joined.join(target, [*pixel, "label_step_"], "left")
+        .withColumn(label, F.coalesce(label, F.lit(0.0)))
         .withColumn("k", (F.col("step_") - F.col(time) + 1).cast("int"))
         .drop("step_", "label_step_")
     )

@@ -133,19 +133,42 @@ def series(spark, steps=7, skip=()):
 
 def test_window_edges(spark):
     anchors = spark.createDataFrame([(0, 0, t) for t in range(7)], "yi int, xi int, tdx int")
-    out = temporal.asymmetric_windows(anchors, series(spark), ["yi", "xi"], (2, 2), 7)
+    out = temporal.asymmetric_windows(anchors, series(spark), ["yi", "xi"], ["yi", "xi"], ["v"], (2, 2), 7)
     assert {r.tdx for r in out.collect()} == {2, 3, 4, 5}
     assert value(spark, temporal.anchor_steps(7, (2, 2))) == [0, 1, 2, 3]
     assert value(spark, temporal.anchor_steps(3, (2, 2))) == []
 
 
 def test_sliding_windows(spark):
-    out = temporal.sliding_windows(series(spark), 3, 7)
+    out = temporal.sliding_windows(series(spark), ["yi", "xi"], ["v"], 3, 7)
     got = {a: sorted((r.k, r.t) for r in out.collect() if r.anchor == a) for a in range(8)}
     assert {a for a, w in got.items() if w} == {3, 4, 5, 6}
     assert got[5] == [(0, 2), (1, 3), (2, 4)]
 
 
+def test_windows_are_full_where_steps_are_missing(spark):
+    out = temporal.sliding_windows(series(spark, skip=(0, 4)), ["yi", "xi"], ["v"], 3, 7).collect()
+    got = {a: [r.v for r in sorted(out, key=lambda r: r.k) if r.anchor == a] for a in range(3, 7)}
+    assert got == {3: [-1, 1, 4], 4: [1, 4, 9], 5: [4, 9, -1], 6: [9, -1, 25]}
+    pixels = spark.createDataFrame([(0, 0)], "yi int, xi int")
+    held = temporal.holdout_windows(pixels, series(spark, skip=(2,)), ["yi", "xi"], ["v"], 2, 1, 7, seed=1)
+    assert held.count() == 3 * 2
+    samples = spark.createDataFrame([(0, 0), (0, 3)], "yi int, t int")
+    labels = spark.createDataFrame([(0, 9, 1.0)], "xi int, t int, label double")
+    joined = temporal.windows_with_labels(
+        samples, series(spark, skip=(2,)), labels, "yi", ["xi"], ["v"], "label", 7
+    ).collect()
+    assert sorted((r.t, r.k, r.v, r.label) for r in joined) == [(3, 0, -1, 0), (3, 1, 9, 0)]
+
+
+def test_frame_delta_stops_at_a_gap(spark):
+    rows = [(0, t, [float(t * t)]) for t in (0, 2, 3)]
+    df = spark.createDataFrame(rows, "img int, t int, emb array<double>")
+    assert [(r.t, r.emb) for r in temporal.frame_delta(df, ["img"], "emb").collect()] == [(2, [-5.0])]
+    cat = temporal.frame_delta(df, ["img"], "emb", "cat_delta").collect()
+    assert [r.emb for r in cat] == [[0.0, -5.0]]
+
+
 def test_differences_need_neighbours(spark):
     df = series(spark, skip=(3,))
     first = {r.t: r.v for r in temporal.first_difference(df, ["yi", "xi"], ["v"]).collect()}
