@@ -47,6 +47,7 @@ def a3(i):
 
 
 CLEAR = "WHERE (qa & 8) = 0 AND (qa & 16) = 0"
+DRY = CLEAR + " AND (qa & 128) = 0"
 
 
 @query(
@@ -79,12 +80,13 @@ def _medoid(key: str, source: str, out: str) -> str:
 @query(
     "a6_annual_medoid",
     f"SELECT yi, xi, yr, CAST(acquired AS DATE) AS day, scene_id, {s6('b1')} AS b1, {s6('b4')} AS b4 FROM med",
-    f"""src AS (SELECT * FROM {{observations}} {CLEAR}
+    f"""src AS (SELECT * FROM {{observations}} {DRY}
               AND scene_id NOT IN (SELECT scene_id FROM {{scenes}} WHERE cloud_pct >= 95)),"""
     + _medoid("yi, xi, yr", "src", "med"),
 )
 def a6(i):
-    clear = masks.clear_pixels(masks.exclude(i.observations, i.scenes.where("cloud_pct >= 95"), "scene_id"))
+    kept = masks.exclude(i.observations, i.scenes.where("cloud_pct >= 95"), "scene_id")
+    clear = masks.clear_pixels(kept, labels=masks.MEDOID_MASK)
     out = composites.medoid_composite(clear, ["yi", "xi", "yr"], BANDS, TIE)
     return rounded(out.select("yi", "xi", "yr", day().alias("day"), "scene_id", "b1", "b4"), "b1", "b4")
 
@@ -92,8 +94,8 @@ def a6(i):
 MONTHS = """
 rng AS (SELECT DATE '1995-01-31' AS lo, DATE '1995-03-01' AS hi
         UNION ALL SELECT CAST(m AS DATE), CAST(m + INTERVAL 1 MONTH AS DATE)
-        FROM generate_series(TIMESTAMP '1995-03-01', TIMESTAMP '2001-07-01', INTERVAL 1 MONTH) g(m))"""
-START, END = date(1995, 1, 31), date(2001, 7, 20)
+        FROM generate_series(TIMESTAMP '1995-03-01', TIMESTAMP '2001-11-01', INTERVAL 1 MONTH) g(m))"""
+START, END = date(1995, 1, 31), date(2001, 11, 20)
 
 
 @query(
@@ -102,11 +104,11 @@ START, END = date(1995, 1, 31), date(2001, 7, 20)
         FROM med""",
     MONTHS + f""",
 src AS (SELECT o.*, lo AS range_start FROM {{observations}} o JOIN rng ON acquired >= lo AND acquired < hi
-        {CLEAR} AND lo >= DATE '1995-06-15'),"""
+        {DRY} AND lo >= DATE '1995-06-15'),"""
     + _medoid("yi, xi, range_start", "src", "med"),
 )
 def a7(i):
-    clear = masks.clear_pixels(i.observations)
+    clear = masks.clear_pixels(i.observations, labels=masks.MEDOID_MASK)
     out = composites.monthly_medoid(
         clear, day(), START, END, ["yi", "xi"], BANDS, TIE, first_available=date(1995, 6, 15)
     )
@@ -395,7 +397,7 @@ def _sigmoid(name: str):
 
 CKPT = """
 ck AS (SELECT run_id, path, CAST(regexp_extract(path, 'epoch=(\\d+)_', 1) AS INT) AS epoch,
-              CAST(regexp_extract(path, 'loss=([0-9.]+[0-9])', 1) AS DOUBLE) AS metric,
+              CAST(regexp_extract(path, '_[^=]+=([0-9.]+[0-9])', 1) AS DOUBLE) AS metric,
               CASE WHEN path LIKE '%-v%' THEN CAST(regexp_extract(path, '-v(\\d+)', 1) AS INT) ELSE -2 END AS version
        FROM {checkpoints})"""
 
@@ -417,13 +419,12 @@ def a25(i):
 
 @query(
     "o3_checkpoint_order",
-    """SELECT epoch, version, count(*) AS n, min(metric) AS metric FROM ck GROUP BY epoch, version""",
+    """SELECT run_id, path, epoch, version,
+              row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC, version DESC, path) AS place FROM ck""",
     CKPT,
 )
 def o3(i):
-    return checkpoints.parse_checkpoints(i.checkpoints).groupBy("epoch", "version").agg(
-        F.count(F.lit(1)).alias("n"), F.min("metric").alias("metric")
-    )
+    return checkpoints.in_order(i.checkpoints).select("run_id", "path", "epoch", "version", "place")
 
 
 @query(

@@ -24,7 +24,7 @@ SELECT l_orderkey AS scene_id,
        l_shipdate AS acquired, CAST(year(l_shipdate) AS INT) AS yr,
        CAST(floor(l_partkey / 40e0) AS INT) AS yi, CAST(l_partkey % 40 AS INT) AS xi,
        1200e0 - 30e0 * floor(l_partkey / 40e0) AS lat, 30e0 * (l_partkey % 40) AS lon,
-       CAST(l_quantity AS INT) AS qa,
+       CAST(l_quantity AS INT) + CASE WHEN l_partkey % 11 = 3 THEN 128 ELSE 0 END AS qa,
        l_discount AS b1, l_tax AS b2, l_discount + l_tax AS b3,
        l_extendedprice / 100000e0 AS b4, l_quantity / 50e0 AS b5, l_linenumber / 7e0 AS b6
 FROM {lineitem}""",
@@ -76,7 +76,8 @@ SELECT a.vec_id AS vec_id, a.label AS label, a.embedding AS emb_a, b.embedding A
 FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1""",
     "checkpoints": """
 SELECT user_id AS run_id, event_id,
-       concat('epoch=', lpad(CAST(event_id % 200 AS VARCHAR(20)), 4, '0'), '_val_loss=',
+       concat('epoch=', lpad(CAST(event_id % 200 AS VARCHAR(20)), 4, '0'),
+              CASE event_id % 4 WHEN 0 THEN '_val_f1=' WHEN 1 THEN '_test/iou@50=' ELSE '_val_loss=' END,
               CAST(CAST(floor(value / 10e0) / 10e0 AS DECIMAL(10,3)) AS VARCHAR(20)),
               CASE WHEN event_id % 3 = 0
                    THEN concat('-v', CAST(event_id % 4 AS VARCHAR(20))) ELSE '' END, '.ckpt') AS path

@@ -276,7 +276,7 @@ def p16(i):
 
 @query(
     "p16_month_band_names",
-    f"""SELECT yi, xi, concat_ws('_', yr, lpad(CAST(month(acquired) AS VARCHAR), 2, '0'), k.b) AS name,
+    f"""SELECT yi, xi, concat_ws('_', yr, month(acquired), k.b) AS name,
                {s6("median(CASE k.b WHEN 'b4' THEN b4 ELSE b5 END)")} AS value
         FROM {{observations}}, (VALUES ('b4'), ('b5')) k(b) GROUP BY 1, 2, 3""",
 )

@@ -12,7 +12,7 @@ from gridloom.operators.ranks import lookup_join
 
 def drawn(keys: str, seed: int, n: int, epoch: int = 0) -> str:
     """SQL twin of a reproducible draw in [0, n)."""
-    return f"CAST(CAST('0x' || substr(md5(concat_ws(':', {keys}, '{seed}', '{epoch}')), 1, 7) AS BIGINT) % {n} AS INT)"
+    return f"CAST(CAST('0x' || substr(md5(concat_ws(':', {keys}, '{seed}', '{epoch}')), 1, 15) AS BIGINT) % {n} AS INT)"
 
 
 @query(
@@ -152,8 +152,8 @@ def q7(i):
     f"""
 SELECT img, block, yi, xi, {s6('least(greatest(b * fc + (1 - fc) * avg(b) OVER (PARTITION BY img, block), 0e0), 1e0)')} AS soft
 FROM (SELECT *, least(greatest(soft * fb, 0e0), 1e0) AS b FROM (
-  SELECT *, 0.6e0 + 0.8e0 * (CAST('0x' || substr(md5(concat_ws(':', img, block, '41', '0')), 1, 7) AS BIGINT) / 268435456e0) AS fb,
-            0.7e0 + 0.6e0 * (CAST('0x' || substr(md5(concat_ws(':', img, block, '42', '0')), 1, 7) AS BIGINT) / 268435456e0) AS fc
+  SELECT *, 0.6e0 + 0.8e0 * (CAST('0x' || substr(md5(concat_ws(':', img, block, '41', '0')), 1, 15) AS BIGINT) / 1152921504606846976e0) AS fb,
+            0.7e0 + 0.6e0 * (CAST('0x' || substr(md5(concat_ws(':', img, block, '42', '0')), 1, 15) AS BIGINT) / 1152921504606846976e0) AS fc
   FROM sq))""",
     SQUARE,
 )

@@ -104,18 +104,24 @@ def s8b(i):
 
 @query(
     "s8_stats_merge",
-    """SELECT coalesce(b.label, a.label) AS label, coalesce(b.n, a.n) AS n FROM
-         (SELECT label, count(*) AS n FROM {features} WHERE yr < 1998 AND label <> '5-LOW' GROUP BY label) a
-         FULL JOIN (SELECT label, count(*) AS n FROM {features} WHERE label <> '1-URGENT' GROUP BY label) b
-           ON a.label = b.label""",
+    """SELECT coalesce(c.label, b.label, a.label) AS label, CAST(coalesce(c.n, b.n, a.n) AS BIGINT) AS n FROM
+         (SELECT label, count(*) AS n FROM {features} WHERE label < '3' GROUP BY label) a
+         FULL JOIN (SELECT label, sum(fid) AS n FROM {features} WHERE label > '2' AND label < '4' GROUP BY label) b
+           ON a.label = b.label
+         FULL JOIN (SELECT label, max(fid) AS n FROM {features} WHERE label >= '3' GROUP BY label) c
+           ON c.label = coalesce(b.label, a.label)""",
 )
 def s8(i):
-    count = F.count(F.lit(1)).alias("n")
-    old = i.features.where("yr < 1998 AND label <> '5-LOW'").groupBy("label").agg(count)
-    new = i.features.where("label <> '1-URGENT'").groupBy("label").agg(count)
+    by_label = lambda where, n: i.features.where(where).groupBy("label").agg(n.cast("long").alias("n"))
     path = scratch_path(i.spark, "stats")
-    old.write.parquet(f"{path}/current")
-    return i.spark.read.parquet(cubes.update_document(i.spark, path, new, ["label"], ["n"]))
+    updates = [
+        by_label("label < '3'", F.count(F.lit(1))),
+        by_label("label > '2' AND label < '4'", F.sum("fid")),
+        by_label("label >= '3'", F.max("fid")),
+    ]
+    for number, new in enumerate(updates):
+        stored = cubes.update_document(i.spark, path, new, ["label"], ["n"], first=number == 0)
+    return stored
 
 
 @query(

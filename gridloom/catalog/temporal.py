@@ -59,7 +59,7 @@ def w3(i):
 SELECT p.yi, p.xi, p.anchor, CAST(s AS INT) AS shift,
        CASE WHEN s < 0 THEN 'bwd' WHEN s > 0 THEN 'fwd' ELSE 'cur' END AS segment,
        CAST(c.t - (p.anchor + s - 2) AS INT) AS k, {s6('c.b1')} AS b1
-FROM (SELECT DISTINCT yi, xi, CAST(CAST('0x' || substr(md5(concat_ws(':', yi, xi, '11', '2')), 1, 7) AS BIGINT) % 3 + 3 AS INT) AS anchor
+FROM (SELECT DISTINCT yi, xi, CAST(CAST('0x' || substr(md5(concat_ws(':', yi, xi, '11', '2')), 1, 15) AS BIGINT) % 3 + 3 AS INT) AS anchor
       FROM {{cube}}) p CROSS JOIN generate_series(-1, 1) g(s)
 JOIN dense c ON c.yi = p.yi AND c.xi = p.xi AND c.t BETWEEN p.anchor + s - 2 AND p.anchor + s - 1""",
     DENSE,

@@ -33,10 +33,6 @@ def surface_reflectance(x: Column) -> Column:
     return rescale(x, 0.0000275, -0.2)
 
 
-def z_score(x: Column, mean: Column, std: Column) -> Column:
-    return F.try_divide(x - mean, std)
-
-
 def binary_step(x: Column) -> Column:
     return F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0))
 

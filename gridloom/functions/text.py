@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The checkpoint and prediction file-name formats that must be read.
-CHECKPOINT_NAME = r"epoch=(\d+)_[A-Za-z_]+=(-?\d+(?:\.\d+)?)(?:-v(\d+))?\.ckpt"
+CHECKPOINT_NAME = r"epoch=(\d+)_.+=(-?\d+(?:\.\d+)?)(?:-v(\d+))?\.ckpt"
 PREDICTION_NAME = r"(\d+)_.+\.pt"
 
 
@@ -43,12 +43,12 @@ def draw(keys: list[Column], seed: int, epoch: int = 0) -> Column:
 
 
 def draw_int(keys: list[Column], seed: int, n: int, epoch: int = 0) -> Column:
-    """Reproducible integer in ``[0, n)``, from the first seven hex digits of the digest."""
-    head = F.conv(F.substring(draw(keys, seed, epoch), 1, 7), 16, 10).cast("bigint")
-    return (head % n).cast("int")
+    """Reproducible integer in ``[0, n)``, from the first fifteen hex digits (60 bits) of the digest."""
+    head = F.conv(F.substring(draw(keys, seed, epoch), 1, 15), 16, 10).cast("bigint")
+    return (head % n).cast("int" if n <= 1 << 31 else "bigint")
 
 
 def draw_unit(keys: list[Column], seed: int, epoch: int = 0) -> Column:
     """Reproducible number in ``[0, 1)``."""
-    head = F.conv(F.substring(draw(keys, seed, epoch), 1, 7), 16, 10).cast("double")
-    return head / F.lit(float(16**7))
+    head = F.conv(F.substring(draw(keys, seed, epoch), 1, 15), 16, 10).cast("bigint").cast("double")
+    return head / F.lit(float(16**15))

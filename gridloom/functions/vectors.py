@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -83,7 +82,3 @@ def argmax(v: Column) -> Column:
 def nan_to_null(x: Column) -> Column:
     """NaN marks missing data in array stores; NULL is what aggregates skip."""
     return F.when(~F.isnan(x), x)
-
-
-def total_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridloom.functions import text
 from gridloom.operators.ranks import top_row
@@ -37,6 +37,17 @@ def latest_checkpoint(df: DataFrame, run: str = "run_id", path: str = "path") ->
     return _choose(df, run, path, [("epoch", "desc"), ("version", "desc")])
 
 
+def in_order(df: DataFrame, run: str = "run_id", path: str = "path") -> DataFrame:
+    """Every checkpoint with its ``place`` in its run, the latest first.
+
+    A run holds one file per saved epoch, which bounds the window; unreadable names come last.
+    """
+    latest = W.partitionBy(run).orderBy(
+        F.col("epoch").desc_nulls_last(), F.col("version").desc(), F.col(path)
+    )
+    return parse_checkpoints(df, path).withColumn("place", F.row_number().over(latest).cast("long"))
+
+
 def tile_progress(expected: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
     """How many expected tiles were written, and how many are missing."""
     marks = written.select(*keys).distinct().withColumn("done_", F.lit(1))

@@ -199,7 +199,7 @@ def stack_periods(
 
 def long_names(df: DataFrame, pixel: list[str], period: list[str], bands: list[str]) -> DataFrame:
     """One row per output band, named ``<year>_<band>`` or ``<year>_<month>_<band>``."""
-    parts = [F.lpad(F.col(p).cast("string"), 2, "0") if p == "month" else F.col(p).cast("string") for p in period]
+    parts = [F.col(p).cast("string") for p in period]
     named = F.array(
         *[
             F.struct(F.concat_ws("_", *parts, F.lit(b)).alias("name"), F.col(b).alias("value"))

@@ -126,12 +126,6 @@ def region_index(
     )
 
 
-def to_coordinates(df: DataFrame, minx: float, maxy: float, sx: float, sy: float) -> DataFrame:
-    return df.withColumn("lon", F.lit(minx) + F.col("xi") * sx).withColumn(
-        "lat", F.lit(maxy) - F.col("yi") * sy
-    )
-
-
 def to_indices(df: DataFrame, minx: float, maxy: float, sx: float, sy: float) -> DataFrame:
     return df.withColumn("xi", floor_index((F.col("lon") - minx) / sx)).withColumn(
         "yi", floor_index((F.lit(maxy) - F.col("lat")) / sy)

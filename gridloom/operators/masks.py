@@ -11,6 +11,7 @@ from gridloom.operators.tiling import drop_halo, focal, with_halo
 
 # QA bit of each mask label, and the six common band names.
 QA_BITS = {"cloud": 3, "shadow": 4, "water": 7}
+MEDOID_MASK = ("cloud", "shadow", "water")  # what medoid composites leave out by default
 COMMON_BANDS = ["B2", "B3", "B4", "B5", "B6", "B7"]
 # Source bands per sensor, in the order of the common names.
 SENSOR_BANDS = {

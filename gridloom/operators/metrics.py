@@ -80,8 +80,8 @@ def reduce_rows(df: DataFrame, value: str, reduction: str, out: str = "loss") ->
 
 
 def overlap_losses(
-    df: DataFrame, keys: list[str], cls: str, prob: str, target: str,
-    alpha: float = 0.5, beta: float = 0.5, eps: float = 1e-6, ignore: list[int] | None = None,
+    df: DataFrame, keys: list[str], cls: str, prob: str, target: str, eps: float = 1e-6,
+    ignore: list[int] | None = None,
 ) -> DataFrame:
     """Dice and Jaccard loss per (image, class) from three sums per class."""
     sums = overlap_sums(df, keys, cls, prob, target, ignore)

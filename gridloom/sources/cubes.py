@@ -67,16 +67,30 @@ def merge_document(old: DataFrame, new: DataFrame, keys: list[str], values: list
     )
 
 
-def update_document(spark: SparkSession, path: str, new: DataFrame, keys: list[str], values: list[str]) -> str:
-    """Merge into a stored statistics table; returns the path of the new version.
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed version of a stored statistics table."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")
 
-    A version is written beside the old one, because a table being read cannot be replaced.
+
+def update_document(
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], values: list[str],
+    first: bool = False,
+) -> DataFrame:
+    """Merge into a stored statistics table and return the new version.
+
+    Versions are numbered partitions beside one another, because a table being read cannot be
+    replaced; a version counts from the moment its write is committed, and every update
+    starts from the newest one.  ``first`` begins a new table.
     """
-    current = f"{path.rstrip('/')}/current"
-    merged = merge_document(spark.read.parquet(current), new, keys, values)
-    target = f"{path.rstrip('/')}/next"
-    merged.write.mode("overwrite").parquet(target)
-    return target
+    number = 0
+    if not first:
+        number = spark.read.parquet(path).agg(F.max("version")).first()[0] + 1
+        new = merge_document(read_document(spark, path), new, keys, values)
+    # the target is named outright, so that a repeated write replaces its own version only
+    new.select(*keys, *values).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={number}")
+    return read_document(spark, path)
 
 
 def display_bands(df: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:

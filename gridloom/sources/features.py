@@ -57,7 +57,13 @@ def parts_from_geojson(text: Column) -> Column:
         F.from_json(text, MULTIPOLYGON)["coordinates"], lambda part: F.transform(part, _ring)
     )
     kind = F.get_json_object(text, "$.type")
-    return F.when(kind == "Polygon", single).when(kind == "MultiPolygon", several)
+    unknown = F.raise_error(F.concat(F.lit("not a polygon: "), F.coalesce(kind, text)))
+    return (
+        F.when(text.isNull(), F.lit(None))
+        .when(kind == "Polygon", single)
+        .when(kind == "MultiPolygon", several)
+        .otherwise(unknown.cast("array<array<array<struct<x:double,y:double>>>>"))
+    )
 
 
 def ring_from_geojson(text: Column) -> Column:
@@ -65,27 +71,40 @@ def ring_from_geojson(text: Column) -> Column:
     return F.get(F.get(parts_from_geojson(text), F.lit(0)), F.lit(0))
 
 
-def _polygon(wkb: bytes, start: int) -> tuple[list[np.ndarray], int]:
-    """Rings of one two-dimensional polygon as ``x0, y0, x1, y1, ...``, and where it ends."""
+def _header(wkb: bytes, start: int) -> tuple[str, int, int, int]:
+    """Byte order, plain kind, numbers per vertex, and where the body begins.
+
+    Z, M and ZM are marked by thousands or by high bits, an SRID by a high bit of its own.
+    """
     order = "<" if wkb[start] == 1 else ">"
-    count = struct.unpack_from(order + "I", wkb, start + 5)[0]
-    at, found = start + 9, []
+    code = struct.unpack_from(order + "I", wkb, start + 1)[0]
+    plain = code & 0x0FFFFFFF
+    more = bool(code & 0x80000000) + bool(code & 0x40000000) + (0, 1, 1, 2)[plain // 1000 % 4]
+    return order, plain % 1000, 2 + more, start + 5 + (4 if code & 0x20000000 else 0)
+
+
+def _polygon(wkb: bytes, start: int) -> tuple[list[np.ndarray], int]:
+    """Rings of one polygon as ``x0, y0, x1, y1, ...``, and where it ends."""
+    order, _, width, at = _header(wkb, start)
+    count = struct.unpack_from(order + "I", wkb, at)[0]
+    at, found = at + 4, []
     for _ in range(count):
         n = struct.unpack_from(order + "I", wkb, at)[0]
-        found.append(np.frombuffer(wkb, dtype=order + "f8", count=2 * n, offset=at + 4).astype("f8"))
-        at += 4 + 16 * n
+        ring = np.frombuffer(wkb, dtype=order + "f8", count=width * n, offset=at + 4)
+        found.append(ring.reshape(n, width)[:, :2].astype("f8").ravel())
+        at += 4 + 8 * width * n
     return found, at
 
 
-def _vertices(wkb: bytes) -> list[list[np.ndarray]] | None:
-    order = "<" if wkb[0] == 1 else ">"
-    kind = struct.unpack_from(order + "I", wkb, 1)[0]
+def _vertices(wkb: bytes) -> list[list[np.ndarray]]:
+    order, kind, _, at = _header(wkb, 0)
     if kind == 3:
         return [_polygon(wkb, 0)[0]]
     if kind != 6:
-        return None
-    parts, at = [], 9
-    for _ in range(struct.unpack_from(order + "I", wkb, 5)[0]):
+        raise ValueError(f"geometry kind {kind} is neither a polygon nor a multipolygon")
+    parts, count = [], struct.unpack_from(order + "I", wkb, at)[0]
+    at += 4
+    for _ in range(count):
         part, at = _polygon(wkb, at)
         parts.append(part)
     return parts

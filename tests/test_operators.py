@@ -424,13 +424,14 @@ def test_checkpoint_ties(spark):
         "a": ["epoch=0003_val_loss=0.500.ckpt", "epoch=0005_val_loss=0.500.ckpt", "epoch=0009_val_loss=0.700.ckpt"],
         "b": ["epoch=0004_val_loss=0.500.ckpt", "epoch=0004_val_loss=0.500-v1.ckpt"],
         "c": ["last.ckpt"],
+        "d": ["epoch=0003_val_f1=0.51.ckpt", "epoch=0004_test/iou@50=0.49-v2.ckpt"],
     }
     rows = [(run, n) for run, ns in names.items() for n in ns]
     df = spark.createDataFrame(rows, "run_id string, path string")
     best = {r.run_id: r.path for r in best_checkpoint(df).collect()}
-    assert best == {"a": names["a"][1], "b": names["b"][1], "c": "null"}
+    assert best == {"a": names["a"][1], "b": names["b"][1], "c": "null", "d": names["d"][1]}
     latest = {r.run_id: r.path for r in latest_checkpoint(df).collect()}
-    assert latest == {"a": names["a"][2], "b": names["b"][1], "c": "null"}
+    assert latest == {"a": names["a"][2], "b": names["b"][1], "c": "null", "d": names["d"][1]}
 
 
 def test_names(spark):
@@ -510,6 +511,14 @@ def test_merge_keeps_keys_of_both_sides(spark):
     assert {r.k: r.n for r in merged} == {"a": 1, "b": 5, "c": 7}
 
 
+def test_a_second_update_keeps_the_first(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    for k, (key, n) in enumerate([("a", 1), ("b", 2), ("c", 3), ("b", 9)]):
+        new = spark.createDataFrame([(key, n)], "k string, n int")
+        out = cubes.update_document(spark, path, new, ["k"], ["n"], first=k == 0)
+    assert {r.k: r.n for r in out.collect()} == {"a": 1, "b": 9, "c": 3}
+
+
 def test_steps_by_name(spark):
     df = series(spark)
 
