@@ -30,9 +30,9 @@ class Shingler:
     """Bag of word shingles of a text as 64-bit hashes with their counts."""
 
     def __init__(self):
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_64_digest
 
-        self.hash, self.known = xxh3_64_intdigest, {}
+        self.hash, self.known = xxh3_64_digest, {}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.encode("utf-8", "surrogatepass").split()
@@ -40,18 +40,15 @@ class Shingler:
             return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, make = self.known, self.hash
-        codes = []
-        for w in words:
-            code = known.get(w)
-            if code is None:
-                code = known[w] = make(w)
-            codes.append(code)
-        h = np.array(codes, dtype=np.uint64)
+        codes = list(map(self.known.get, words))
+        if None in codes:
+            self.known.update((w, self.hash(w)) for w in {w for w, c in zip(words, codes) if c is None})
+            codes = map(self.known.__getitem__, words)
+        h = np.frombuffer(b"".join(codes), dtype=">u8").astype(np.uint64)
         size = min(SHINGLE, len(words))
         total = np.zeros(len(words) - size + 1, dtype=np.uint64)
         for k in range(size):
-            total = mix(total + _STEP) + h[k : k + len(total)]
+            total = total * _STEP + h[k : k + len(total)]
         return np.unique(mix(total), return_counts=True)
 
     def elements(self, text: str) -> np.ndarray:
@@ -83,25 +80,29 @@ def bag_minhash(bag: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         low *= 2
     seed, width = np.concatenate(seeds), np.concatenate(widths)
     low_, weight = np.concatenate(lows), np.concatenate(weights).astype(float)
-    limit = size * (np.log(size) + 4.0) / counts.sum()
+    plain = len(seeds) == 1  # all weights are 1, so every level counts
+    limit = size * (np.log(size) + 3.0) / counts.sum()
     while True:
         registers = np.full(size, np.inf)
         live, t, drawn = np.arange(len(seed)), np.zeros(len(seed)), 0
         while len(live):
-            block = int(np.clip(limit * width[live].max() * 1.3, 1, max(1, 4096 // len(live)) ))
-            steps = (np.arange(drawn + 1, drawn + block + 1, dtype=np.uint64) * _STEP)[None, :]
+            expected = limit * width[live].max()
+            block = int(np.clip(expected + 2 * np.sqrt(expected), 1, max(1, 8192 // len(live))))
+            steps = np.arange(drawn + 1, drawn + block + 1, dtype=np.uint64) * _STEP
             z = mix(seed[live][:, None] + steps)
-            gap = -np.log((z >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54)
-            times = t[live][:, None] + np.cumsum(gap / width[live][:, None], axis=1)
-            y = mix(z ^ np.uint64(0xD6E8FEB86659FD93))
-            level = low_[live][:, None] + width[live][:, None] * (
-                (y >> np.uint64(32)).astype(float) * 2.0**-32
-            )
-            counts_ = (times < limit) & (level < weight[live][:, None])
+            gap = -np.log((z >> np.uint64(11)) * 2.0**-53 + 2.0**-54)
+            times = np.cumsum(gap if plain else gap / width[live][:, None], axis=1)
+            times += t[live][:, None]
+            early = times < limit
+            when, y = times[early], mix(z[early] ^ np.uint64(0xD6E8FEB86659FD93))
             place = ((y & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)
-            np.minimum.at(registers, place[counts_].astype(np.int64), times[counts_])
+            if not plain:
+                of = live[np.nonzero(early)[0]]
+                counted = low_[of] + width[of] * ((y >> np.uint64(32)) * 2.0**-32) < weight[of]
+                when, place = when[counted], place[counted]
+            np.minimum.at(registers, place.astype(np.int64), when)
             t[live] = times[:, -1]
-            live = live[times[:, -1] < limit]
+            live = live[early[:, -1]]
             drawn += block
         if np.isfinite(registers).all():
             return registers
