@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridloom.llm.common import clean, free_name
 from gridloom.session import cut
@@ -14,7 +14,7 @@ from gridloom.session import cut
 SHINGLE = 5  # words
 BANDS, ROWS = 21, 6  # at a similarity of 0.8 a pair misses every band with probability 0.002
 NUM, DEN = 4, 5  # least similarity, as a fraction
-CROWD = 64  # strangers in a bucket from which on a second band has to agree
+CROWD = 64  # strangers in a bucket from which on their pairs are found by prefix filtering
 CACHE_WORDS = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,6 +182,35 @@ def _may_match(a: Column, b: Column) -> Column:
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs of different classes and possible weights, the lesser node first."""
+    return (
+        pairs.where("r1 <> r2")
+        .where(_may_match(F.col("wa"), F.col("weight")))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    )
+
+
+def _prefix_pairs(crowd: DataFrame, bags: DataFrame) -> DataFrame:
+    """Candidate pairs of a crowd by exact prefix filtering.
+
+    With the elements of every bag in one order, rarest first, two bags as similar as the threshold
+    share one of their first ``weight - ceil(threshold * weight) + 1`` elements.  What makes the crowd
+    meet is common and stands last, so bags that have only that in common never meet here.
+    """
+    held = crowd.join(bags, "node").select("node", "weight", "r", F.explode("bag").alias("e"))
+    often = held.groupBy("e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # elements of one bag only cannot make a pair, but take their places in the prefix
+    ranked = held.join(often, "e", "left").withColumn("place", F.row_number().over(
+        W.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "e")
+    ))
+    reach = F.col("weight") - F.ceil(F.col("weight") * NUM / DEN) + 1
+    first = ranked.where((F.col("place") <= reach) & F.col("often").isNotNull())
+    left = first.select("e", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("r").alias("r1"))
+    right = first.select("e", F.col("node").alias("b"), "weight", F.col("r").alias("r2"))
+    return left.join(right, "e").where("a < b")
+
+
 def _signed(df: DataFrame, text: str) -> DataFrame:
     """One row per distinct text with a word: node, weight, keys."""
     made = df.select(F.unhex(F.md5(text)).alias("node"), signatures(text).alias("s"))
@@ -193,19 +222,22 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
 
     A node is the binary MD5 of a text.  Texts that share a bucket are linked if the weighted Jaccard
     similarity of their bags of five-word shingles is at least 0.8; classes are the connected
-    components.  Each bucket first pairs its members with its least one only.  Then members
-    that this left outside the least member's class are paired with all members of other
-    classes, so that no similar pair of a bucket stays untested, while a large group of copies never
-    meets itself.  In a bucket with more than ``CROWD`` such strangers a pair must share another
-    band as well.
+    components.  Each bucket first pairs its members with its hub only, the member that meets most
+    texts in all its buckets.  Then members that this left outside the hub's class are paired with all
+    members of other classes, so that no similar pair of a bucket stays untested, while a large
+    group of copies never meets itself.  Where a bucket holds more than ``CROWD`` such strangers,
+    as texts around one common passage do, exact prefix filtering finds their pairs.
     """
     signed = cut(_signed(df, text))
     places = signed.select("node", "weight", F.explode("keys").alias("key"))
     company = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(places.join(company.select("key"), "key"))
-    least = shared.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("least"))
-    members = cut(shared.join(
-        least.select("key", F.col("least.node").alias("a"), F.col("least.weight").alias("wa")), "key"
+    shared = cut(places.join(company, "key"))
+    seen = shared.groupBy("node").agg(F.sum("n").alias("seen"))
+    hubs = shared.join(seen, "node").groupBy("key").agg(
+        F.max(F.struct("seen", "node", "weight")).alias("hub")
+    )
+    members = cut(shared.drop("n").join(
+        hubs.select("key", F.col("hub.node").alias("a"), F.col("hub.weight").alias("wa")), "key"
     ))
     stars = (
         members.where(F.col("a") != F.col("node"))
@@ -231,24 +263,13 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     strange = cut(placed.where("r <> ra").groupBy("key").agg(F.count(F.lit(1)).alias("strangers")))
     placed = placed.join(strange, "key")
     small = placed.where(F.col("strangers") <= CROWD)
-    crowd = placed.where(F.col("strangers") > CROWD)
-    finer = (
-        crowd.join(signed.select("node", "keys"), "node")
-        .withColumn("other", F.explode("keys"))
-        .where("other <> key")
-        .withColumn("key", F.xxhash64("key", "other"))
-        .drop("keys", "other")
-    )
-    group = small.unionByName(finer)
-    left = group.where("r <> ra").select("key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("r").alias("r1"))
-    right = group.select("key", F.col("node").alias("b"), "weight", F.col("r").alias("r2"))
-    pairs = (
-        left.join(right, "key")
-        .where("r1 <> r2")
-        .where(_may_match(F.col("wa"), F.col("weight")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    left = small.where("r <> ra").select(
+        "key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("r").alias("r1")
     )
+    right = small.select("key", F.col("node").alias("b"), "weight", F.col("r").alias("r2"))
+    pairs = _ordered(left.join(right, "key"))
+    crowd = placed.where(F.col("strangers") > CROWD).select("node", "weight", "r").distinct()
+    pairs = pairs.unionByName(_ordered(_prefix_pairs(crowd, bags))).distinct()
     more = cut(_verified(pairs, bags))
     return labels if more.isEmpty() else components(links.unionByName(more))
 

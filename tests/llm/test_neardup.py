@@ -92,3 +92,18 @@ def test_keep_one(awkward, docs):
 def test_empty(empty):
     assert N.near_duplicates(empty).count() == 0
     assert N.keep_one(empty).count() == 0
+
+
+def test_crowd_around_a_common_passage(spark, monkeypatch):
+    """Texts that share a passage meet in buckets; only those really similar are linked."""
+    monkeypatch.setattr(N, "CROWD", 3)
+    rng, rows = random.Random(9), []
+    passage = [f"p{k}" for k in range(60)]
+    for _ in range(150):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(4, 24))]
+        rows.append((len(rows), " ".join(own + passage)))
+        if rng.random() < 0.2:
+            rows.append((len(rows), " ".join(own + passage[:-1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()}
+    assert got == brute(rows)
