@@ -5,35 +5,78 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.catalog.base import BANDS, CHUNK, MAXY, SCALE, query, rounded
+from gridloom.catalog.base import BANDS, BURN, CHUNK, MAXY, SCALE, query, rounded
 from gridloom.catalog.grids import SHIFTED, shifted_windows
 from gridloom.functions.vectors import sigmoid
 from gridloom.operators import metrics, models, polygons
 from gridloom.plans import landcover
+from gridloom.session import cut
 
 
-@query("m1_pixel_forest")
-def m1(i):
-    """Fit on pixel histories, score the same pixels forward and time-reversed."""
-    # target: pixels under more urgent polygons than the average pixel
-    urgent = i.polygons.where("label = '1-URGENT'")
-    burned = polygons.burned_pixels(urgent, 0.0, MAXY, SCALE, ["fid"], tile=16)
+def _forest_scores(i):
+    """Scores per split and direction of a forest that is fitted on the training tiles only.
+
+    Target: pixels under more polygons of any label than the average covered pixel.
+    """
+    burned = polygons.burned_pixels(i.polygons, 0.0, MAXY, SCALE, ["fid"], tile=16)
     depth = burned.groupBy("yi", "xi").agg(F.count(F.lit(1)).alias("depth"))
     usual = depth.agg(F.avg("depth")).scalar()
-    burned = depth.select("yi", "xi", F.when(F.col("depth") > usual, 1.0).otherwise(0.0).alias("hit"))
-    forward = models.pixel_features(i.cube, ["yi", "xi"], BANDS, "t", 7)
-    labelled = forward.join(burned, ["yi", "xi"], "left").fillna({"hit": 0.0})
-    # fitting runs many jobs over these rows and scoring reads them again
-    labelled = labelled.persist()
-    model = models.fit_forest(labelled, "hit")
-    reverse = models.pixel_features(i.cube, ["yi", "xi"], BANDS, "t", 7, reverse=True)
-    reverse = reverse.join(labelled.select("yi", "xi", "hit"), ["yi", "xi"])
-    out = None
-    for name, rows in (("forward", labelled), ("reversed", reverse)):
-        scored = models.apply_forest(model, rows)
-        part = metrics.binary_scores(scored, "prediction", "hit").withColumn("direction", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, "accuracy", "jaccard", "precision", "recall")
+    hits = depth.select("yi", "xi", F.when(F.col("depth") > usual, 1.0).otherwise(0.0).alias("hit"))
+    tile = (F.floor(F.col("yi") / 8) * 5 + F.floor(F.col("xi") / 8)).cast("int")
+    split = F.when(F.col("tile_id") % 5 == 0, "test").when(F.col("tile_id") % 5 == 1, "validate").otherwise("train")
+
+    def labelled(reverse: bool):
+        rows = models.pixel_features(i.cube, ["yi", "xi"], BANDS, "t", 7, reverse=reverse)
+        rows = rows.join(hits, ["yi", "xi"], "left").fillna({"hit": 0.0})
+        return rows.withColumn("tile_id", tile).withColumn("split", split)
+
+    forward = cut(labelled(False))  # fitting runs many jobs over these rows and scoring reads them again
+    model = models.fit_forest(forward.where("split = 'train'"), "hit")
+    scored = models.apply_forest(model, forward.withColumn("direction", F.lit("forward"))).unionByName(
+        models.apply_forest(
+            model, labelled(True).where("split = 'test'").withColumn("direction", F.lit("reversed"))
+        )
+    )
+    image = ["split", "direction", "tile_id"]
+    flat = metrics.binary_scores(scored, "prediction", "hit", by=["split", "direction"])
+    likeness = (
+        metrics.ssim(scored, image, "prediction", "hit", tile=8)
+        .groupBy("split", "direction")
+        .agg(F.avg("ssim").alias("ssim"))
+    )
+    return flat.join(likeness, ["split", "direction"], "left")
+
+
+@query("m1_pixel_forest")
+def m1(i):
+    """Fit on pixel histories of the training tiles; score all splits, the test tiles reversed as well."""
+    return rounded(_forest_scores(i), "accuracy", "jaccard", "precision", "recall", "ssim")
+
+
+@query(
+    "m1_forest_checks",
+    """
+SELECT CASE (yi // 8 * 5 + xi // 8) % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validate' ELSE 'train' END AS split,
+       d.direction, count(*) AS n, count(*) FILTER (hit) AS positives, true AS cells_add_up, true AS in_range
+FROM (SELECT p.yi, p.xi, coalesce(deep.n > usual, false) AS hit
+      FROM (SELECT DISTINCT yi, xi FROM {cube}) p
+      LEFT JOIN deep USING (yi, xi) CROSS JOIN (SELECT avg(n) AS usual FROM deep))
+CROSS JOIN (VALUES ('forward'), ('reversed')) d(direction)
+WHERE d.direction = 'forward' OR (yi // 8 * 5 + xi // 8) % 5 = 0
+GROUP BY 1, 2""",
+    BURN + ", deep AS (SELECT yi, xi, count(DISTINCT fid) AS n FROM burn GROUP BY 1, 2)",
+)
+def m1_checks(i):
+    """What SQL can say about the scores: rows and positives, adding up, ranges."""
+    s = _forest_scores(i)
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    share = [F.col(c).between(0, 1) for c in ("accuracy", "jaccard", "precision", "recall")]
+    near = F.coalesce(F.col("ssim").between(-1.000001, 1.000001), F.lit(True))
+    return s.select(
+        "split", "direction", n.alias("n"), (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.col("tp") + F.col("tn") == F.round(F.col("accuracy") * n)).alias("cells_add_up"),
+        (share[0] & share[1] & share[2] & share[3] & near).alias("in_range"),
+    )
 
 
 def load_difference():

@@ -120,26 +120,18 @@ def _median_by_sort(df: DataFrame, keys: list[str], values: list[str]) -> DataFr
     return present.join(wide, keys, "left")
 
 
-def lookup_join(
-    rows: DataFrame, table: DataFrame, keys: list[str], share: int = 1000
-) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of many rows with a table that has one row per key.
 
-    A key holding more than one part in ``share`` of the rows is one of fewer than ``share``
-    keys, so its table row is broadcast and the rows stay where they are; every other key is
-    small enough to shuffle.  For tables that come out of an aggregation, where adaptive
-    execution cannot split a skewed key.
+    A table that comes out of an aggregation is already dealt by its keys, and adaptive
+    execution splits a crowded key only where both sides are dealt for the join itself.  A digest
+    of the keys as one more join column brings that about, so a key may hold any share of the
+    rows.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c_"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    heavy = counts.where(F.col("c_") * share > total).select(*keys)
-    if heavy.isEmpty():
-        return rows.join(table, keys, "left")
-    heavy = cut(heavy)  # fewer than ``share`` rows
-    crowded = table.join(F.broadcast(heavy), keys, "left_semi")
-    first = rows.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(crowded), keys, "left")
-    rest = rows.join(F.broadcast(heavy), keys, "left_anti").join(table, keys, "left")
-    return first.unionByName(rest)
+    digest = F.xxhash64(*keys)
+    return rows.withColumn("deal_", digest).join(
+        table.withColumn("deal_", digest), ["deal_", *keys], "left"
+    ).drop("deal_")
 
 
 def _bucketed(df: DataFrame, keys: list[str], seed: int, epoch: int, digits: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import statistics
 
 from pyspark.sql import functions as F
@@ -109,8 +110,17 @@ def test_dimension_is_dense(spark):
 def test_lookup_join_with_heavy_keys(spark):
     rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("k"))
     table = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for share in (2, 10, 100_000):
-        got = {r.id: r.v for r in ranks.lookup_join(rows, table, ["k"], share).collect()}
-        assert len(got) == 4000
-        for r in rows.collect():
-            assert got[r.id] == (r.k * 2 if r.k < 600 else None)
+    got = {r.id: r.v for r in ranks.lookup_join(rows, table, ["k"]).collect()}
+    assert len(got) == 4000
+    for r in rows.collect():
+        assert got[r.id] == (r.k * 2 if r.k < 600 else None)
+
+
+def test_lookup_join_is_dealt_for_the_join(spark):
+    """Both sides of the join are exchanged for it, the condition for splitting a crowded key."""
+    rows = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.max("id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = ranks.lookup_join(rows, table, ["k"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning\(deal_", plan)) == 2
