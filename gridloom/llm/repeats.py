@@ -17,12 +17,19 @@ from gridloom.llm.neardup import mix
 from gridloom.session import cut, scratch_path
 
 LENGTH = 400  # bytes of a passage
-GRAM = 16  # bytes hashed at each position, a power of two
 CHUNK = 1 << 17  # bytes hashed at a time
 SHARD_BYTES = 8 << 20  # what a shard holds, about
 _SYMBOLS = bytes((b + suffix.SHIFT) % 256 for b in range(256))  # UTF-8 has no bytes above 0xF4
 
 
+def gram_size(length: int) -> int:
+    """Bytes hashed at each position: a power of two, about a sixth of a passage.
+
+    Much shorter ones would stand at many places by chance and fill the shards in vain.
+    """
+    return 1 << max(0, (length // 6).bit_length() - 1)
+
+
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` (minimum or maximum) over every window of ``width``."""
     n, reach = len(x) - width + 1, 1
@@ -39,7 +46,8 @@ def window_runs(texts: list[bytes], length: int = LENGTH) -> list[tuple]:
     passages have equal values wherever they stand.  Neighbouring passages of one value are one run.
     ``twice`` tells whether the value's gram stands more than once in the text.
     """
-    grams = length - GRAM + 1
+    gram = gram_size(length)
+    grams = length - gram + 1
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes) - sizes
     total = int(sizes.sum())
@@ -48,7 +56,7 @@ def window_runs(texts: list[bytes], length: int = LENGTH) -> list[tuple]:
         return [none] * len(texts)
     h = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
     width, factor = 1, 0x100000001B3
-    while width < GRAM:
+    while width < gram:
         h = h[:-width] * np.uint64(factor) + h[width:]
         factor = factor * factor % (1 << 64)
         width *= 2
