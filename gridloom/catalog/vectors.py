@@ -145,3 +145,32 @@ def m2(i):
         *[r6(F.get("projection", F.lit(k))).alias(f"pc{k + 1}") for k in range(2)],
     )
     return named(first, "fitted").unionByName(named(second, "applied"))
+
+
+@query(
+    "m2_projection_checks",
+    f"""
+SELECT count(*) AS n, {s6('(SELECT sum(v) FROM (SELECT var_samp(x) AS v FROM long GROUP BY pos))', 4)} AS total_variance,
+       true AS ordered, true AS within_total, true AS orthogonal FROM {{embedding_pairs}}""",
+    """long AS (SELECT unnest(CAST(emb_a AS DOUBLE[])) AS x, unnest(generate_series(0, 63)) AS pos FROM {embedding_pairs})""",
+)
+def m2_checks(i):
+    """What SQL can say about the projection: rows, total variance, order and size of the components."""
+    pairs = i.embedding_pairs.select("vec_id", "emb_a")
+    model = models.fit_projection(pairs, "emb_a")
+    projected = models.apply_projection(model, pairs, "emb_a").select(
+        F.get("projection", F.lit(0)).alias("p1"), F.get("projection", F.lit(1)).alias("p2")
+    )
+    spread = projected.agg(
+        F.count(F.lit(1)).alias("n"), F.var_samp("p1").alias("v1"), F.var_samp("p2").alias("v2"),
+        F.covar_samp("p1", "p2").alias("v12"),
+    )
+    long = pairs.select(F.posexplode(F.col("emb_a").cast("array<double>")).alias("pos", "x"))
+    total = long.groupBy("pos").agg(F.var_samp("x").alias("v")).agg(F.sum("v")).scalar()
+    return spread.withColumn("total", total).select(
+        "n",
+        r6("total", 4).alias("total_variance"),
+        (F.col("v1") >= F.col("v2")).alias("ordered"),
+        (F.col("v1") + F.col("v2") <= F.col("total") + 1e-6).alias("within_total"),
+        (F.abs("v12") <= 1e-6 * F.col("total")).alias("orthogonal"),
+    )

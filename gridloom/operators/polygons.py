@@ -47,12 +47,20 @@ def polygon_cells(
     Needs the columns of :func:`with_geometry`.  A polygon is cut into rows of cells and the
     rows are dealt evenly over the cluster before the edge tests, which are the real work:
     neither a huge polygon, nor a crowded place, nor a coarse input file stays in one task.
+    ``edges`` of the result are those that meet the row of cells.
     """
     gy, gx = float(gy), float(gx)
     placed = features.withColumn("left_", minx).withColumn("top_", maxy)
     rows = _touched(F.col("top_") - F.col("maxy"), F.col("top_") - F.col("miny"), gy)
     cols = _touched(F.col("minx") - F.col("left_"), F.col("maxx") - F.col("left_"), gx)
-    cells = balance(placed.withColumn("r", F.explode(rows))).withColumn("c", F.explode(cols))
+    bands = placed.withColumn("r", F.explode(rows))
+    # a row of cells is tested against the edges that meet it and no others, and ships only those
+    high = F.col("top_") - F.col("r") * gy
+    near = F.filter(
+        "edges",
+        lambda e: (F.greatest(e["ay"], e["by"]) >= high - gy) & (F.least(e["ay"], e["by"]) <= high),
+    )
+    cells = balance(bands.withColumn("edges", near)).withColumn("c", F.explode(cols))
     # corners as columns: the edge test below mentions them many times
     cells = cells.withColumn("top_", F.col("top_") - F.col("r") * gy).withColumn(
         "left_", F.col("left_") + F.col("c") * gx

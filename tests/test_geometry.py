@@ -217,3 +217,21 @@ def test_holes_and_several_parts(spark, tmp_path):
 )
 def test_utm_zone(spark, lon, lat, epsg):
     assert spark.range(1).select(rings.utm_epsg(F.lit(lon), F.lit(lat))).collect()[0][0] == epsg
+
+
+def test_rows_of_cells_carry_only_their_edges(spark):
+    """A ring of 10,000 vertices over 100 rows of cells."""
+    n = 10_000
+    points = [(500 + 490 * math.cos(2 * math.pi * k / n), 500 + 490 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    points.append(points[0])
+    df = spark.createDataFrame([(1, points)], "fid int, ring array<struct<x:double,y:double>>")
+    cells = polygons.polygon_cells(polygons.with_geometry(df), F.lit(0.0), F.lit(1000.0), 10.0, 1000.0)
+    held = {r.r: r.n for r in cells.select("r", F.size("edges").alias("n")).collect()}
+    assert len(held) >= 98
+    for row, count in held.items():
+        low, high = 1000 - 10 * (row + 1), 1000 - 10 * row
+        want = sum(
+            max(a[1], b[1]) >= low and min(a[1], b[1]) <= high for a, b in zip(points, points[1:])
+        )
+        assert count == want
+    assert sum(held.values()) < 1.1 * n
