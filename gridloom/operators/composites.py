@@ -6,14 +6,11 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridloom.operators.ranks import HOT_ROWS, exact_median, hot_groups, top_row
+from gridloom.operators.ranks import HOT_ROWS, exact_median, hot_groups, lookup_join, top_row
 
 # Fixed value: the first day the archive can serve.
 FIRST_AVAILABLE = date(1984, 3, 16)
 
-SALTS = 64  # pieces a group above the hot limit is cut into
-
-
 def median_composite(
     observations: DataFrame, keys: list[str], bands: list[str], n_col: str | None = None,
     hot_rows: int | None = HOT_ROWS,
@@ -29,31 +26,27 @@ def medoid_composite(
     """The real observation closest to the per-band median, by squared distance.
 
     ``tie_break`` orders equally close observations; it must be a total order over the
-    columns kept.  Ordinary groups are shuffled once: the medians are a window over the
-    group, and the pick runs on the same partitioning.  Groups above ``hot_rows`` rows never
-    sit in one task: their medians come from a global sort and meet the rows in a join that
-    splits, and the pick combines on the map side.
+    columns kept.  One plan for groups of any size: ordinary groups are shuffled once, the medians
+    are a window over the group, and the pick runs on the same partitioning.  Groups above
+    ``hot_rows`` rows never sit in one task: their medians come from counts by value and meet the rows
+    in a join that splits, and the pick combines on the map side.
     """
-    hot = hot_groups(observations, keys, hot_rows)
     ordinary = observations
-    if hot is not None:
-        ordinary = observations.join(hot.select(*keys), keys, "left_anti")
+    if hot_rows is not None:
+        hot = hot_groups(observations, keys, hot_rows).select(*keys)
+        ordinary = observations.join(hot, keys, "left_anti")
     group = W.partitionBy(*keys)
     medians = {f"med_{b}": F.median(b).over(group) for b in bands}
     picked = _closest(ordinary.withColumns(medians), keys, bands, tie_break)
-    if hot is None:
+    if hot_rows is None:
         return picked
-    crowded = observations.join(hot.select(*keys), keys, "left_semi")
-    medians = exact_median(crowded, keys, bands, hot_rows=hot_rows).select(
+    crowded = observations.join(hot, keys, "left_semi")
+    central = exact_median(crowded, keys, bands, hot_rows=0).select(
         *keys, *[F.col(b).alias(f"med_{b}") for b in bands]
     )
-    # few groups with very many rows: salt both sides so that one group spreads over tasks
-    salt = F.pmod(F.xxhash64(*tie_break), F.lit(SALTS)).cast("int")
-    salted = crowded.withColumn("salt_", salt).join(
-        medians.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
-        [*keys, "salt_"],
+    return picked.unionByName(
+        _closest(lookup_join(crowded, central, keys), keys, bands, tie_break).select(*picked.columns)
     )
-    return picked.unionByName(_closest(salted.drop("salt_"), keys, bands, tie_break))
 
 
 def _closest(df: DataFrame, keys: list[str], bands: list[str], tie_break: list[str]) -> DataFrame:

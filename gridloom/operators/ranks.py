@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridloom.functions.text import draw
-from gridloom.session import cut
 
 
 HOT_ROWS = 200_000  # rows of one group that a single task may hold
@@ -28,16 +27,13 @@ def top_row(df: DataFrame, keys: list[str], order: list[tuple[str, str]]) -> Dat
     return best.select(*keys, "best_.*")
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame | None:
-    """Keys of groups above ``hot_rows`` rows with their ``size_``, or ``None`` without any.
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Keys of groups above ``hot_rows`` rows with their ``size_``; part of the plan, no job of its own.
 
-    The probe reads only the key columns and counts on the map side.
+    Only the key columns are read, and counted on the map side.
     """
-    if hot_rows is None:
-        return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size_"))
-    hot = sizes.where(F.col("size_") > hot_rows)
-    return None if hot.isEmpty() else cut(hot)
+    return sizes.where(F.col("size_") > hot_rows)
 
 
 def exact_median(
@@ -49,12 +45,12 @@ def exact_median(
 ) -> DataFrame:
     """Exact median of several columns per group.
 
-    Ordinary groups are shuffled once, as plain rows, and the built-in median runs over the
-    group; its partial form would ship a value map per group and cannot shrink distinct
-    values.  Groups above ``hot_rows`` rows would hold all their values in one task's memory,
-    so they are ranked by a global sort instead.
-    ``hot_rows=None`` skips the probe where the group size is known to be small.  Key
-    columns must not be NULL.
+    One plan for groups of any size.  Ordinary groups are shuffled once, as plain rows, and the
+    built-in median runs over the group; its partial form would ship a value map per group and cannot
+    shrink distinct values.  Groups above ``hot_rows`` rows would hold all their values in one task's
+    memory, so they are counted by value and searched bucket by bucket; without such a group
+    that branch is empty at run time and falls away.  ``hot_rows=None`` leaves it out where
+    the group size is known to be small, 0 sends every group there.  Key columns must not be NULL.
     """
 
     def plain(part: DataFrame) -> DataFrame:
@@ -65,22 +61,25 @@ def exact_median(
         rows = part.select(*keys, *[c.alias(name) for name, c in over.items()])
         return rows.groupBy(*keys).agg(*[F.first(name).alias(name) for name in over])
 
-    hot = hot_groups(df, keys, hot_rows)
-    if hot is None:
+    if hot_rows is None:
         return plain(df)
+    if hot_rows <= 0 and not n_col:
+        return _median_by_buckets(df, keys, values)
+    hot = hot_groups(df, keys, hot_rows)
     cold = plain(df.join(hot.select(*keys), keys, "left_anti"))
-    ranked = _median_by_sort(df.join(hot.select(*keys), keys, "left_semi"), keys, values)
+    ranked = _median_by_buckets(df.join(hot.select(*keys), keys, "left_semi"), keys, values)
     if n_col:
         ranked = ranked.join(hot.withColumnRenamed("size_", n_col), keys)
     return cold.unionByName(ranked.select(*cold.columns))
 
 
-def _median_by_sort(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Median of huge groups: sort (group, value) pairs over the cluster, find the middle.
+def _median_by_buckets(
+    df: DataFrame, keys: list[str], values: list[str], buckets: int = 4096
+) -> DataFrame:
+    """Median of huge groups: count equal values, cut each group's range into buckets, find the middle.
 
-    Equal values are first merged into a count.  A range partition then splits each group
-    over many tasks; one count per (group, partition) tells which partition holds the
-    middle, and only that partition is ranked.
+    One count per (group, bucket) tells which bucket holds the middle, and only that bucket is
+    ranked.  The bucket of a value follows from the value and its group's range alone.
     """
     long = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(
         keys, values, "band_", "value_"
@@ -89,20 +88,25 @@ def _median_by_sort(df: DataFrame, keys: list[str], values: list[str]) -> DataFr
     counted = long.where(F.col("value_").isNotNull()).groupBy(*group, "value_").agg(
         F.count(F.lit(1)).alias("c_")
     )
-    placed = cut(
-        counted.repartitionByRange(*group, "value_").withColumn("part_", F.spark_partition_id())
+    spans = counted.groupBy(*group).agg(
+        F.min("value_").alias("lo_"), F.max("value_").alias("hi_"), F.sum("c_").alias("n_")
+    )
+    width = F.col("hi_") - F.col("lo_")
+    at = F.least(F.floor((F.col("value_") - F.col("lo_")) / width * buckets), F.lit(buckets - 1))
+    placed = lookup_join(counted, spans, group).withColumn(
+        "part_", F.when((width > 0) & (width < 1e308), at).otherwise(F.lit(0)).cast("int")
     )
-    parts = placed.groupBy(*group, "part_").agg(F.sum("c_").alias("in_part_"))
+    parts = placed.groupBy(*group, "part_", "n_").agg(F.sum("c_").alias("in_part_"))
     by_part = W.partitionBy(*group).orderBy("part_")
     offsets = parts.select(
         *group,
         "part_",
+        "n_",
         (F.sum("in_part_").over(by_part) - F.col("in_part_")).alias("before_"),
         F.sum("in_part_").over(by_part).alias("upto_"),
-        F.sum("in_part_").over(W.partitionBy(*group)).alias("n_"),
     )
     low, high = F.floor((F.col("n_") + 1) / 2), F.floor(F.col("n_") / 2) + 1
-    middle = offsets.where((F.col("before_") < high) & (F.col("upto_") >= low))
+    middle = offsets.where((F.col("before_") < high) & (F.col("upto_") >= low)).drop("n_")
     within = W.partitionBy(*group, "part_").orderBy("value_").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
@@ -111,10 +115,10 @@ def _median_by_sort(df: DataFrame, keys: list[str], values: list[str]) -> DataFr
     )
     first = F.col("last_") - F.col("c_") + 1
 
-    def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (F.col("last_") >= position), F.col("value_")))
+    def position(k: Column) -> Column:
+        return F.max(F.when((first <= k) & (F.col("last_") >= k), F.col("value_")))
 
-    medians = ranked.groupBy(*group).agg(((at(low) + at(high)) / 2).alias("median_"))
+    medians = ranked.groupBy(*group).agg(((position(low) + position(high)) / 2).alias("median_"))
     wide = medians.groupBy(*keys).pivot("band_", values).agg(F.first("median_"))
     present = df.select(*keys).distinct()
     return present.join(wide, keys, "left")
