@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.llm.common import clean
+from gridloom.llm.common import clean, once
 
 RULES = ("first", "most", "split")
 
@@ -100,7 +100,7 @@ def line_tokens(text: str | Column, path: str, pattern: str, rule: str = "first"
                 parts.append([x + "\n" for x in lines[:-1]] + lines[-1:])
             yield _counted(parts, tokens, rule)
 
-    return _zip(run(F.col(text) if isinstance(text, str) else text))
+    return _zip(once(run)(F.col(text) if isinstance(text, str) else text))
 
 
 def field_tokens(fields: list[str | Column], path: str, pattern: str, rule: str = "first") -> Column:
@@ -117,7 +117,7 @@ def field_tokens(fields: list[str | Column], path: str, pattern: str, rule: str
             rows = zip(*[clean(s) for s in series])
             yield _counted([[*(f + "\n" for f in r[:-1]), r[-1]] for r in rows], tokens, rule)
 
-    return _zip(run(*columns))
+    return _zip(once(run)(*columns))
 
 
 def section_counts(

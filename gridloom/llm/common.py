@@ -22,6 +22,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def once(udf):
+    """Keep the optimiser from copying a costly function into inferred or pushed filters.
+
+    Spark evaluates a deterministic Python function again wherever its result is tested.
+    """
+    return udf.asNondeterministic()
+
+
 def clean(texts) -> list[str]:
     """A pandas column of texts as a list, NULL as the empty string."""
     return [t if isinstance(t, str) else "" for t in texts]
