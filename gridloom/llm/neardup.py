@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridloom.llm.common import clean, free_name
+from gridloom.llm.common import clean, free_name, once
 from gridloom.session import cut
 
 SHINGLE = 5  # words
@@ -132,7 +132,7 @@ def signatures(text: str | Column) -> Column:
                 keys.append(band_keys(bag_minhash(bag, counts, BANDS * ROWS)) if len(bag) else [])
             yield pd.DataFrame({"weight": weights, "keys": keys})
 
-    return run(F.col(text) if isinstance(text, str) else text)
+    return once(run)(F.col(text) if isinstance(text, str) else text)
 
 
 def elements(text: str | Column) -> Column:
@@ -144,7 +144,7 @@ def elements(text: str | Column) -> Column:
         for texts in batches:
             yield pd.Series([shingles.elements(t).view(np.int64) for t in clean(texts)], dtype=object)
 
-    return run(F.col(text) if isinstance(text, str) else text)
+    return once(run)(F.col(text) if isinstance(text, str) else text)
 
 
 def components(edges: DataFrame) -> DataFrame:
