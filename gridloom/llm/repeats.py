@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm import suffix
-from gridloom.llm.common import clean
+from gridloom.llm.common import clean, once
 from gridloom.llm.neardup import mix
 from gridloom.session import cut, scratch_path
 
@@ -110,7 +110,7 @@ def _runs(text: Column, length: int) -> Column:
             rows += window_runs(group, length) if group else []
             yield pd.DataFrame({n: [r[k] for r in rows] for k, n in enumerate(names)})
 
-    made = run(text)
+    made = once(run)(text)
     return F.arrays_zip(*[made[n].alias(n) for n in names])
 
 
@@ -126,7 +126,7 @@ def _pieces(text: Column, runs: Column, length: int) -> Column:
                 out.append([raw[x : y + length] for x, y in zip(a, b)])
             yield pd.Series(out)
 
-    return run(text, runs["first"], runs["last"])
+    return once(run)(text, runs["first"], runs["last"])
 
 
 def _covered(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +207,7 @@ def _cut_out(text: Column, los: Column, his: Column) -> Column:
                 rows.append((int((hi - lo).sum()), len(lo), kept.hexdigest()))
             yield pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
 
-    return run(text, los, his)
+    return once(run)(text, los, his)
 
 
 def remove_repeats(
