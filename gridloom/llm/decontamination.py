@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.llm.common import clean
+from gridloom.llm.common import clean, once
 
 SEED = 4  # words
 STRIDE, KEEP = 4, 2  # of every four seeds in a row the two rarest are looked up
@@ -213,7 +213,7 @@ def leaks(text: str | Column, indexes: list[SeedIndex]) -> Column:
             rows = [[x for index in indexes for x in index.leaks(t)] for t in clean(texts)]
             yield pd.DataFrame({n: [[x[k] for x in r] for r in rows] for k, n in enumerate(names)})
 
-    made = run(F.col(text) if isinstance(text, str) else text)
+    made = once(run)(F.col(text) if isinstance(text, str) else text)
     return F.arrays_zip(*[made[n].alias(n) for n in names])
 
 
