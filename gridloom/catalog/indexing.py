@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.catalog.base import query, r6, rounded, s6
+from gridloom.catalog.base import BURN, MAXY, SCALE, query, r6, rounded, s6
 from gridloom.functions import indices, text, vectors
 from gridloom.operators import registry, sampling, stats
 
@@ -130,3 +130,28 @@ def x1(i):
         {"name": "append_index", "args": {"index": "ndvi", "a": "b4", "b": "b3"}},
     ]
     return registry.apply_steps(i.observations, config).select("yi", "xi", "yr", r6("ndvi").alias("ndvi"))
+
+
+@query(
+    "x1_composite_annotator_sampler",
+    f"""
+SELECT p.yi, p.xi, p.yr, {s6('median(p.b4)')} AS b4, max(CASE WHEN b.yi IS NULL THEN 0e0 ELSE 1e0 END) AS burn
+FROM {{observations}} p LEFT JOIN (SELECT DISTINCT yi, xi FROM burn) b ON b.yi = p.yi AND b.xi = p.xi
+WHERE (qa & 8) = 0 AND (qa & 16) = 0 GROUP BY p.yi, p.xi, p.yr
+QUALIFY row_number() OVER (ORDER BY md5(concat_ws(':', p.yi, p.xi, p.yr, '3', '0')), p.yi, p.xi, p.yr)
+        <= floor(count(*) OVER () * 0.25e0)""",
+    BURN,
+)
+def x1_chain(i):
+    """A composite by a user's own path, an annotator and a sampler by name, the context injected."""
+    config = [
+        {"name": "clear_pixels"},
+        {"name": "gridloom.operators.composites.median_composite", "args": {"bands": ["b4"]}},
+        {"name": "burn_labels", "args": {"tile": 16}},
+        {"name": "epoch_sample", "args": {"ratio": 0.25}},
+    ]
+    out = registry.apply_steps(
+        i.observations, config, keys=["yi", "xi", "yr"], features=i.polygons, minx=0.0, maxy=MAXY,
+        scale=SCALE, seed=3,
+    )
+    return out.select("yi", "xi", "yr", r6("b4").alias("b4"), "burn")

@@ -74,11 +74,17 @@ def p3b(i):
 
 
 def raw_sensors(i):
-    """Observations with seven source bands, one table per sensor."""
+    """Observations of all sensors with seven source bands."""
     o = i.observations.select(
         "scene_id", "yi", "xi", "sensor", *[F.col(f"b{k}").alias(f"SR_B{k}") for k in range(1, 7)],
         (F.col("b1") + F.col("b4")).alias("SR_B7"),
     )
+    return o
+
+
+def by_sensor(i):
+    """The same as separate tables, as archives keep them."""
+    o = raw_sensors(i)
     return {s: o.where(F.col("sensor") == s).drop("sensor") for s in ("LT05", "LE07", "LC08", "LC09")}
 
 
@@ -95,8 +101,7 @@ FROM {{observations}}"""
 
 @query("p4_sensor_harmonisation", HARMONISED)
 def p4(i):
-    merged = masks.merge_sensors(raw_sensors(i))
-    return rounded(merged, *masks.COMMON_BANDS)
+    return rounded(masks.harmonise_mixed(raw_sensors(i)), *masks.COMMON_BANDS)
 
 
 @query(
@@ -105,7 +110,7 @@ def p4(i):
     "h AS (" + HARMONISED.strip() + ")",
 )
 def u1(i):
-    merged = rounded(masks.merge_sensors(raw_sensors(i)), "B7")
+    merged = rounded(masks.merge_sensors(by_sensor(i)), "B7")
     return merged.groupBy("sensor").agg(
         F.count(F.lit(1)).alias("n"), r6(F.sum("B7"), 4).alias("b7")
     )

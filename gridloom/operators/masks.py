@@ -89,6 +89,23 @@ def merge_sensors(collections: dict[str, DataFrame]) -> DataFrame:
     return merged
 
 
+def harmonise_mixed(df: DataFrame, sensor: str = "sensor") -> DataFrame:
+    """Harmonise a table that holds several sensors, in one scan: the sensor of a row names its bands.
+
+    Rows of an unknown sensor are dropped, as they belong to no collection.
+    """
+    others = [c for c in df.columns if not c.startswith("SR_B")]
+    known = df.where(F.col(sensor).isin(list(SENSOR_BANDS)))
+
+    def band(place: int) -> Column:
+        out = F
+        for name, source in SENSOR_BANDS.items():
+            out = out.when(F.col(sensor) == name, F.col(source[place]))
+        return out
+
+    return known.select(*others, *[band(k).alias(t) for k, t in enumerate(COMMON_BANDS)])
+
+
 def band_columns(df: DataFrame, pattern: str = r"B.*") -> DataFrame:
     """Keep only the columns whose name matches."""
     return df.select(df.colRegex(f"`{pattern}`"))

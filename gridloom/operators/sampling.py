@@ -6,7 +6,7 @@ cluster, independent of partitioning, and redrawn when the epoch changes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridloom.functions.indices import clamp01
 from gridloom.functions.text import draw_int, draw_unit
@@ -207,10 +207,14 @@ def colour_jitter(
 def class_filter(df: DataFrame, column: str, positions: list[int]) -> DataFrame:
     """Keep the classes at the given places of the sorted distinct class list.
 
-    The list itself is one small value, so rows are tested where they are.
+    Classes are made distinct on the map side, and only the first ones up to the last wanted place
+    are ranked, so a free-text column is no burden.
     """
-    classes = df.agg(F.sort_array(F.collect_set(column))).scalar()
-    return df.where((F.array_position(classes, F.col(column)) - 1).isin(positions))
+    classes = df.select(column).where(F.col(column).isNotNull()).distinct()
+    first = classes.orderBy(column).limit(max(positions) + 1)  # bounded by the configuration
+    ranked = first.withColumn("place_", F.row_number().over(W.orderBy(column)) - 1)
+    wanted = ranked.where(F.col("place_").isin(positions)).select(column)
+    return df.join(F.broadcast(wanted), column, "left_semi")
 
 
 def prepend_background(df: DataFrame, pixel: list[str], cls: str, value: str) -> DataFrame:
