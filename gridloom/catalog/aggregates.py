@@ -502,6 +502,12 @@ def a30(i):
     return named("label").unionByName(named("yr"))
 
 
+def expected_tiles(i):
+    """Every tile of the grid at steps 0 to 7."""
+    tile = (F.floor(F.col("yi") / 8) * 5 + F.floor(F.col("xi") / 8)).cast("int").alias("tile_id")
+    return i.observations.select(tile).distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(7))))
+
+
 @query(
     "a31_tile_progress",
     """SELECT count(*) AS expected, count(s.tile_id) AS written, count(*) - count(s.tile_id) AS missing
@@ -510,18 +516,27 @@ def a30(i):
        LEFT JOIN {splits} s ON s.tile_id = e.tile_id AND s.t = e.t""",
 )
 def a31(i):
-    tile = (F.floor(F.col("yi") / 8) * 5 + F.floor(F.col("xi") / 8)).cast("int").alias("tile_id")
-    expected = i.observations.select(tile).distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return checkpoints.tile_progress(expected, i.splits, ["tile_id", "t"])
+    return checkpoints.tile_progress(expected_tiles(i), i.splits, ["tile_id", "t"])
 
 
 @query(
     "a31_missing_tiles",
+    """SELECT e.tile_id, e.t FROM (
+         SELECT DISTINCT CAST(floor(yi / 8e0) * 5 + floor(xi / 8e0) AS INT) AS tile_id, CAST(t AS INT) AS t
+         FROM {observations}, generate_series(0, 7) g(t)) e
+       ANTI JOIN {splits} s ON s.tile_id = e.tile_id AND s.t = e.t""",
+)
+def a31b(i):
+    return checkpoints.missing_tiles(expected_tiles(i), i.splits, ["tile_id", "t"])
+
+
+@query(
+    "a31_polygons_off_the_grid",
     """SELECT e.fid, e.yr FROM {features} e WHERE NOT EXISTS (
          SELECT 1 FROM burn b WHERE b.fid = e.fid)""",
     BURN,
 )
-def a31b(i):
+def a31c(i):
     burned = polygons.burned_pixels(i.polygons, 0.0, MAXY, SCALE, ["fid"], tile=16, extent=None)
     tallest = i.observations.agg(F.max("yi")).scalar()
     inside = burned.where((F.col("yi") <= tallest) & (F.col("xi") < 40))
