@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import struct
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F, types as T
 
 from gridloom.catalog.base import BANDS, CHUNK, HITS, SCALE, query, r6, rounded, s6
 from gridloom.functions import indices, rings, vectors
@@ -30,6 +34,42 @@ def s1(i):
     return rounded(boxed, "minx", "miny", "maxx", "maxy")
 
 
+@F.pandas_udf(T.BinaryType())
+def _as_wkb(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Little-endian polygons of one ring."""
+    def one(x, y):
+        points = np.column_stack([x, y]).astype("<f8").tobytes()
+        return struct.pack("<BIII", 1, 3, 1, len(x)) + points
+
+    return pd.Series([one(x, y) for x, y in zip(xs, ys)])
+
+
+@query(
+    "s1_layer_files",
+    f"""SELECT k.kind, fid, label, yr, CAST(4 AS INT) AS vertices, {s6('x0')} AS minx, {s6('y0')} AS miny,
+               {s6('x0 + w')} AS maxx, {s6('y0 + h')} AS maxy
+        FROM {{features}}, (VALUES ('ring'), ('geojson'), ('wkb')) k(kind)""",
+)
+def s1_files(i):
+    """One layer written in three encodings of its geometry and read back from the files."""
+    base = i.polygons.select("fid", "label", "yr", "ring")
+    point = F.transform("ring", lambda p: F.format_string("[%.6f,%.6f]", p["x"], p["y"]))
+    text = F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.array_join(point, ","), F.lit("]]}"))
+    encodings = {
+        "ring": F.col("ring"), "geojson": text, "wkb": _as_wkb(F.col("ring")["x"], F.col("ring")["y"]),
+    }
+    out = None
+    for kind, geometry in encodings.items():
+        path = scratch_path(i.spark, f"layer-{kind}")
+        base.select("fid", "label", "yr", geometry.alias("geometry")).write.parquet(path)
+        layer = polygons.with_geometry(layers.read_features(i.spark, path, "geometry")).select(
+            F.lit(kind).alias("kind"), "fid", "label", "yr", F.size("ring").alias("vertices"),
+            "minx", "miny", "maxx", "maxy",
+        )
+        out = layer if out is None else out.unionByName(layer)
+    return rounded(out, "minx", "miny", "maxx", "maxy")
+
+
 def stored_cube(i) -> str:
     path = scratch_path(i.spark, "cube")
     cubes.write_tiles(cubes.as_float(i.cube, BANDS).select("tile_id", "t", "yi", "xi", *BANDS), path)
@@ -155,7 +195,11 @@ def s10(i):
         F.lit("EPSG:32610").alias("crs"),
     )
     out = cubes.georeference(named, boxes, "position", "file", 4, 8)
-    return out.select("l_orderkey", "l_linenumber", "minx", "maxy", "sx", "sy", "value", "crs")
+    path = scratch_path(i.spark, "export")
+    out.select("l_orderkey", "l_linenumber", "minx", "maxy", "sx", "sy", "value", "crs").write.partitionBy(
+        "crs"
+    ).parquet(path)
+    return i.spark.read.parquet(path)
 
 
 @query(
