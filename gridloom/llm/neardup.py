@@ -15,7 +15,7 @@ SHINGLE = 5  # words
 BANDS, ROWS = 21, 6  # at a similarity of 0.8 a pair misses every band with probability 0.002
 NUM, DEN = 4, 5  # least similarity, as a fraction
 CROWD = 64  # strangers in a bucket from which on their pairs are found by prefix filtering
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
