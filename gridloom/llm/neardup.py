@@ -196,9 +196,10 @@ def _prefix_pairs(crowd: DataFrame, bags: DataFrame) -> DataFrame:
 
     With the elements of every bag in one order, rarest first, two bags as similar as the threshold
     share one of their first ``weight - ceil(threshold * weight) + 1`` elements.  What makes the crowd
-    meet is common and stands last, so bags that have only that in common never meet here.
+    meet is common and stands last, so bags that have only that in common never meet here.  The first
+    element they share must leave enough elements after it in both, and they must share a bucket.
     """
-    held = crowd.join(bags, "node").select("node", "weight", "r", F.explode("bag").alias("e"))
+    held = crowd.join(bags, "node").select("node", "weight", "r", "keys", F.explode("bag").alias("e"))
     often = held.groupBy("e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # elements of one bag only cannot make a pair, but take their places in the prefix
     ranked = held.join(often, "e", "left").withColumn("place", F.row_number().over(
@@ -206,9 +207,18 @@ def _prefix_pairs(crowd: DataFrame, bags: DataFrame) -> DataFrame:
     ))
     reach = F.col("weight") - F.ceil(F.col("weight") * NUM / DEN) + 1
     first = ranked.where((F.col("place") <= reach) & F.col("often").isNotNull())
-    left = first.select("e", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("r").alias("r1"))
-    right = first.select("e", F.col("node").alias("b"), "weight", F.col("r").alias("r2"))
-    return left.join(right, "e").where("a < b")
+    left = first.select(
+        "e", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("r").alias("r1"),
+        F.col("keys").alias("k1"), F.col("place").alias("p1"),
+    )
+    right = first.select(
+        "e", F.col("node").alias("b"), "weight", F.col("r").alias("r2"), F.col("keys").alias("k2"),
+        F.col("place").alias("p2"),
+    )
+    # common / (total - common) >= NUM / DEN, with what can still be common from here on
+    most = 1 + F.least(F.col("wa") - F.col("p1"), F.col("weight") - F.col("p2"))
+    enough = (NUM + DEN) * most >= NUM * (F.col("wa") + F.col("weight"))
+    return left.join(right, "e").where("a < b").where(enough).where(F.arrays_overlap("k1", "k2"))
 
 
 def _signed(df: DataFrame, text: str) -> DataFrame:
@@ -268,7 +278,7 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     )
     right = small.select("key", F.col("node").alias("b"), "weight", F.col("r").alias("r2"))
     pairs = _ordered(left.join(right, "key"))
-    crowd = placed.where(F.col("strangers") > CROWD).select("node", "weight", "r").distinct()
+    crowd = placed.where(F.col("strangers") > CROWD).select("node", "r").distinct().join(signed, "node")
     pairs = pairs.unionByName(_ordered(_prefix_pairs(crowd, bags))).distinct()
     more = cut(_verified(pairs, bags))
     return labels if more.isEmpty() else components(links.unionByName(more))
