@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: rare word-pair seeds by a lossless count, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm.common import clean, once
 
-SEED = 4  # words
-STRIDE, KEEP = 4, 2  # of every four seeds in a row the two rarest are looked up
+SPARE = 4  # most frequent places of an item not looked up: one for so many of the points it needs
 LEAST_ITEM = 8  # words; shorter items are no passages
 BLOCK_WORDS = 2_000_000  # words of test items that one lookup table holds, about
 SHARE = 0.5  # of the score of a perfect copy of the whole item
@@ -53,15 +52,26 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, in
 
 @dataclass
 class SeedIndex:
-    """Words of the items of one block as numbers, and where each seed stands."""
+    """Words of the items of one block as numbers, and where each word pair stands.
+
+    An alignment of score ``S`` with ``M`` matches has ``2 M - S`` edits at most.  They fall between
+    neighbouring matches, so with two points for each pair of neighbours without an edit between and one
+    for each with one edit it has ``2 (M - 1) - (2 M - S) = S - 2`` points or more, each place of the
+    item counted once.  It spans ``3 M - S`` words of the text at most.  Stretches of a text with fewer
+    points cannot hold a leak; all others are aligned, so no leak is lost.
+    """
 
     ids: list = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     numbers: dict[bytes, int] = field(default_factory=dict)
-    codes: np.ndarray | None = None  # sorted codes of the seeds
+    codes: np.ndarray | None = None  # sorted codes of the pairs
     first: np.ndarray | None = None  # place of each code's first entry below
     item: np.ndarray | None = None
     at: np.ndarray | None = None
+    near: np.ndarray | None = None  # whether the pair's words are neighbours
+    score: np.ndarray | None = None  # of each item: the least score of a leak,
+    points: np.ndarray | None = None  # the points that a stretch of text must reach
+    reach: np.ndarray | None = None  # and the most words of text under an alignment
 
     def add(self, item_id, text: str) -> None:
         words = words_of(text)
@@ -71,50 +81,48 @@ class SeedIndex:
                 np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words])
             )
 
-    def code(self, words: np.ndarray) -> np.ndarray:
-        """Code of every n-gram, 0 if a word of it is unknown.
+    def code(self, words: np.ndarray, step: int) -> np.ndarray:
+        """Code of every pair of words ``step`` places apart, 0 if one is unknown."""
+        a, b = words[:-step], words[step:]
+        return np.where((a > 0) & (b > 0), a * np.int64(len(self.numbers) + 1) + b, 0)
 
-        Numbers fit 63 bits as long as a block holds fewer than 55,000 distinct words; beyond that
-        codes wrap around, which can only add candidates.
+    def build(self, frequency: np.ndarray | None) -> "SeedIndex":
+        """Set the lookup table: all pairs, or those without the most frequent places of each item.
+
+        ``frequency`` belongs to ``codes``.  A place is worth two points at most, so a stretch must reach
+        what an alignment needs less two points for each place left out, wherever the places are.
         """
-        n = len(words) - SEED + 1
-        if n < 1:
-            return np.empty(0, dtype=np.int64)
-        base = np.int64(len(self.numbers) + 1)
-        out, known = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-        for k in range(SEED):
-            w = words[k : k + n]
-            out = out * base + w
-            known &= w > 0
-        return np.where(known, out, 0)
-
-    def build(self, frequency: dict[int, int] | None) -> "SeedIndex":
-        """Set the lookup table: all n-grams, or the rarest ones of each stretch."""
-        codes, items, places = [], [], []
+        size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.score = np.minimum(np.ceil(2 * SHARE * size), 2 * LONG).astype(np.int64)
+        spared = (self.score - 2) // SPARE * (frequency is not None)
+        self.points, self.reach = self.score - 2 - 2 * spared, 3 * size - self.score
+        codes, items, places, near = [], [], [], []
         for k, words in enumerate(self.words):
-            code = self.code(words)
-            if frequency is None:
-                kept = np.arange(len(code))
-            else:
-                often = [frequency.get(int(c), 0) for c in code]
-                kept = np.concatenate([
-                    sorted(range(lo, min(lo + STRIDE, len(code))), key=lambda p: (often[p], p))[:KEEP]
-                    for lo in range(0, len(code), STRIDE)
-                ]).astype(np.int64)
-            codes.append(code[kept])
-            items.append(np.full(len(kept), k))
-            places.append(kept)
+            pairs = [self.code(words, step) for step in (1, 2)]
+            kept = np.ones(len(words), dtype=bool)
+            if frequency is not None:
+                often = np.zeros(len(words), dtype=np.int64)
+                for code in pairs:
+                    often[: len(code)] += frequency[np.searchsorted(self.codes, code)]
+                kept[np.argsort(-often[:-1], kind="stable")[: spared[k]]] = False
+            for code, step in zip(pairs, (1, 2)):
+                at = np.flatnonzero(kept[: len(code)])
+                codes.append(code[at])
+                items.append(np.full(len(at), k))
+                places.append(at)
+                near.append(np.full(len(at), step == 1))
         if not codes:
-            codes = items = places = [np.empty(0, dtype=np.int64)]
+            codes = items = places = near = [np.empty(0, dtype=np.int64)]
         order = np.argsort(np.concatenate(codes), kind="stable")
         code = np.concatenate(codes)[order]
         self.item, self.at = np.concatenate(items)[order], np.concatenate(places)[order]
+        self.near = np.concatenate(near)[order].astype(bool)
         self.codes, self.first = np.unique(code, return_index=True)
         return self
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the text and the numbers of the codes that stand there."""
-        code = self.code(words)
+    def hits(self, words: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of pairs in the text and the numbers of the codes that stand there."""
+        code = self.code(words, step)
         if not len(code) or not len(self.codes):
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         at = np.flatnonzero(code)
@@ -127,49 +135,70 @@ class SeedIndex:
         look = self.numbers.get
         return np.array([look(w, 0) for w in words_of(text)], dtype=np.int64)
 
+    def regions(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(item, start, end)`` of the stretches of text with enough points, widened to whole alignments."""
+        (a, ka), (b, kb) = self.hits(words, 1), self.hits(words, 2)
+        k = np.r_[ka, kb]
+        if not len(k):
+            return
+        counts = np.append(self.first[1:], len(self.item))[k] - self.first[k]
+        entry = np.repeat(self.first[k] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        at, beside = np.repeat(np.r_[a, b], counts), np.repeat(np.arange(len(k)) < len(ka), counts)
+        item, worth = self.item[entry], 1 + (beside & self.near[entry])
+        # most items have too few points in the whole text
+        some, group = np.unique(item, return_inverse=True)
+        live = (np.bincount(group, worth) >= self.points[some])[group]
+        if not live.any():
+            return
+        item, at, place, worth = item[live], at[live], self.at[entry[live]], worth[live]
+        key = item * (len(words) + int(self.reach.max()) + 1) + at
+        order = np.argsort(key, kind="stable")
+        key, item, at, place, worth = key[order], item[order], at[order], place[order], worth[order]
+        total, reach = np.r_[0, np.cumsum(worth)], self.reach[item]
+        upto = np.searchsorted(key, key + reach, side="right")
+        full = np.flatnonzero(total[upto] - total[:-1] >= self.points[item])
+        if not len(full):
+            return
+        apart = (item[full[1:]] != item[full[:-1]]) | (at[full[1:]] - at[full[:-1]] > 2 * reach[full[1:]])
+        starts = np.flatnonzero(np.r_[True, apart])
+        for lo, hi in zip(full[starts], full[np.r_[starts[1:] - 1, len(full) - 1]]):
+            it, r = int(item[lo]), int(reach[lo])
+            most = np.zeros(len(self.words[it]), dtype=np.int64)
+            np.maximum.at(most, place[lo : upto[hi]], worth[lo : upto[hi]])
+            if most.sum() >= self.points[it]:
+                yield it, max(0, int(at[lo]) - r), min(len(words), int(at[hi]) + r + 1)
+
     def leaks(self, text: str) -> list[tuple]:
         """``(item, share, start, end, item_start, item_end)`` of the best alignment per leaked item."""
         words = self.number(text)
-        at, k = self.hits(words)
-        if not len(at):
-            return []
-        counts = np.append(self.first[1:], len(self.item))[k] - self.first[k]
-        entry = np.repeat(self.first[k], counts) + (
-            np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        )
-        item, diagonal = self.item[entry], np.repeat(at, counts) - self.at[entry]
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        length = np.array([len(w) for w in self.words])[item]
-        # seeds of one item on near diagonals are one region
-        new = np.flatnonzero(
-            np.r_[True, (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[1:] // 4 + 4)]
-        )
         best: dict[int, tuple] = {}
-        for lo, hi in zip(new, np.r_[new[1:], len(item)]):
-            it, m = int(item[lo]), int(length[lo])
-            slack = m // 4 + 4
-            start = max(0, int(diagonal[lo]) - slack)
-            end = min(len(words), int(diagonal[hi - 1]) + m + slack)
+        for it, start, end in self.regions(words):
             score, a0, a1, b0, b1 = smith_waterman(self.words[it], words[start:end])
-            if (score >= 2 * SHARE * m or score >= 2 * LONG) and score > best.get(it, (0,))[0]:
+            if score >= self.score[it] and score > best.get(it, (0,))[0]:
                 best[it] = (score, start + b0, start + b1, a0, a1)
         return [(self.ids[it], s / (2 * len(self.words[it])), *rest) for it, (s, *rest) in sorted(best.items())]
 
 
-def _frequencies(docs: DataFrame, text_col: str, index: SeedIndex) -> dict[int, int]:
-    """How often each n-gram of the block's items stands in all texts; bounded by the block."""
+def _frequencies(docs: DataFrame, text_col: str, index: SeedIndex) -> np.ndarray:
+    """How often each word pair of the block's items stands in all texts; bounded by the block."""
 
     def run(batches):
         total = np.zeros(len(index.codes), dtype=np.int64)
         for frame in batches:
+            found = []
             for t in clean(frame["text"]):
-                total += np.bincount(index.hits(index.number(t))[1], minlength=len(total))
+                words = index.number(t)
+                found += [index.hits(words, step)[1] for step in (1, 2)]
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=len(total))
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"code": index.codes[seen], "n": total[seen]})
 
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "code long, n long")
-    return {r.code: r.n for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    out = np.zeros(len(index.codes), dtype=np.int64)
+    for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[np.searchsorted(index.codes, r.code)] = r.n
+    return out
 
 
 def build_indexes(

@@ -81,3 +81,35 @@ def test_blocks_give_the_same(docs, benchmark, monkeypatch):
     assert len(indexes) > 1
     many = docs.select("doc_id", D.leaks("text", indexes).alias("l")).selectExpr("doc_id", "explode(l) l").select("doc_id", "l.*")
     assert {(r[0], r[1]) for r in many.collect()} == {(r[0], r[1]) for r in one}
+
+
+def leaks_of(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.score for r in D.contaminated(docs, tests).collect()}
+
+
+def every_pair(texts, items):
+    numbers = {}
+    num = lambda t: np.array([numbers.setdefault(w, len(numbers)) for w in D.words_of(t)], dtype=np.int64)
+    out = {}
+    for (d, t), (i, x) in ((a, b) for a in enumerate(texts) for b in enumerate(items)):
+        score, m = D.smith_waterman(num(x), num(t))[0], len(num(x))
+        if score >= min(2 * D.SHARE * m, 2 * D.LONG):
+            out[d, i] = score / (2 * m)
+    return out
+
+
+@pytest.mark.parametrize("gap", [5, 6])
+def test_edited_copies_alone_in_the_corpus(spark, gap):
+    # broken seeds stand nowhere and must not push out the intact ones
+    rng, items, texts = random.Random(gap), [], []
+    for n in range(8, 61, 4):
+        for phase in range(gap):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            items.append(" ".join(words))
+            words[phase::gap] = ["zz"] * len(words[phase::gap])
+            texts.append("before it " + " ".join(words) + " after it")
+    want = every_pair(texts, items)
+    assert len(want) >= len(texts) - 2
+    assert leaks_of(spark, texts, items) == want
