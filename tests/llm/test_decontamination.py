@@ -113,3 +113,35 @@ def test_edited_copies_alone_in_the_corpus(spark, gap):
     want = every_pair(texts, items)
     assert len(want) >= len(texts) - 2
     assert leaks_of(spark, texts, items) == want
+
+
+def test_accepted_alignments_without_long_seeds(spark):
+    # every third or fourth word replaced, a word put in after each, words left out: half the score remains
+    rng, items, texts = random.Random(9), [], []
+    for n in (8, 9, 15, 24, 60, 90, 130):
+        for kind in range(6):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            items.append(" ".join(words))
+            if kind < 3:
+                words[3 - kind % 2 :: 3 + kind % 2] = ["zz"] * len(words[3 - kind % 2 :: 3 + kind % 2])
+            elif kind == 3:
+                words = [x for w in words for x in (w, "zz")]
+            elif kind == 4:
+                del words[2::3]
+            else:
+                words = [x for k, w in enumerate(words) for x in ([w, "zz"] if k % 5 else ["zz"])]
+            texts.append(" ".join(["yy"] * 30 + words + ["yy"] * 30))
+    want = every_pair(texts, items)
+    assert len(want) >= len(texts) // 2
+    assert leaks_of(spark, texts, items) == want
+
+
+def test_random_alignments_equal_brute_force(spark):
+    # few words: chance alignments of every kind at the threshold
+    rng = random.Random(4)
+    draw = lambda n, k: " ".join(f"w{int(rng.paretovariate(0.7)) % k}" for _ in range(n))
+    items = [draw(rng.randrange(8, 50), 40) for _ in range(12)] + [draw(100, 200)]
+    texts = [draw(rng.randrange(1, 250), k) for k in (25, 40, 90) for _ in range(25)]
+    want = every_pair(texts, items)
+    assert 20 < len(want) < len(texts) * len(items) - 20
+    assert leaks_of(spark, texts, items) == want
