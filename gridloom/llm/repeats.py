@@ -18,7 +18,8 @@ from gridloom.session import cut, scratch_path
 
 LENGTH = 400  # bytes of a passage
 CHUNK = 1 << 17  # bytes hashed at a time
-SHARD_BYTES = 8 << 20  # what a shard holds, about
+SHARD_BYTES = 8 << 20  # what a shard holds, about, and the most that one hash brings to it
+WINDOWS = 1 << 14  # passages of a piece that are digested at a time
 _SYMBOLS = bytes((b + suffix.SHIFT) % 256 for b in range(256))  # UTF-8 has no bytes above 0xF4
 
 
@@ -181,6 +182,50 @@ def _sorted_shard(length: int, memory: int):
     return run
 
 
+def _window_digests(length: int):
+    """``mapInPandas`` function: every passage of each piece as ``(digest of the piece, start, digest)``."""
+
+    def run(batches):
+        for frame in batches:
+            for d, piece in zip(frame["digest"], frame["piece"]):
+                for lo in range(0, len(piece) - length + 1, WINDOWS):
+                    at = range(lo, min(lo + WINDOWS, len(piece) - length + 1))
+                    yield pd.DataFrame({
+                        "digest": [d] * len(at), "start": at,
+                        "window": [hashlib.md5(piece[k : k + length]).digest() for k in at],
+                    })
+
+    return run
+
+
+def _covers(starts: Column, length: int) -> Column:
+    """Ascending stretches covered by passages at ``starts``, in any order."""
+
+    @F.pandas_udf("lo array<int>, hi array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [_covered(np.sort(x), length) for x in rows]
+            yield pd.DataFrame({"lo": [lo for lo, _ in made], "hi": [hi for _, hi in made]})
+
+    return once(run)(starts)
+
+
+def _crowded(pieces: DataFrame, length: int) -> DataFrame:
+    """``digest, lo, hi`` of pieces whose hash has too many for one shard: passages meet by their own digest.
+
+    Passages are counted before they are dealt, so that one in very many pieces is no large group.
+    """
+    windows = _stored(
+        pieces.select("digest", "piece").mapInPandas(
+            _window_digests(length), "digest binary, start int, window binary"
+        ),
+        "windows",
+    )
+    twice = cut(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"))
+    found = windows.join(twice, "window").groupBy("digest").agg(F.collect_list("start").alias("starts"))
+    return found.select("digest", _covers(F.col("starts"), length).alias("c")).select("digest", "c.*")
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table in the shared folder."""
     path = scratch_path(df.sparkSession, name)
@@ -218,7 +263,8 @@ def remove_repeats(
 
     Every passage of ``length`` bytes is dealt to a shard by the least hash of its grams, as a piece that
     holds all neighbouring passages of that hash; pieces whose hash stands at one place only cannot
-    repeat and are left out, equal pieces are merged before they are shuffled.  Each shard sorts the
+    repeat and are left out, equal pieces are merged before they are shuffled.  A hash with more bytes of
+    different pieces than a shard holds is split further, by the digests of its passages.  Each shard sorts the
     suffixes of its pieces by external induced sorting; a suffix whose common prefix with a
     neighbour reaches ``length`` starts a repeated passage.  Equal texts are worked on once.
 
@@ -258,13 +304,22 @@ def remove_repeats(
         ),
         "pieces",
     )
-    size = distinct.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    # no more than one in SHARD_BYTES of all bytes, so few
+    crowded = cut(
+        distinct.groupBy("value").agg(F.sum(F.octet_length("piece")).alias("size"))
+        .where(F.col("size") > SHARD_BYTES)
+    )
+    dealt = distinct.join(F.broadcast(crowded.select("value")), "value", "left_anti")
+    size = dealt.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // SHARD_BYTES) + 1)
-    found = distinct.repartition(shards, "value").select(
+    found = dealt.repartition(shards, "value").select(
         "digest", "value", "twice", "piece"
     ).mapInPandas(
         _sorted_shard(length, memory), "digest binary, lo array<int>, hi array<int>"
     )
+    if not crowded.isEmpty():
+        many = distinct.join(F.broadcast(crowded.select("value")), "value", "left_semi")
+        found = found.unionByName(_crowded(many, length))
     whole = distinct.where("n > 1").select(
         "digest", F.array(F.lit(0)).alias("lo"), F.array(F.octet_length("piece")).alias("hi")
     )

@@ -100,3 +100,32 @@ def test_awkward_rows(awkward, empty):
     verify(awkward, 400)
     verify(awkward, 20)
     assert R.remove_repeats(empty).count() == 0
+
+
+def test_crowded_hash_is_split(spark, monkeypatch):
+    # one passage in most texts, all surroundings different: its pieces do not merge
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, other, most = draw(40), draw(60), 1500
+    texts = [draw(60) + (passage if k % 3 else other[:50] if k % 2 else "") + draw(60) for k in range(120)]
+    texts += [draw(30) + passage + other + draw(9), "y" * 3000, draw(50) + "y" * 2500, texts[5], None, ""]
+    monkeypatch.setattr(R, "SHARD_BYTES", most)
+    made = R._sorted_shard
+
+    def watched(length, memory):
+        run = made(length, memory)
+
+        def checked(batches):
+            frames = list(batches)
+            sizes = {}
+            for f in frames:
+                for v, p in zip(f["value"], f["piece"]):
+                    sizes[v] = sizes.get(v, 0) + len(p)
+            assert max(sizes.values(), default=0) <= most
+            yield from run(iter(frames))
+
+        return checked
+
+    monkeypatch.setattr(R, "_sorted_shard", watched)
+    rows = verify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40)
+    assert sum(r.n_removed for r in rows) > 80 * 40
