@@ -10,9 +10,15 @@ from gridloom.session import scratch_path
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model names; texts that are NULL or without a letter go."""
+    """Documents whose language the model names; texts that are NULL or without a letter go.
+
+    Without a labelled row the model knows no language; all texts with a letter stay then.
+    """
+    model = language.fit_language(docs)
+    if not model.languages:
+        return docs.where(language.has_letter("text"))
     said = free_name(docs, "said_")
-    judged = docs.withColumn(said, language.predict_language("text", language.fit_language(docs)))
+    judged = docs.withColumn(said, language.predict_language("text", model))
     return judged.where(F.col(said)["lang_pred"] != "und").drop(said)
 
 

@@ -188,6 +188,17 @@ def fit_language(
     return model
 
 
+def has_letter(text: str | Column) -> Column:
+    """Whether a text is not NULL and has a letter: what ``predict_language`` can name a language of."""
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([isinstance(t, str) and bool(_LETTER.search(t)) for t in texts], dtype=bool)
+
+    return run(F.col(text) if isinstance(text, str) else text)
+
+
 def predict_language(text: str | Column, model: LanguageModel) -> Column:
     """Struct ``(lang_pred, score)`` of every whole text; ``und``, 0 for NULL or without a letter.
 

@@ -59,3 +59,10 @@ def test_awkward_and_empty(spark, awkward, empty):
             assert out.columns == df.columns
             df = spark.createDataFrame(out.collect(), out.schema)
         P.pack(spark, df, SF).count()
+
+
+def test_language_stage_without_labels(spark, docs):
+    bare = docs.selectExpr("* except (lang)", "CAST(NULL AS STRING) AS lang")
+    more = bare.limit(1).selectExpr("* except (text)", "'12 34' AS text").unionByName(bare)
+    want = [r.doc_id for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)]
+    assert ids(P.keep_languages(spark, more, SF)) == sorted(want)
