@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.llm.common import clean, once
 
 SPARE = 4  # most frequent places of an item not looked up: one for so many of the points it needs
-LEAST_ITEM = 8  # words; shorter items are no passages
+LEAST_ITEM = 8  # words; shorter items are searched word for word
 BLOCK_WORDS = 2_000_000  # words of test items that one lookup table holds, about
 SHARE = 0.5  # of the score of a perfect copy of the whole item
 LONG = 40  # words; a perfect copy of as many is a leak of any item
@@ -50,6 +50,15 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, in
     return score, ea - ra, ea, eb - rb, eb
 
 
+def _sequences(words: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Hash of every 1, 2, .. ``most`` words in a row."""
+    code = words
+    for n in range(1, min(most, len(words)) + 1):
+        if n > 1:
+            code = code[:-1] * np.int64(0x100000001B3) + words[n - 1 :]
+        yield code
+
+
 @dataclass
 class SeedIndex:
     """Words of the items of one block as numbers, and where each word pair stands.
@@ -72,14 +81,18 @@ class SeedIndex:
     score: np.ndarray | None = None  # of each item: the least score of a leak,
     points: np.ndarray | None = None  # the points that a stretch of text must reach
     reach: np.ndarray | None = None  # and the most words of text under an alignment
+    short: dict[int, dict[int, list]] = field(default_factory=dict)  # length: code: (id, words) of short items
 
     def add(self, item_id, text: str) -> None:
-        words = words_of(text)
+        words = np.array(
+            [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)], dtype=np.int64
+        )
         if len(words) >= LEAST_ITEM:
             self.ids.append(item_id)
-            self.words.append(
-                np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words])
-            )
+            self.words.append(words)
+        elif len(words):
+            *_, code = _sequences(words, len(words))
+            self.short.setdefault(len(words), {}).setdefault(int(code[0]), []).append((item_id, words))
 
     def code(self, words: np.ndarray, step: int) -> np.ndarray:
         """Code of every pair of words ``step`` places apart, 0 if one is unknown."""
@@ -176,7 +189,24 @@ class SeedIndex:
             score, a0, a1, b0, b1 = smith_waterman(self.words[it], words[start:end])
             if score >= self.score[it] and score > best.get(it, (0,))[0]:
                 best[it] = (score, start + b0, start + b1, a0, a1)
-        return [(self.ids[it], s / (2 * len(self.words[it])), *rest) for it, (s, *rest) in sorted(best.items())]
+        out = [(self.ids[it], s / (2 * len(self.words[it])), *rest) for it, (s, *rest) in sorted(best.items())]
+        return out + self.copies(words)
+
+    def copies(self, words: np.ndarray) -> list[tuple]:
+        """The same of the first copy of each short item."""
+        out = []
+        for n, code in enumerate(_sequences(words, max(self.short, default=0)), 1):
+            known = self.short.get(n, {})
+            found = np.flatnonzero(np.isin(code, np.fromiter(known, dtype=np.int64, count=len(known))))
+            there: dict[int, list[int]] = {}
+            for at in found.tolist():
+                there.setdefault(int(code[at]), []).append(at)
+            for c, places in there.items():
+                for item_id, item in known[c]:
+                    at = next((p for p in places if (words[p : p + n] == item).all()), None)
+                    if at is not None:
+                        out.append((item_id, 1.0, at, at + n, 0, n))
+        return out
 
 
 def _frequencies(docs: DataFrame, text_col: str, index: SeedIndex) -> np.ndarray:
@@ -210,18 +240,20 @@ def build_indexes(
     The test set is a stated query set held against all documents block by block, so what is shipped
     to the tasks is bounded by the block.  Seeds are rare with regard to all documents.
     """
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("t")).dropna()
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("t")).dropna(subset=["t"])
     size = items.agg(F.sum(F.length("t") / 4)).first()[0] or 0.0
     blocks = int(size // BLOCK_WORDS) + 1
     out = []
     for b in range(blocks):
         index = SeedIndex()
-        block = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        for r in sorted(block.distinct().collect(), key=lambda r: (r.id, r.t)):
+        block = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)
+        for r in sorted(block.distinct().collect(), key=lambda r: (r.id is None, r.id or 0, r.t)):
             index.add(r.id, r.t)
+        index.build(None)
         if index.words:
-            index.build(None)
-            out.append(index.build(_frequencies(docs, text_col, index)))
+            index.build(_frequencies(docs, text_col, index))
+        if index.words or index.short:
+            out.append(index)
     return out
 
 
@@ -230,7 +262,8 @@ def leaks(text: str | Column, indexes: list[SeedIndex]) -> Column:
 
     An item is leaked if its best local alignment reaches half the score of a perfect copy of the
     item, or that of a perfect copy of 40 words.  The score is the share of the perfect score.  Items
-    under 8 words and NULL items are not searched.  NULL and empty text leaks nothing.  Rows are judged
+    under 8 words are leaked by an exact copy of their words only; items without text are not searched, those
+    without an id are.  NULL and empty text leaks nothing.  Rows are judged
     one by one; other columns play no part.
     """
     names = ["item_id", "score", "start", "end", "item_start", "item_end"]

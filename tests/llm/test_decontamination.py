@@ -145,3 +145,16 @@ def test_random_alignments_equal_brute_force(spark):
     want = every_pair(texts, items)
     assert 20 < len(want) < len(texts) * len(items) - 20
     assert leaks_of(spark, texts, items) == want
+
+
+def test_short_items_and_items_without_id(spark):
+    docs = spark.createDataFrame(
+        [(0, "Say: open the red door, now"), (1, "open the blue red door"), (2, "yes"), (3, "x a b c d e f g h i"), (4, None)],
+        "doc_id long, text string",
+    )
+    tests = spark.createDataFrame(
+        [(1, "open the red door"), (2, "Yes!"), (None, "a b c d e f g h i"), (None, "red door"), (3, None), (4, " .")],
+        "item_id long, text string",
+    )
+    got = sorted((r.doc_id, r.item_id or -1, r.score, r.start, r.end) for r in D.contaminated(docs, tests).collect())
+    assert got == [(0, -1, 1.0, 3, 5), (0, 1, 1.0, 1, 5), (1, -1, 1.0, 3, 5), (2, 2, 1.0, 0, 1), (3, -1, 1.0, 1, 10)]
