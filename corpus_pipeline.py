@@ -29,10 +29,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no test item."""
-    indexes = decontamination.build_indexes(docs, table(spark, sf_dir, "benchmark"))
-    leaked = free_name(docs, "leaks_")
-    judged = docs.withColumn(leaked, decontamination.leaks("text", indexes))
-    return judged.where(F.size(leaked) == 0).drop(leaked)
+    return decontamination.clean_of(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

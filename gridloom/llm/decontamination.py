@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.llm.common import clean, once
+from gridloom.llm.common import clean, free_name, once
+from gridloom.session import cut
 
 SPARE = 4  # most frequent places of an item not looked up: one for so many of the points it needs
 LEAST_ITEM = 8  # words; shorter items are searched word for word
@@ -231,11 +232,13 @@ def _frequencies(docs: DataFrame, text_col: str, index: SeedIndex) -> np.ndarray
     return out
 
 
-def build_indexes(
+def each_index(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text",
-) -> list[SeedIndex]:
-    """Lookup tables of the test items, one for each block of about ``BLOCK_WORDS`` words.
+) -> Iterator[tuple[SeedIndex, bool]]:
+    """Lookup tables of the test items, one for each block of about ``BLOCK_WORDS`` words, one at a time.
+
+    With each comes whether it is the only one.
 
     The test set is a stated query set held against all documents block by block, so what is shipped
     to the tasks is bounded by the block.  Seeds are rare with regard to all documents.
@@ -243,7 +246,6 @@ def build_indexes(
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("t")).dropna(subset=["t"])
     size = items.agg(F.sum(F.length("t") / 4)).first()[0] or 0.0
     blocks = int(size // BLOCK_WORDS) + 1
-    out = []
     for b in range(blocks):
         index = SeedIndex()
         block = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)
@@ -253,8 +255,13 @@ def build_indexes(
         if index.words:
             index.build(_frequencies(docs, text_col, index))
         if index.words or index.short:
-            out.append(index)
-    return out
+            yield index, blocks == 1
+        del index
+
+
+def build_indexes(docs: DataFrame, benchmark: DataFrame, *args, **kwargs) -> list[SeedIndex]:
+    """All lookup tables at once, for test sets known to be small."""
+    return [index for index, _ in each_index(docs, benchmark, *args, **kwargs)]
 
 
 def leaks(text: str | Column, indexes: list[SeedIndex]) -> Column:
@@ -282,7 +289,28 @@ def leaks(text: str | Column, indexes: list[SeedIndex]) -> Column:
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row for each document and test item that it leaks."""
-    found = leaks(text_col, build_indexes(docs, benchmark, text_col))
-    made = docs.select(F.col(id_col).alias("doc_id"), found.alias("l"))
-    return made.select("doc_id", F.explode("l").alias("l")).select("doc_id", "l.*")
+    """One row for each document and test item that it leaks.
+
+    The test set goes block by block; with several blocks the rows of each are stored, and its lookup
+    table is dropped before the next is collected.
+    """
+    def rows(indexes):
+        made = docs.select(F.col(id_col).alias("doc_id"), leaks(text_col, indexes).alias("l"))
+        return made.select("doc_id", F.explode("l").alias("l")).select("doc_id", "l.*")
+
+    out = None
+    for index, only in each_index(docs, benchmark, text_col):
+        found = rows([index]) if only else cut(rows([index]))
+        out = found if out is None else out.unionByName(found)
+        del index
+    return rows([]) if out is None else out
+
+
+def clean_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that leak no test item, block by block like ``contaminated``."""
+    name, out = free_name(docs, "leaks_"), docs
+    for index, only in each_index(docs, benchmark, text_col):
+        out = out.withColumn(name, leaks(text_col, [index])).where(F.size(name) == 0).drop(name)
+        out = out if only else cut(out)
+        del index
+    return out

@@ -158,3 +158,17 @@ def test_short_items_and_items_without_id(spark):
     )
     got = sorted((r.doc_id, r.item_id or -1, r.score, r.start, r.end) for r in D.contaminated(docs, tests).collect())
     assert got == [(0, -1, 1.0, 3, 5), (0, 1, 1.0, 1, 5), (1, -1, 1.0, 3, 5), (2, 2, 1.0, 0, 1), (3, -1, 1.0, 1, 10)]
+
+
+def test_one_block_is_shipped_at_a_time(spark, docs, benchmark, monkeypatch):
+    few = spark.createDataFrame(benchmark.orderBy("item_id").limit(12).collect())
+    planted = few.selectExpr("item_id + 1000000 AS doc_id", "concat('so ', text) AS text")
+    docs = docs.where("doc_id < 20").select("doc_id", "text").unionByName(planted)
+    one = sorted(tuple(r) for r in D.contaminated(docs, few).collect())
+    shipped, leaks = [], D.leaks
+    monkeypatch.setattr(D, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(D, "leaks", lambda text, indexes: shipped.append(len(indexes)) or leaks(text, indexes))
+    assert sorted(tuple(r) for r in D.contaminated(docs, few).collect()) == one and one
+    assert len(shipped) > 1 and set(shipped) == {1}
+    kept = {r.doc_id for r in D.clean_of(docs, few).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {r[0] for r in one}
