@@ -11,9 +11,12 @@ from gridloom.llm import (
     decontamination,
     language,
     licenses,
+    merkle,
     neardup,
     packing,
+    prefix_trie,
     quality,
+    radix,
     repeats,
     secrets,
     sharding,
@@ -21,7 +24,13 @@ from gridloom.llm import (
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_byte_shards": sharding.SQL, "op10_license_templates": licenses.sql()}
+ORACLES: dict[str, str] = {
+    "op6_byte_shards": sharding.SQL,
+    "op10_license_templates": licenses.sql(),
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op12_radix_duplicates": radix.SQL,
+    "op13_merkle_manifest": merkle.SQL,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -101,3 +110,18 @@ def op10_license_templates(spark, folder):
         "doc_id", licenses.license_scan("text").alias("said")
     )
     return scanned.select("doc_id", "said.*")
+
+
+@query
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query
+def op12_radix_duplicates(spark, folder):
+    return radix.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"))
