@@ -6,13 +6,17 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.operators.ranks import lookup_join
-from gridloom.session import cut, scratch_path
+from gridloom.session import cut
 
 FAMILY, HEADS = 20, 4  # conversations that share a first one; it lends less than HEADS turns
 CHUNK = 256  # ids joined to one text before a node's list is hashed
+PORTION = 100_000  # turns peeled together
+NODE = [("key", "binary"), ("parent", "binary"), ("depth", "long"), ("words", "long"), ("least", "long"), ("n_convs", "long")]
+SUM = [("key", "binary"), ("n_leaves", "long"), ("saved", "long")]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,7 +45,8 @@ def ordered_turns(
 
 
 def rebuilt(convs: DataFrame) -> DataFrame:
-    """``conv_id, path``: the first turns of the family's first conversation, then a conversation's own.
+    """``conv_id, digests, words, key``: the first turns of the family's first conversation, then a
+    conversation's own; ``key`` names the whole path.
 
     How many are borrowed, 0 to 3, follows from the checksum of the id.
     """
@@ -52,47 +57,122 @@ def rebuilt(convs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<digest:binary,words:bigint>>")
     own = F.when(F.size("turns") > h, F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))).otherwise(none)
     borrowed = F.when(h > 0, F.slice(F.coalesce("lent", none), 1, h)).otherwise(none)
-    return held.join(lent, "first", "left").select("conv_id", F.concat(borrowed, own).alias("path"))
+    path = held.join(lent, "first", "left").select("conv_id", F.concat(borrowed, own).alias("path"))
+    start = F.lit(hashlib.sha256(b"").digest())
+    key = F.reduce("path.digest", start, lambda k, d: F.unhex(F.sha2(F.concat(k, d), 256)))
+    return path.select("conv_id", F.col("path.digest").alias("digests"), F.col("path.words").alias("words"), key.alias("key"))
 
 
-def _key(path: Column) -> Column:
-    """Identity of a node: digest of its turns' digests and their number."""
-    return F.unhex(F.sha2(F.concat(
-        F.size(path).cast("string").cast("binary"), F.array_join(F.transform(path, lambda t: F.hex(t["digest"])), "").cast("binary")
-    ), 256))
+def _keys(digests: list[bytes]) -> list[bytes]:
+    """Keys of all prefixes of a path, the root's first: each the digest of the key before and a turn."""
+    keys = [hashlib.sha256(b"").digest()]
+    for d in digests:
+        keys.append(hashlib.sha256(keys[-1] + d).digest())
+    return keys
 
 
-def peel(paths: DataFrame) -> list[DataFrame]:
-    """Nodes of the trie, deepest level first: ``path, least, n_convs, n_children, n_leaves, saved``.
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows in portions of about ``PORTION`` turns, with the keys of their prefixes."""
+    rows, turns = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            for row in batch.slice(at, 64).to_pylist():
+                row["keys"] = _keys(row.pop("digests"))
+                rows.append(row)
+                turns += len(row["keys"])
+            if turns > PORTION:
+                yield rows
+                rows, turns = [], 0
+    if rows:
+        yield rows
+
+
+def _levels(rows: list[dict]) -> Iterator[tuple[int, list[tuple[dict, list]]]]:
+    """Truncation peeling of a portion: from the greatest depth up, the nodes of a level.
+
+    A node is a conversation that runs through it and a list of what merges there: the figures of the
+    nodes below that were cut by their last turn, and the conversations that end here.  The caller
+    puts the node's figures in place of the list, and they go on to the level above.
+    """
+    ending = {}
+    for row in rows:
+        ending.setdefault(len(row["keys"]) - 1, []).append(row)
+    alive: list[tuple[dict, list]] = []
+    for depth in range(max(ending), -1, -1):
+        merged: dict[bytes, tuple[dict, list]] = {}
+        for through, figures in alive:
+            merged.setdefault(through["keys"][depth], (through, []))[1].append(figures)
+        for row in ending.get(depth, ()):
+            merged.setdefault(row["keys"][depth], (row, []))[1].append(row)
+        alive = list(merged.values())
+        yield depth, alive
+        alive = [(through, figures[0]) for through, figures in alive]
+
+
+def _discovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of each portion with the number and the least id of its conversations."""
+    for rows in _portions(batches):
+        out = []
+        for depth, nodes in _levels(rows):
+            for through, below in nodes:
+                n = sum(1 if isinstance(x, dict) else x[0] for x in below)
+                least = min(x["conv_id"] if isinstance(x, dict) else x[1] for x in below)
+                below[:] = [(n, least)]
+                out.append((
+                    through["keys"][depth], through["keys"][depth - 1] if depth else None, depth,
+                    through["words"][depth - 1] if depth else 0, least, n))
+        yield _batch(out, NODE)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the conversations of each portion add to the subtrees of their nodes."""
+    for rows in _portions(batches):
+        given = {}
+        for row in rows:
+            for x in row["given"]:
+                given[row["keys"][x["depth"]]] = (x["leaf"], x["saved"])
+        out = []
+        for depth, nodes in _levels(rows):
+            for through, below in nodes:
+                key = through["keys"][depth]
+                sums = [given.get(key, (0, 0)), *[x for x in below if not isinstance(x, dict)]]
+                leaves, saved = sum(x[0] for x in sums), sum(x[1] for x in sums)
+                below[:] = [(leaves, saved)]
+                out.append((key, leaves, saved))
+        yield _batch(out, SUM)
+
+
+def _batch(rows: list[tuple], fields: list[tuple[str, str]]) -> pa.RecordBatch:
+    kinds = {"binary": pa.binary(), "long": pa.int64()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, kinds[kind]) for column, (_, kind) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
+def _ddl(fields: list[tuple[str, str]]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in fields)
+
+
+def trie_nodes(paths: DataFrame) -> DataFrame:
+    """``key, parent, depth, least, n_convs, n_children, n_leaves, saved`` of every node.
 
-    On every level the conversations that end there meet the nodes of the level below, cut by their
-    last turn; equal prefixes merge, and their figures add up to the new node's.  A node is a fixed
-    number of counters per task before the shuffle, however many conversations it has.
+    Each portion of conversations is peeled where it lies; a node found by several tasks is a row for
+    each, and their counts merge by its key.  Children are counted once all nodes are known.  A
+    node's own words and whether it is a leaf then go to its least conversation, one share for each
+    node, and a second peeling adds the shares up along the paths.
     """
-    spark = paths.sparkSession
-    stored = scratch_path(spark, "trie")
-    paths.withColumn("depth", F.size("path")).write.partitionBy("depth").parquet(stored)
-    by_depth = spark.read.schema("conv_id long, path array<struct<digest:binary,words:bigint>>, depth int").parquet(stored)
-    deepest = by_depth.agg(F.max("depth")).first()[0]
-    levels: list[DataFrame] = []
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        zero = F.lit(0).cast("long")
-        found = by_depth.where(F.col("depth") == depth).select(
-            "path", F.col("conv_id").alias("least"), F.lit(1).cast("long").alias("n_convs"),
-            zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved"))
-        if levels:
-            found = found.unionByName(levels[-1].select(
-                F.slice("path", 1, depth).alias("path"), "least", "n_convs",
-                F.lit(1).cast("long").alias("n_children"), "n_leaves", "saved"))
-        merged = found.groupBy("path").agg(
-            F.min("least").alias("least"),
-            *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved")])
-        words = F.coalesce(F.try_element_at("path", F.lit(-1))["words"], F.lit(0))
-        levels.append(cut(merged.withColumns({
-            "n_leaves": F.greatest("n_leaves", F.lit(1)),
-            "saved": F.col("saved") + (F.col("n_convs") - 1) * words,
-        })))
-    return levels
+    found = paths.select("conv_id", "digests", "words").mapInArrow(_discovered, _ddl(NODE))
+    nodes = cut(found.groupBy("key", "parent", "depth", "words").agg(
+        F.min("least").alias("least"), F.sum("n_convs").alias("n_convs")))
+    children = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(
+        F.count(F.lit(1)).alias("n_children"))
+    nodes = cut(nodes.join(children, "key", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))))
+    share = F.struct(
+        "depth", (F.col("n_children") == 0).cast("int").alias("leaf"),
+        ((F.col("n_convs") - 1) * F.col("words")).alias("saved"))
+    given = nodes.groupBy(F.col("least").alias("conv_id")).agg(F.collect_list(share).alias("given"))
+    sums = paths.select("conv_id", "digests").join(given, "conv_id").mapInArrow(_summed, _ddl(SUM))
+    sums = sums.groupBy("key").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
+    return nodes.join(sums, "key")
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,8 +217,7 @@ def ends_digests(paths: DataFrame) -> DataFrame:
     Ids are sorted and joined in ranges, so the ids of one node are spread over tasks; what meets in
     one task are texts of 256 ids each, and they pass through it as a stream.
     """
-    ends = paths.select(_key(F.col("path")).alias("key"), "conv_id")
-    ranged = ends.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
+    ranged = paths.select("key", "conv_id").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
     chunks = ranged.mapInPandas(_joined, "key binary, seq long, ids string").withColumn("part", F.spark_partition_id())
     chunks = chunks.repartition("key").sortWithinPartitions("key", "part", "seq")
     return chunks.drop("part", "seq").mapInPandas(_hashed, "key binary, ends_sha256 string")
@@ -155,28 +234,16 @@ def conversation_trie(
     belong to no conversation.  Texts of any length are hashed in place.  Other columns are
     ignored; empty input gives no rows.
 
-    The work takes one round for every turn of the longest conversation, on ever fewer nodes; a
-    node is carried with 40 bytes a turn.
+    The number of Spark rounds does not depend on the length of the conversations.  The turns of one
+    conversation meet in one row, with 40 bytes a turn.
     """
     paths = cut(rebuilt(ordered_turns(df, conv_col, turn_col, role_col, text_col)))
-    levels = peel(paths)
-    if not levels:
-        return df.sparkSession.createDataFrame(
-            [], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, "
-            "n_leaves long, saved_tokens long, ends_sha256 string")
-    nodes = levels[0]
-    for level in levels[1:]:
-        nodes = nodes.unionByName(level)
-    depth = F.size("path").cast("long")
-    nodes = cut(nodes.select(
-        _key(F.col("path")).alias("key"),
-        F.when(depth > 0, _key(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))))).alias("parent"),
-        depth.alias("depth"), "least", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens")))
+    nodes = cut(trie_nodes(paths))
     parents = nodes.select(F.col("key").alias("parent"), F.col("least").alias("parent_conv_id"))
     none = hashlib.sha256(b"").hexdigest()
     return lookup_join(nodes, parents, ["parent"]).join(ends_digests(paths), "key", "left").select(
         F.col("least").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
-        "saved_tokens", F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
+        F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
 
 
 # The checksum is folded over the digits with the usual table of the reflected polynomial.

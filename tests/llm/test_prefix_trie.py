@@ -77,8 +77,10 @@ def test_very_long_text(spark):
     assert told(spark, rows) == brute(rows)
 
 
-def test_deep_conversation(spark):
-    rows = [(k, t, "u", f"t{t}" if t < 9 or k else "own") for k in range(2) for t in range(14)]
+def test_deep_conversations(spark, monkeypatch):
+    """Hundreds of turns, shared to different depths; portions smaller than one conversation."""
+    monkeypatch.setattr(T, "PORTION", 300)
+    rows = [(k, t, "u", f"t{t}" if t < 60 * k else f"own {k}") for k in range(7) for t in range(400 - k)]
     assert told(spark, rows) == brute(rows)
 
 
