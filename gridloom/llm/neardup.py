@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm.common import clean, free_name, once
 from gridloom.session import cut
@@ -14,7 +14,7 @@ from gridloom.session import cut
 SHINGLE = 5  # words
 BANDS, ROWS = 21, 6  # at a similarity of 0.8 a pair misses every band with probability 0.002
 NUM, DEN = 4, 5  # least similarity, as a fraction
-CROWD = 64  # strangers in a bucket from which on their pairs are found by prefix filtering
+MARKS = 16  # 64-bit words of the parity marks that bound how far two bags differ
 CACHE_WORDS = 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,6 +59,17 @@ class Shingler:
         return mix(np.repeat(bag, counts) + number * _STEP)
 
 
+def parity_marks(elements: np.ndarray) -> np.ndarray:
+    """``64 * MARKS`` bits; a bit tells whether an odd number of elements falls on it.
+
+    An element in one of two sets flips one bit of their difference, so the sets differ in at least as
+    many elements as their marks differ in bits.
+    """
+    place = (elements % np.uint64(64 * MARKS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * MARKS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def bag_minhash(bag: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """Signature of a weighted set; two registers are equal with the weighted Jaccard probability.
 
@@ -136,13 +147,17 @@ def signatures(text: str | Column) -> Column:
 
 
 def elements(text: str | Column) -> Column:
-    """The bag of shingles as an array of distinct numbers."""
+    """Struct of the bag of shingles as an array of distinct numbers, and its parity marks."""
 
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("bag array<long>, marks array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for texts in batches:
-            yield pd.Series([shingles.elements(t).view(np.int64) for t in clean(texts)], dtype=object)
+            bags = [shingles.elements(t) for t in clean(texts)]
+            yield pd.DataFrame({
+                "bag": pd.Series([b.view(np.int64) for b in bags], dtype=object),
+                "marks": pd.Series([parity_marks(b) for b in bags], dtype=object),
+            })
 
     return once(run)(F.col(text) if isinstance(text, str) else text)
 
@@ -182,43 +197,35 @@ def _may_match(a: Column, b: Column) -> Column:
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Pairs of different classes and possible weights, the lesser node first."""
-    return (
-        pairs.where("r1 <> r2")
-        .where(_may_match(F.col("wa"), F.col("weight")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    )
+def _may_overlap(a: str, b: str, total: Column) -> Column:
+    """Whether two bags of together ``total`` elements can be similar enough, by their parity marks."""
+    apart = F.lit(0)
+    for k in range(MARKS):
+        apart = apart + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+    # at most (total - apart) / 2 elements are common; common / (total - common) >= NUM / DEN
+    return (NUM + DEN) * (total - apart) >= 2 * NUM * total
 
 
-def _prefix_pairs(crowd: DataFrame, bags: DataFrame) -> DataFrame:
-    """Candidate pairs of a crowd by exact prefix filtering.
+def _strange_pairs(placed: DataFrame, bags: DataFrame) -> DataFrame:
+    """Candidate pairs of a bucket's strangers, those outside its hub's class, with its other classes.
 
-    With the elements of every bag in one order, rarest first, two bags as similar as the threshold
-    share one of their first ``weight - ceil(threshold * weight) + 1`` elements.  What makes the crowd
-    meet is common and stands last, so bags that have only that in common never meet here.  The first
-    element they share must leave enough elements after it in both, and they must share a bucket.
+    ``placed`` is ``key, node, weight, r, ra``.  Weights and marks are compared while the bucket is joined,
+    so only pairs that may be similar leave the join; no similar pair is lost.
     """
-    held = crowd.join(bags, "node").select("node", "weight", "r", "keys", F.explode("bag").alias("e"))
-    often = held.groupBy("e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # elements of one bag only cannot make a pair, but take their places in the prefix
-    ranked = held.join(often, "e", "left").withColumn("place", F.row_number().over(
-        W.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "e")
-    ))
-    reach = F.col("weight") - F.ceil(F.col("weight") * NUM / DEN) + 1
-    first = ranked.where((F.col("place") <= reach) & F.col("often").isNotNull())
-    left = first.select(
-        "e", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("r").alias("r1"),
-        F.col("keys").alias("k1"), F.col("place").alias("p1"),
+    open_keys = placed.where("r <> ra").select("key").distinct()
+    held = cut(placed.join(open_keys, "key").join(bags.select("node", "marks"), "node"))
+    left = held.where("r <> ra").select(
+        "key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("r").alias("r1"),
+        F.col("marks").alias("m1"))
+    right = held.select(
+        F.col("key").alias("key2"), F.col("node").alias("b"), F.col("weight").alias("wb"),
+        F.col("r").alias("r2"), F.col("marks").alias("m2"))
+    may = (
+        (F.col("key") == F.col("key2")) & (F.col("r1") != F.col("r2"))
+        & _may_match(F.col("wa"), F.col("wb")) & _may_overlap("m1", "m2", F.col("wa") + F.col("wb"))
     )
-    right = first.select(
-        "e", F.col("node").alias("b"), "weight", F.col("r").alias("r2"), F.col("keys").alias("k2"),
-        F.col("place").alias("p2"),
-    )
-    # common / (total - common) >= NUM / DEN, with what can still be common from here on
-    most = 1 + F.least(F.col("wa") - F.col("p1"), F.col("weight") - F.col("p2"))
-    enough = (NUM + DEN) * most >= NUM * (F.col("wa") + F.col("weight"))
-    return left.join(right, "e").where("a < b").where(enough).where(F.arrays_overlap("k1", "k2"))
+    return left.join(right, may).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _signed(df: DataFrame, text: str) -> DataFrame:
@@ -234,9 +241,8 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     similarity of their bags of five-word shingles is at least 0.8; classes are the connected
     components.  Each bucket first pairs its members with its hub only, the member that meets most
     texts in all its buckets.  Then members that this left outside the hub's class are paired with all
-    members of other classes, so that no similar pair of a bucket stays untested, while a large
-    group of copies never meets itself.  Where a bucket holds more than ``CROWD`` such strangers,
-    as texts around one common passage do, exact prefix filtering finds their pairs.
+    members of other classes whose weights and parity marks allow the similarity, so that no similar
+    pair of a bucket stays untested, while a large group of copies never meets itself.
     """
     signed = cut(_signed(df, text))
     places = signed.select("node", "weight", F.explode("keys").alias("key"))
@@ -259,7 +265,7 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
     texts = df.select(F.unhex(F.md5(text)).alias("node"), F.col(text).alias("t_"))
     # the wanted nodes are the small side: the texts are dealt out once, and not sorted
     wanted = texts.join(nodes.hint("shuffle_hash"), "node", "left_semi")
-    bags = cut(wanted.dropDuplicates(["node"]).select("node", elements("t_").alias("bag")))
+    bags = cut(wanted.dropDuplicates(["node"]).select("node", elements("t_").alias("e")).select("node", "e.*"))
     links = cut(_verified(stars, bags))
     labels = components(links)
 
@@ -269,17 +275,7 @@ def text_classes(df: DataFrame, text: str = "text") -> DataFrame:
         .join(root("a", "ra"), "a", "left")
         .select("key", "node", "weight", F.coalesce("r", "node").alias("r"), F.coalesce("ra", "a").alias("ra"))
     )
-    placed = cut(placed)
-    strange = cut(placed.where("r <> ra").groupBy("key").agg(F.count(F.lit(1)).alias("strangers")))
-    placed = placed.join(strange, "key")
-    small = placed.where(F.col("strangers") <= CROWD)
-    left = small.where("r <> ra").select(
-        "key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("r").alias("r1")
-    )
-    right = small.select("key", F.col("node").alias("b"), "weight", F.col("r").alias("r2"))
-    pairs = _ordered(left.join(right, "key"))
-    crowd = placed.where(F.col("strangers") > CROWD).select("node", "r").distinct().join(signed, "node")
-    pairs = pairs.unionByName(_ordered(_prefix_pairs(crowd, bags))).distinct()
+    pairs = _strange_pairs(cut(placed), bags)
     more = cut(_verified(pairs, bags))
     return labels if more.isEmpty() else components(links.unionByName(more))
 
@@ -313,7 +309,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Rows with NULL text stay.
     """
-    node = free_name(df, "node_")
+    node, keep = free_name(df, "node_"), free_name(df, "keep_id_")
     marked = df.withColumn(node, F.unhex(F.md5(text_col)))
     ids = marked.select(F.col(node).alias("node"), F.col(id_col).alias("id"))
     classes = text_classes(df.select(F.col(text_col).alias("text")))
@@ -321,7 +317,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rooted = firsts.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keepers = cut(rooted.groupBy("root").agg(
         F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("k")
-    ).select(F.col("k.node").alias(node), F.col("k.first").alias("keep_id_")))
-    kept = marked.join(keepers, node).where(F.col(id_col).eqNullSafe(F.col("keep_id_")))
-    kept = kept.dropDuplicates([node]).drop("keep_id_")
+    ).select(F.col("k.node").alias(node), F.col("k.first").alias(keep)))
+    kept = marked.join(keepers, node).where(F.col(id_col).eqNullSafe(F.col(keep)))
+    kept = kept.dropDuplicates([node]).drop(keep)
     return kept.unionByName(marked.where(F.col(node).isNull())).drop(node)

@@ -94,9 +94,8 @@ def test_empty(empty):
     assert N.keep_one(empty).count() == 0
 
 
-def test_crowd_around_a_common_passage(spark, monkeypatch):
+def test_crowd_around_a_common_passage(spark):
     """Texts that share a passage meet in buckets; only those really similar are linked."""
-    monkeypatch.setattr(N, "CROWD", 3)
     rng, rows = random.Random(9), []
     passage = [f"p{k}" for k in range(60)]
     for _ in range(150):
@@ -107,3 +106,34 @@ def test_crowd_around_a_common_passage(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()}
     assert got == brute(rows)
+
+
+def test_marks_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 40, 900, 20_000):
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for share in (0.0, 0.1, 0.2, 0.5):
+            y = x.copy()
+            new = rng.random(len(x)) < share
+            y[new] = rng.integers(0, 2**63, int(new.sum())).astype(np.uint64)
+            y = np.unique(y)
+            apart = int(np.bitwise_count((N.parity_marks(x) ^ N.parity_marks(y)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(x, y))
+
+
+def test_clashing_names(spark):
+    rows = [(k, "one two three four five six seven" if k < 3 else f"own words {k} and some more", 9, 9, 9) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id_ int, node_ int, root int")
+    kept = N.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
+
+
+def test_very_long_text(spark):
+    """Texts of some MB: copies with a few edits are one class, another text is not."""
+    words = [f"w{k % 7919}x{k % 31}" for k in range(300_000)]
+    edited = list(words)
+    edited[1000::9000] = ["edit"] * len(edited[1000::9000])
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[::-1])), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
