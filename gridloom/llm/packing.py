@@ -191,7 +191,8 @@ def pack_documents(
     times 2**40 plus the window's number; a step group likewise, with the context's place (0 to
     3) in bits 36 and up.
 
-    NULL and empty text is the closing id alone.  NULL ids stay NULL.  Repeated rows are packed
+    NULL and empty text is the closing id alone.  NULL ids stay NULL, beside ids of any size.  A text of
+    any length is encoded whole and cut into as many windows as it fills.  Repeated rows are packed
     each on its own.  Empty input gives no rows; other columns are ignored.
     """
 
@@ -225,7 +226,8 @@ def pack_documents(
             held.clear()
             held.update(waiting)
             out = pd.DataFrame(rows, columns=[c.split()[0].strip("`") for c in SCHEMA.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            # from the numbers themselves: a column with a gap would pass through floats
+            out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
             return out
 
         tokens = 0
@@ -237,7 +239,7 @@ def pack_documents(
                     ids += END_ID.to_bytes(4, "little")
                     number = numbers["seen"]
                     numbers["seen"] += 1
-                    held[number] = (None if pd.isna(doc_id) else int(doc_id), ids)
+                    held[number] = (int(doc_id) if isinstance(doc_id, str) else None, ids)
                     fresh.append((len(ids) // 4, number, 0))
                     tokens += len(ids) // 4
                 if tokens >= BLOCK_TOKENS:
@@ -245,5 +247,7 @@ def pack_documents(
                     tokens = 0
         yield flush(True)
 
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # ids travel as text: beside a NULL a column of numbers turns into floats
+    slim = df.select(
+        F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInPandas(run, SCHEMA)

@@ -189,7 +189,8 @@ def learn_rules(
 ) -> list[Rule]:
     """Fit the list on at most ``rows`` labelled documents, taken in the order of a hash of the id.
 
-    Rows with NULL id or label are left out.  Without both kinds of label no rule is learned.
+    Of documents with one id and label, those of least features are taken.  Rows with NULL id or label
+    are left out.  Without both kinds of label no rule is learned.
     """
     order = F.xxhash64(F.col(id_col))
     chosen = (
@@ -201,9 +202,10 @@ def learn_rules(
     texts = docs.select(id_col, text_col)
     joined = texts.join(F.broadcast(chosen), id_col)  # bounded by ``rows``
     counted = joined.select(id_col, "label_", text_counts(text_col).alias("c_"))
-    frame = counted.select(
-        F.col(id_col).alias("id_"), "label_", *[c.alias(k) for k, c in features(F.col("c_")).items()]
-    ).limit(2 * rows).toPandas()  # more only if ids repeat
+    values = F.struct(*[c.alias(k) for k, c in features(F.col("c_")).items()])
+    # repeated ids count once, whatever their number
+    single = counted.groupBy(F.col(id_col).alias("id_"), "label_").agg(F.min(values).alias("values_"))
+    frame = single.select("id_", "label_", "values_.*").toPandas()
     frame = frame.sort_values(["id_", "label_", *FEATURES], ignore_index=True)
     frame = frame.sample(frac=1.0, random_state=7, ignore_index=True)
     return fit_rules(frame[FEATURES], frame["label_"].to_numpy() == 0) if len(frame) else []

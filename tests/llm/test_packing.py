@@ -58,3 +58,21 @@ def test_whole_table(docs):
 
 def test_empty(empty):
     assert pack_documents(empty, PATH).count() == 0
+
+
+def test_large_ids_beside_null(spark):
+    ids = [2**53 + 1, None, 2**60 + 3, -(2**62) - 1, 7]
+    df = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string").coalesce(1)
+    got = [r.doc_id for r in pack_documents(df, PATH).collect()]
+    assert sorted(got, key=str) == sorted(ids, key=str)
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 700_000), (2, "b")], "doc_id long, text string").coalesce(1)
+    rows = sorted((r.doc_id, r.start, r.length, r.doc_tokens) for r in pack_documents(df, PATH).collect())
+    assert {r[3] for r in rows if r[0] == 1} == {700_001}
+    at = 0
+    for _, start, length, _ in [r for r in rows if r[0] == 1]:
+        assert start == at
+        at += length
+    assert at == 700_001

@@ -3,7 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline as P
-from gridloom.llm import decontamination as D
+from gridloom.llm import decontamination as D, language
 from tests.llm.test_neardup import brute as classes
 from tests.llm.test_secrets import brute as spans
 
@@ -66,3 +66,13 @@ def test_language_stage_without_labels(spark, docs):
     more = bare.limit(1).selectExpr("* except (text)", "'12 34' AS text").unionByName(bare)
     want = [r.doc_id for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)]
     assert ids(P.keep_languages(spark, more, SF)) == sorted(want)
+
+
+def test_language_stage_rejects_what_it_cannot_tell(spark, docs, monkeypatch):
+    """The stage keeps exactly the texts that the model, asked one by one, can tell."""
+    model = language.fit_language(docs)
+    said = {r.doc_id: model.predict(r.text) for r in docs.collect()}
+    monkeypatch.setattr(P, "TIMES_CHANCE", 1.95)
+    least = 1.95 / len(model.languages)
+    kept = ids(P.keep_languages(spark, docs, SF))
+    assert kept == sorted(i for i, (lang, score) in said.items() if lang != "und" and score >= least)
