@@ -9,17 +9,24 @@ from gridloom.llm.common import free_name, table
 from gridloom.session import scratch_path
 
 
+TIMES_CHANCE = 1.5  # the best language must be so much likelier than a blind guess
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model names; texts that are NULL or without a letter go.
+    """Documents whose language the model can tell.
 
-    Without a labelled row the model knows no language; all texts with a letter stay then.
+    Texts that are NULL or without a letter go, and those whose best language has less than
+    ``TIMES_CHANCE`` times the share of a blind guess (never more than a half) by the calibrated
+    probabilities: the model cannot tell them from any other language.  Without a labelled row the
+    model knows no language; all texts with a letter stay then.
     """
     model = language.fit_language(docs)
     if not model.languages:
         return docs.where(language.has_letter("text"))
+    least = min(0.5, TIMES_CHANCE / len(model.languages))
     said = free_name(docs, "said_")
     judged = docs.withColumn(said, language.predict_language("text", model))
-    return judged.where(F.col(said)["lang_pred"] != "und").drop(said)
+    return judged.where((F.col(said)["lang_pred"] != "und") & (F.col(said)["score"] >= least)).drop(said)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
