@@ -166,18 +166,16 @@ pairs AS (
   SELECT a.model AS model_a, b.model AS model_b, sum(abs(a.value - b.value)) AS l1,
          sqrt(sum((a.value - b.value) * (a.value - b.value))) AS l2,
          sum(a.value * b.value) / (sqrt(sum(a.value * a.value)) * sqrt(sum(b.value * b.value))) AS cosine
-  FROM {params} a JOIN {params} b ON a.name = b.name AND a.pos = b.pos AND a.model < b.model GROUP BY 1, 2)"""
+  FROM {params} a JOIN {params} b ON a.name = b.name AND a.pos = b.pos GROUP BY 1, 2)"""
 
 
 @query(
     "j9_model_pairs",
-    f"""SELECT model_a, model_b, {s6('l1', 4)} AS l1, {s6('l2')} AS l2, {s6('cosine')} AS cosine FROM pairs
-        UNION ALL SELECT model_b, model_a, {s6('l1', 4)}, {s6('l2')}, {s6('cosine')} FROM pairs""",
+    f"""SELECT model_a, model_b, {s6('l1', 4)} AS l1, {s6('l2')} AS l2, {s6('cosine')} AS cosine FROM pairs""",
     MODELS,
 )
 def j9(i):
-    full = pairs.mirror(pairs.model_distances(i.params), ["l1", "l2", "cosine"])
-    return full.select(
+    return pairs.model_matrix(i.params).select(
         "model_a", "model_b", r6("l1", 4).alias("l1"), r6("l2").alias("l2"), r6("cosine").alias("cosine")
     )
 

@@ -181,16 +181,19 @@ def s9(i):
 @query(
     "s10_georeferenced_export",
     """SELECT l_orderkey, l_linenumber, minx, maxy, sx, sy, CAST(l_discount AS FLOAT) AS value, 'EPSG:32610' AS crs
-       FROM {lineitem} JOIN (SELECT fid, x0 AS minx, y0 + h AS maxy, (x0 + w - x0) / 8 AS sx, (y0 + h - y0) / 4 AS sy
-                             FROM {features}) f ON f.fid = l_orderkey""",
+       FROM {lineitem} JOIN (SELECT row_number() OVER (ORDER BY fid DESC) - 1 AS position, x0 AS minx, y0 + h AS maxy, (x0 + w - x0) / 8 AS sx, (y0 + h - y0) / 4 AS sy
+                             FROM {features}) f ON f.position = l_orderkey""",
 )
 def s10(i):
+    """The number that leads a file's name is the place of its feature in the layer file."""
     named = i.lineitem.select(
         "l_orderkey", "l_linenumber", F.col("l_discount").cast("float").alias("value"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit("_pred_t1.pt")).alias("file"),
     )
-    boxes = i.features.select(
-        F.col("fid").alias("position"), F.col("x0").alias("minx"), F.col("y0").alias("miny"),
+    layer = scratch_path(i.spark, "layer")
+    i.features.orderBy(F.desc("fid")).write.parquet(layer)
+    boxes = layers.with_positions(i.spark, layer).select(
+        "position", F.col("x0").alias("minx"), F.col("y0").alias("miny"),
         (F.col("x0") + F.col("w")).alias("maxx"), (F.col("y0") + F.col("h")).alias("maxy"),
         F.lit("EPSG:32610").alias("crs"),
     )

@@ -6,47 +6,40 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridloom.operators.ranks import HOT_ROWS, exact_median, hot_groups, lookup_join, top_row
+from gridloom.operators.ranks import exact_median, lookup_join, top_row
 
 # Fixed value: the first day the archive can serve.
 FIRST_AVAILABLE = date(1984, 3, 16)
 
+
 def median_composite(
     observations: DataFrame, keys: list[str], bands: list[str], n_col: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    spread: bool = False,
 ) -> DataFrame:
     """Median of each band over the observations of a (pixel, period)."""
-    return exact_median(observations, keys, bands, n_col=n_col, hot_rows=hot_rows)
+    return exact_median(observations, keys, bands, n_col=n_col, spread=spread)
 
 
 def medoid_composite(
     observations: DataFrame, keys: list[str], bands: list[str], tie_break: list[str],
-    hot_rows: int | None = HOT_ROWS,
+    spread: bool = False,
 ) -> DataFrame:
     """The real observation closest to the per-band median, by squared distance.
 
     ``tie_break`` orders equally close observations; it must be a total order over the
-    columns kept.  One plan for groups of any size: ordinary groups are shuffled once, the medians
-    are a window over the group, and the pick runs on the same partitioning.  Groups above
-    ``hot_rows`` rows never sit in one task: their medians come from counts by value and meet the rows
-    in a join that splits, and the pick combines on the map side.
+    columns kept.  The observations are shuffled once: the medians are a window over the group, and the
+    pick runs on the same partitioning.  ``spread=True`` is for groups too large for a task: their
+    medians come from counts by value and meet the rows in a join that splits, and the pick
+    combines on the map side.
     """
-    ordinary = observations
-    if hot_rows is not None:
-        hot = hot_groups(observations, keys, hot_rows).select(*keys)
-        ordinary = observations.join(hot, keys, "left_anti")
+    if spread:
+        central = exact_median(observations, keys, bands, spread=True).select(
+            *keys, *[F.col(b).alias(f"med_{b}") for b in bands]
+        )
+        return _closest(lookup_join(observations, central, keys), keys, bands, tie_break)
     group = W.partitionBy(*keys)
     medians = {f"med_{b}": F.median(b).over(group) for b in bands}
-    picked = _closest(ordinary.withColumns(medians), keys, bands, tie_break)
-    if hot_rows is None:
-        return picked
-    crowded = observations.join(hot, keys, "left_semi")
-    central = exact_median(crowded, keys, bands, hot_rows=0).select(
-        *keys, *[F.col(b).alias(f"med_{b}") for b in bands]
-    )
-    return picked.unionByName(
-        _closest(lookup_join(crowded, central, keys), keys, bands, tie_break).select(*picked.columns)
-    )
+    return _closest(observations.withColumns(medians), keys, bands, tie_break)
 
 
 def _closest(df: DataFrame, keys: list[str], bands: list[str], tie_break: list[str]) -> DataFrame:
@@ -207,13 +200,26 @@ def add_bands(base: DataFrame, other: DataFrame, pixel: list[str]) -> DataFrame:
     return base.join(other, pixel, "left")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` does not use yet."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def save_first(
     primary: DataFrame, secondary: DataFrame, key: str, order: list[tuple[str, str]],
     prefix: str = "m_",
 ) -> DataFrame:
-    """Join each primary row with the first match; primaries without one are dropped."""
+    """Join each primary row with the first match; primaries without one are dropped.
+
+    Many primaries of one key can be dealt over several tasks.
+    """
     first = top_row(secondary, [key], order)
     renamed = first.select(
         key, *[F.col(c).alias(prefix + c) for c in first.columns if c != key]
     )
-    return primary.join(renamed, key, "inner")
+    found = free_name(primary, "found_")
+    met = lookup_join(primary, renamed.withColumn(found, F.lit(True)), [key])
+    return met.where(F.col(found)).drop(found)

@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gridloom.functions.text import draw
 
 
-HOT_ROWS = 200_000  # rows of one group that a single task may hold
-
-
 def top_row(df: DataFrame, keys: list[str], order: list[tuple[str, str]]) -> DataFrame:
     """First row of every group in the given order.
 
@@ -27,50 +24,28 @@ def top_row(df: DataFrame, keys: list[str], order: list[tuple[str, str]]) -> Dat
     return best.select(*keys, "best_.*")
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Keys of groups above ``hot_rows`` rows with their ``size_``; part of the plan, no job of its own.
-
-    Only the key columns are read, and counted on the map side.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size_"))
-    return sizes.where(F.col("size_") > hot_rows)
-
-
 def exact_median(
-    df: DataFrame,
-    keys: list[str],
-    values: list[str],
-    n_col: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    df: DataFrame, keys: list[str], values: list[str], n_col: str | None = None, spread: bool = False
 ) -> DataFrame:
     """Exact median of several columns per group.
 
-    One plan for groups of any size.  Ordinary groups are shuffled once, as plain rows, and the
-    built-in median runs over the group; its partial form would ship a value map per group and cannot
-    shrink distinct values.  Groups above ``hot_rows`` rows would hold all their values in one task's
-    memory, so they are counted by value and searched bucket by bucket; without such a group
-    that branch is empty at run time and falls away.  ``hot_rows=None`` leaves it out where
-    the group size is known to be small, 0 sends every group there.  Key columns must not be NULL.
+    The rows are shuffled once, as they are, and the built-in median runs over the group; its partial
+    form would ship a value map per group and cannot shrink distinct values.  A group must fit
+    a task: a pixel's observations do.  ``spread=True`` is for tables whose groups do not: equal
+    values are counted on the map side and every group is searched bucket by bucket, whatever its
+    size, for the same result.  Key columns must not be NULL.
     """
-
-    def plain(part: DataFrame) -> DataFrame:
-        group = W.partitionBy(*keys)
-        over = {v: F.median(v).over(group) for v in values}
+    if spread:
+        medians = _median_by_buckets(df, keys, values)
         if n_col:
-            over[n_col] = F.count(F.lit(1)).over(group)
-        rows = part.select(*keys, *[c.alias(name) for name, c in over.items()])
-        return rows.groupBy(*keys).agg(*[F.first(name).alias(name) for name in over])
-
-    if hot_rows is None:
-        return plain(df)
-    if hot_rows <= 0 and not n_col:
-        return _median_by_buckets(df, keys, values)
-    hot = hot_groups(df, keys, hot_rows)
-    cold = plain(df.join(hot.select(*keys), keys, "left_anti"))
-    ranked = _median_by_buckets(df.join(hot.select(*keys), keys, "left_semi"), keys, values)
+            medians = medians.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col)), keys)
+        return medians
+    group = W.partitionBy(*keys)
+    over = {v: F.median(v).over(group) for v in values}
     if n_col:
-        ranked = ranked.join(hot.withColumnRenamed("size_", n_col), keys)
-    return cold.unionByName(ranked.select(*cold.columns))
+        over[n_col] = F.count(F.lit(1)).over(group)
+    rows = df.select(*keys, *[c.alias(name) for name, c in over.items()])
+    return rows.groupBy(*keys).agg(*[F.first(name).alias(name) for name in over])
 
 
 def _median_by_buckets(

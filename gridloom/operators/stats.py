@@ -80,16 +80,21 @@ def linear_fit(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> Da
 
 
 def density(
-    df: DataFrame, x: str, y: str, out: str = "density", step: float = 0.25, reach: float = 6.0
+    df: DataFrame, x: str, y: str, out: str = "density", step: float = 0.25
 ) -> DataFrame:
     """Two-dimensional Gaussian kernel density at every sample, Scott bandwidth.
 
     Samples are whitened by the Cholesky factor of the scaled covariance, so the kernel is
     round with unit width and splits into one pass per axis.  Each sample spreads its weight
     over the four surrounding nodes of a grid of ``step`` bandwidths, node weights are summed
-    on the map side, both passes spread node sums over ``reach`` bandwidths, and the density
+    on the map side, both passes spread node sums over the neighbouring nodes, and the density
     is read back by the same four weights.  The work after the first sum depends on the
     number of occupied nodes, not on the number of samples; no pair of samples is ever made.
+
+    A pass leaves out nodes farther than ``R = sqrt(2 ln(n 2**53))`` bandwidths.  All ``n`` samples
+    there would add less than ``n exp(-R * R / 2) = 2**-53``, while a sample alone gives itself
+    ``exp(-step * step)`` at least: what is left out is below the rounding of a double, for
+    any table.
     """
     moments = df.agg(
         F.struct(
@@ -125,12 +130,14 @@ def density(
     )
     spread_nodes = whitened.select(F.inline(nodes))
     grid = spread_nodes.groupBy("gu", "gv").agg(F.sum("w").alias("w"))
-    steps = int(round(reach / step))
+    beyond = F.sqrt(2 * (F.log(moments.getField("n").cast("double")) + 53 * F.log(F.lit(2.0))))
+    steps = F.ceil(beyond / step).cast("bigint")
     kernel = F.exp(-0.5 * F.pow(F.col("d_") * step, F.lit(2.0)))
 
     def smooth(table: DataFrame, axis: str, other: str) -> DataFrame:
         return (
-            table.withColumn("d_", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
+            table.withColumn("s_", steps)
+            .withColumn("d_", F.explode(F.sequence(-F.col("s_"), F.col("s_"))))
             .select(other, (F.col(axis) + F.col("d_")).alias(axis), (F.col("w") * kernel).alias("w"))
             .groupBy(axis, other)
             .agg(F.sum("w").alias("w"))

@@ -6,7 +6,9 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+
+from gridloom.operators.ranks import lookup_join
 
 POLYGON = "type string, coordinates array<array<array<double>>>"
 MULTIPOLYGON = "type string, coordinates array<array<array<array<double>>>>"
@@ -40,6 +42,22 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     )
 
 
+def with_positions(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """The rows of a stored layer with their place in it, counted from 0 over its files by name.
+
+    A row's place follows from the files alone: its number within its file and the rows of the files
+    before.  Nothing is sorted or shuffled but one count per file, so any split of the scan gives the
+    same places.
+    """
+    layer = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("row_"))
+    files = layer.groupBy("file_").agg(F.count(F.lit(1)).alias("rows_"))  # one row per file
+    before = files.select(
+        "file_", (F.sum("rows_").over(W.orderBy("file_")) - F.col("rows_")).alias("before_"))
+    return lookup_join(layer, before, ["file_"]).withColumn(
+        position, F.col("before_") + F.col("row_")).drop("file_", "row_", "before_")
+
+
 def _with_ring(df: DataFrame) -> DataFrame:
     return df.withColumn("ring", F.get(F.get("parts", F.lit(0)), F.lit(0)))
 

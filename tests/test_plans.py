@@ -57,14 +57,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert {c.split(":")[0] for c in schema.split(",")} <= {"l_shipdate", "l_returnflag"}
 
 
-def test_without_a_huge_group_its_branch_falls_away(spark):
-    df = QUERIES["a7_monthly_medoid"](spark, FOLDER)
+@pytest.mark.parametrize("name", ["a5_median_composite", "a6_annual_medoid", "a7_monthly_medoid"])
+def test_medians_read_and_shuffle_the_rows_once(spark, name):
+    df = QUERIES[name](spark, FOLDER)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
-    # the rows once, and the count of their keys
-    assert final.count("Exchange hashpartitioning") <= 2, final
-    assert "Expand" not in final and "SortMergeJoin" not in final
+    assert final.count("Exchange hashpartitioning") == 1 and final.count("FileScan") == 1, final
+    assert "Expand" not in final and "Join" not in final
 
 
 def test_similarity_shuffles_the_image_once(spark):

@@ -25,11 +25,11 @@ def test_median_of_hot_groups(spark):
     df, rows = observations(spark)
     got = {
         r.pixel: (r.n_obs, r.a, r.b)
-        for r in ranks.exact_median(df, ["pixel"], ["a", "b"], n_col="n_obs", hot_rows=60).collect()
+        for r in ranks.exact_median(df, ["pixel"], ["a", "b"], n_col="n_obs", spread=True).collect()
     }
     plain = {
         r.pixel: (r.n_obs, r.a, r.b)
-        for r in ranks.exact_median(df, ["pixel"], ["a", "b"], n_col="n_obs", hot_rows=None).collect()
+        for r in ranks.exact_median(df, ["pixel"], ["a", "b"], n_col="n_obs").collect()
     }
     for pixel in {r[0] for r in rows}:
         a = [r[2] for r in rows if r[0] == pixel and r[2] is not None]
@@ -43,14 +43,14 @@ def test_median_of_hot_groups(spark):
 
 def test_median_of_a_group_without_values(spark):
     df = spark.createDataFrame([(1, None)] * 5 + [(2, 1.0)] * 2, "pixel int, a double")
-    got = {r.pixel: r.a for r in ranks.exact_median(df, ["pixel"], ["a"], hot_rows=1).collect()}
+    got = {r.pixel: r.a for r in ranks.exact_median(df, ["pixel"], ["a"], spread=True).collect()}
     assert got == {1: None, 2: 1.0}
 
 
 def test_medoid_of_hot_groups(spark):
     df, _ = observations(spark)
-    plain = composites.medoid_composite(df, ["pixel"], ["a", "b"], ["n"], hot_rows=None)
-    hot = composites.medoid_composite(df, ["pixel"], ["a", "b"], ["n"], hot_rows=60)
+    plain = composites.medoid_composite(df, ["pixel"], ["a", "b"], ["n"])
+    hot = composites.medoid_composite(df, ["pixel"], ["a", "b"], ["n"], spread=True)
     assert sorted(map(tuple, plain.select("pixel", "n").collect())) == sorted(
         map(tuple, hot.select("pixel", "n").collect())
     )
