@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions import vectors as V
@@ -35,44 +31,33 @@ def match_reversed(
     return forward.join(swapped, [*place, time])
 
 
-def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums over the parameters of a batch for every ordered pair of models, the diagonal included."""
-    for batch in batches:
-        models = sorted({m for row in batch["models"] for m in row})
-        place = {m: k for k, m in enumerate(models)}
-        x = np.full((len(batch), len(models)), np.nan)
-        for k, (row, values) in enumerate(zip(batch["models"], batch["values"])):
-            x[k, [place[m] for m in row]] = values
-        for a, model in enumerate(models):
-            own = x[:, [a]]
-            apart, both = np.abs(x - own), ~np.isnan(x + own)
-            yield pd.DataFrame({
-                "model_a": model, "model_b": models,
-                "l1_": np.nansum(apart, axis=0), "l2_": np.nansum(apart * apart, axis=0),
-                "ab_": np.nansum(x * own, axis=0), "aa_": np.where(both, own * own, 0.0).sum(axis=0),
-                "bb_": np.where(both, x * x, 0.0).sum(axis=0), "n_": both.sum(axis=0),
-            })
-
-
 def model_matrix(params: DataFrame, model: str = "model") -> DataFrame:
     """L1, L2 and cosine of every ordered pair of models over aligned parameters, with the diagonal.
 
-    The models of one parameter are packed into one row, and a batch of such rows adds to a matrix of
-    models by models: a parameter crosses the shuffle once, and what follows is a small matrix
-    for each batch, whatever the number of parameters.  Of repeated rows of one parameter
-    and model the largest value counts; missing values take part in no pair.
+    The models of one parameter are packed into one row, so a parameter crosses the shuffle once and
+    meets nothing else there.  A packed row gives the products of its models in place, and they are summed
+    on the map side: what is left to shuffle is a matrix of models by models for each task.  Of
+    repeated rows of one parameter and model the largest value counts; missing values take part in no pair.
     """
-    kind = dict(params.dtypes)[model]
-    single = params.groupBy("name", "pos", F.col(model).alias("model")).agg(F.max("value").cast("double").alias("value"))
-    rows = single.where("value IS NOT NULL AND model IS NOT NULL").groupBy("name", "pos").agg(
-        F.sort_array(F.collect_list(F.struct("model", "value"))).alias("r"))
-    sums = ("l1_", "l2_", "ab_", "aa_", "bb_", "n_")
-    schema = f"model_a {kind}, model_b {kind}, " + ", ".join(f"{c} double" for c in sums)
-    made = rows.select(F.col("r.model").alias("models"), F.col("r.value").alias("values")).mapInPandas(_gram, schema)
-    total = made.groupBy("model_a", "model_b").agg(*[F.sum(c).alias(c) for c in sums]).where("n_ > 0")
-    norm = F.greatest(F.sqrt("aa_"), F.lit(1e-8)) * F.greatest(F.sqrt("bb_"), F.lit(1e-8))
-    return total.select(
-        "model_a", "model_b", F.col("l1_").alias("l1"), F.sqrt("l2_").alias("l2"), (F.col("ab_") / norm).alias("cosine"))
+    held = params.select("name", "pos", F.col(model).alias("model"), F.col("value").cast("double").alias("value"))
+    rows = held.dropna(subset=["model", "value"]).groupBy("name", "pos").agg(
+        F.sort_array(F.collect_list(F.struct("model", "value"))).alias("all_"))
+    last = F.filter("all_", lambda x, i: ~F.get("all_", i + 1)["model"].eqNullSafe(x["model"]))
+    sides = lambda a, b: F.struct(
+        a["model"].alias("model_a"), b["model"].alias("model_b"), a["value"].alias("va"), b["value"].alias("vb"))
+    products = F.flatten(F.transform(
+        "r", lambda a: F.transform(F.filter("r", lambda b: a["model"] <= b["model"]), lambda b: sides(a, b))))
+    va, vb = F.col("va"), F.col("vb")
+    sums = rows.select(last.alias("r")).select(F.inline(products)).groupBy("model_a", "model_b").agg(
+        F.sum(F.abs(va - vb)).alias("l1"),
+        F.sqrt(F.sum((va - vb) * (va - vb))).alias("l2"),
+        F.sum(va * vb).alias("ab_"),
+        F.sqrt(F.sum(va * va)).alias("na_"),
+        F.sqrt(F.sum(vb * vb)).alias("nb_"),
+    )
+    cosine = F.col("ab_") / (F.greatest("na_", F.lit(1e-8)) * F.greatest("nb_", F.lit(1e-8)))
+    half = sums.select("model_a", "model_b", "l1", "l2", cosine.alias("cosine"))
+    return mirror(half, ["l1", "l2", "cosine"])
 
 
 def model_distances(params: DataFrame, model: str = "model") -> DataFrame:
@@ -81,10 +66,10 @@ def model_distances(params: DataFrame, model: str = "model") -> DataFrame:
 
 
 def mirror(pairs: DataFrame, values: list[str]) -> DataFrame:
-    """Both orders of each pair; the diagonal of the matrix is zero by construction."""
-    both = F.explode(
-        F.array(F.struct("model_a", "model_b"), F.struct(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b")))
-    )
+    """Both orders of each pair; a model with itself stays one row."""
+    a, b = F.col("model_a"), F.col("model_b")
+    turned = F.struct(b.alias("model_a"), a.alias("model_b"))
+    both = F.explode(F.when(a == b, F.array(F.struct(a, b))).otherwise(F.array(F.struct(a, b), turned)))
     return pairs.select(both.alias("m_"), *values).select("m_.*", *values)
 
 

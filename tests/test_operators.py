@@ -575,3 +575,36 @@ def test_padded_windows_score_and_mosaic(spark):
     got = to_array(out, "score", (4, 4))
     assert np.allclose(got, array * 10, atol=1e-5)
     assert {(r.yi, r.xi): r.n for r in out.collect()}[(0, 0)] == 2
+
+
+def test_model_matrix_equals_numpy(spark):
+    """Missing values, a repeated row, and models that share few parameters."""
+    from gridloom.operators import pairs
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3))
+    x[:25, 2] = np.nan
+    x[3, 0] = np.nan
+    rows = [("w", p, f"m{m}", float(x[p, m])) for p in range(40) for m in range(3) if x[p, m] == x[p, m]]
+    rows += [("w", 7, "m1", float(x[7, 1]) - 1), ("w", 8, None, 1.0), ("w", 9, "m3", None)]
+    df = spark.createDataFrame(rows, "name string, pos int, model string, value double").repartition(3)
+    got = {(r.model_a, r.model_b): (r.l1, r.l2, r.cosine) for r in pairs.model_matrix(df).collect()}
+    assert len(got) == 9
+    for a in range(3):
+        for b in range(3):
+            u, v = x[:, a], x[:, b]
+            both = ~np.isnan(u + v)
+            u, v = u[both], v[both]
+            want = (np.abs(u - v).sum(), np.sqrt(((u - v) ** 2).sum()), u @ v / np.sqrt((u @ u) * (v @ v)))
+            assert np.allclose(got[f"m{a}", f"m{b}"], want)
+
+
+def test_positions_follow_the_files(spark, tmp_path):
+    from gridloom.sources import features
+
+    df = spark.range(0, 997).selectExpr("id * 3 AS fid")
+    path = str(tmp_path / "layer")
+    df.repartitionByRange(5, "fid").sortWithinPartitions("fid").write.parquet(path)
+    rows = features.with_positions(spark, path).collect()
+    assert sorted((r.position, r.fid) for r in rows) == [(k, 3 * k) for k in range(997)]
+    assert features.with_positions(spark, path).columns == ["fid", "position"]

@@ -57,7 +57,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert {c.split(":")[0] for c in schema.split(",")} <= {"l_shipdate", "l_returnflag"}
 
 
-@pytest.mark.parametrize("name", ["a5_median_composite", "a6_annual_medoid", "a7_monthly_medoid"])
+@pytest.mark.parametrize("name", ["a5_median_composite", "a7_monthly_medoid"])
 def test_medians_read_and_shuffle_the_rows_once(spark, name):
     df = QUERIES[name](spark, FOLDER)
     df.collect()
