@@ -19,6 +19,7 @@ PHRASES = {
 
 # Wording of public licenses.  ``<<opt>> .. <<end>>`` may be left out,
 # ``<<var 0-3>>`` stands for any words of that number, ``<<one a|b>>`` for one of the words.
+# A ``-grant`` is the opening clause alone; the plain names are the whole wording with its conditions.
 TEMPLATES = {
     "mit-notice": """<<opt>>this <<var 1-3>> is<<end>> <<one licensed|released|distributed|available>>
         under the <<opt>>terms of the<<end>> MIT License""",
@@ -28,13 +29,54 @@ TEMPLATES = {
     "cc-by-nc-notice": """<<one licensed|released|available>> under <<opt>>a <<end>> <<opt>>creative commons<<end>>
         CC BY-NC <<var 1-2>>""",
     "rights-reserved": """<<opt>>copyright <<opt>>c<<end>> <<var 1-6>><<end>> all rights reserved""",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this
+    "mit-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this
         <<one software|work>> and associated documentation files <<opt>>(the "Software")<<end>>, to deal in
         the <<one software|work>> without restriction""",
-    "isc": """Permission to use, copy, modify, <<opt>>and<<end>> <<opt>>/or<<end>> distribute this
+    "isc-grant": """Permission to use, copy, modify, <<opt>>and<<end>> <<opt>>/or<<end>> distribute this
         <<one software|work>> for any purpose with or without fee is hereby granted""",
-    "bsd": """Redistribution and use in source and binary forms, with or without modification, are
+    "bsd-grant": """Redistribution and use in source and binary forms, with or without modification, are
         permitted provided that the following conditions are met""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this
+        <<one software|work>> and associated documentation files <<opt>>(the "Software")<<end>>, to deal in
+        the <<one software|work>> without restriction, including without limitation the rights to use,
+        copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        <<one software|work>>, and to permit persons to whom the <<one software|work>> is furnished to do
+        so, subject to the following conditions:
+        The above copyright notice and this permission notice <<opt>>(including the next paragraph)<<end>>
+        shall be included in all copies or substantial portions of the <<one software|work>>.
+        THE <<one software|work>> IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
+        AND <<one noninfringement|non>> <<opt>>infringement<<end>>. IN NO EVENT SHALL <<var 1-9>> BE LIABLE
+        FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE <<one software|work>> OR THE USE OR OTHER DEALINGS
+        IN THE <<one software|work>>""",
+    "isc": """Permission to use, copy, modify, <<opt>>and<<end>> <<opt>>/or<<end>> distribute this
+        <<one software|work>> for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies.
+        THE <<one software|work>> IS PROVIDED "AS IS" AND <<var 1-9>> DISCLAIMS ALL WARRANTIES WITH REGARD TO
+        THIS <<one software|work>> INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+        EVENT SHALL <<var 1-9>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+        DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+        THIS <<one software|work>>""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are
+        permitted provided that the following conditions are met: <<opt>>1<<end>> Redistributions of source
+        code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<opt>>2<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with
+        the distribution. THIS SOFTWARE IS PROVIDED BY <<var 1-9>> AS IS AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
+        FOR A PARTICULAR PURPOSE ARE DISCLAIMED""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are
+        permitted provided that the following conditions are met: <<opt>>1<<end>> Redistributions of source
+        code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<opt>>2<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with
+        the distribution. <<opt>>3<<end>> Neither the name of <<var 1-9>> nor the names of <<opt>>its<<end>>
+        <<opt>>the<<end>> contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission. THIS SOFTWARE IS PROVIDED BY <<var 1-9>> AS IS AND ANY
+        EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED""",
 }
 
 _PLAIN = bytes(
@@ -176,7 +218,7 @@ def license_scan(text: str | Column, templates: dict[str, str] | None = None) ->
     regions left out or in and replaceable ones filled by any words of the allowed number.  The score
     is the weight of the longest accepted template, 0 without one.  NULL and empty text
     has no words, no places, NULL first and last word and empty labels; rows are judged one by one, so
-    ties, repeated rows and other columns play no part.
+    ties, repeated rows and other columns play no part.  A text of any length is read whole, word by word.
     """
     chosen = TEMPLATES if templates is None else templates
 

@@ -50,3 +50,49 @@ def test_places(spark):
 
 def test_empty(empty):
     assert empty.select(L.license_scan("text")).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_wording_is_mandatory():
+    assert labels(MIT) == {"mit", "mit-grant"}
+    assert labels(MIT.replace("notice shall be", "notice (including the next paragraph) shall be")) == {"mit", "mit-grant"}
+    assert labels(MIT.replace("shall be included", "need not be included")) == {"mit-grant"}
+    assert labels(MIT.replace("without limitation", "with limitation")) == {"mit-grant"}
+    assert labels(MIT[: len(MIT) // 2]) == {"mit-grant"}
+    two = L.TEMPLATES["bsd-2-clause"].replace("<<opt>>", "").replace("<<end>>", "").replace("<<var 1-9>>", "A Body")
+    three = L.TEMPLATES["bsd-3-clause"].replace("<<opt>>", "").replace("<<end>>", "").replace("<<var 1-9>>", "A Body")
+    assert labels(two) == {"bsd-grant", "bsd-2-clause"}
+    assert labels(three) == {"bsd-grant", "bsd-3-clause"}
+    assert labels(three.replace("endorse", "praise")) == {"bsd-grant"}
+
+
+def test_automaton_equals_regex_on_whole_wording():
+    for label, template in L.TEMPLATES.items():
+        words = [w.decode() for p in L.parse(template) for w in (
+            [p] if isinstance(p, bytes) else [p[1][0]] if p[0] == "one" else [b"x"] if p[0] == "var" else [])]
+        pattern, automaton = re.compile(L._regex(L.parse(template)) + " "), L.Automaton(template)
+        for k in range(-1, len(words)):
+            some = words[:k] + words[k + 1 :] if k >= 0 else words
+            assert automaton.accepts([w.encode() for w in some]) == bool(pattern.search(" " + " ".join(some) + " ")), (label, k)
+
+
+def test_very_long_text(spark):
+    text = "all rights " * 400_000 + "reserved " + MIT
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    s = df.select(L.license_scan("text").alias("s")).first().s
+    assert (s.n_base, s.first_word, s.labels) == (1, 799_998, "mit,mit-grant,reserved,rights-reserved")
