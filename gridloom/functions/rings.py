@@ -136,30 +136,70 @@ def boxes_touch(a: dict[str, Column], b: dict[str, Column]) -> Column:
     )
 
 
-def touches_box(
-    edge_list: Column, minx: Column, miny: Column, maxx: Column, maxy: Column
-) -> Column:
-    """Closed polygon-box intersection.
-
-    Either some edge meets the box (separating axes: both coordinate axes and the
-    edge normal), or the polygon swallows the box whole.
-    """
-
+def _edge_meets_box(e: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Closed segment-box intersection by separating axes: both coordinate axes and the edge normal."""
     cx, cy = (minx + maxx) / 2, (miny + maxy) / 2
     hx, hy = (maxx - minx) / 2, (maxy - miny) / 2
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    offset = dx * (cy - e["ay"]) - dy * (cx - e["ax"])
+    return (
+        (F.least(e["ax"], e["bx"]) <= maxx)
+        & (F.greatest(e["ax"], e["bx"]) >= minx)
+        & (F.least(e["ay"], e["by"]) <= maxy)
+        & (F.greatest(e["ay"], e["by"]) >= miny)
+        & (F.abs(offset) <= F.abs(dx) * hy + F.abs(dy) * hx)
+    )
+
+
+def _sequence(lo: Column, hi: Column, step: int = 1) -> Column:
+    """``lo, lo + step, ...`` up to ``hi``; empty where ``hi`` is below ``lo``."""
+    return F.when(lo <= hi, F.sequence(lo, hi, F.lit(step))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
+def cells_in_band(
+    edge_list: Column, left: Column, low: Column, high: Column, gx: float,
+    first: Column, last: Column,
+) -> Column:
+    """Cells ``first .. last`` of one row of cells that a polygon meets, borders included.
 
-    def edge_meets(e: Column) -> Column:
+    Cell ``c`` spans ``left + c * gx`` to ``left + (c + 1) * gx`` between ``low`` and ``high``.  Every
+    edge names the few cells along its own way through the band and is tested on those alone.  A
+    cell that no edge meets is inside as a whole or outside as a whole, so the crossings of the
+    lower border give the rest as runs, without a test per cell.
+    """
+    def along(e: Column) -> Column:
         dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        offset = dx * (cy - e["ay"]) - dy * (cx - e["ax"])
-        return (
-            (F.least(e["ax"], e["bx"]) <= maxx)
-            & (F.greatest(e["ax"], e["bx"]) >= minx)
-            & (F.least(e["ay"], e["by"]) <= maxy)
-            & (F.greatest(e["ay"], e["by"]) >= miny)
-            & (F.abs(offset) <= F.abs(dx) * hy + F.abs(dy) * hx)
+        west, east = F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])
+
+        def x_at(y: Column) -> Column:  # where the edge passes the border, within its own ends
+            x = e["ax"] + (y - e["ay"]) * dx / dy
+            return F.greatest(F.least(x, east), west)
+
+        down = x_at(F.greatest(F.least(e["ay"], e["by"]), low))
+        up = x_at(F.least(F.greatest(e["ay"], e["by"]), high))
+        # a level edge passes no border; one cell more on either side for rounding
+        x0 = F.when(dy != 0, F.least(down, up)).otherwise(west)
+        x1 = F.when(dy != 0, F.greatest(down, up)).otherwise(east)
+        lo = F.greatest(F.ceil((x0 - left) / gx).cast("int") - 2, first)
+        hi = F.least(F.floor((x1 - left) / gx).cast("int") + 1, last)
+        return F.filter(
+            _sequence(lo, hi),
+            lambda c: _edge_meets_box(e, left + c * gx, low, left + (c + 1) * gx, high),
         )
 
-    return F.exists(edge_list, edge_meets) | contains_point(edge_list, minx, miny)
+    crossings = row_crossings(edge_list, low)
+    pairs = _sequence(F.lit(0), F.size(crossings) - 2, 2)
+
+    def run(k: Column) -> Column:
+        lo = F.ceil((F.get(crossings, k) - left) / gx).cast("int")
+        hi = F.ceil((F.get(crossings, k + 1) - left) / gx).cast("int") - 1
+        return _sequence(F.greatest(lo, first), F.least(hi, last))
+
+    return F.array_distinct(
+        F.concat(F.flatten(F.transform(edge_list, along)), F.flatten(F.transform(pairs, run)))
+    )
 
 
 def box_overlap_area(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -15,6 +15,7 @@ from gridloom.operators.grid import densify, with_axis
 from gridloom.session import balance
 
 WORD = 62  # planes kept in one 64-bit word
+FAN = 32  # parts a piece of a polygon is cut into at a time
 
 
 def with_geometry(features: DataFrame, ring: str = "ring") -> DataFrame:
@@ -39,40 +40,59 @@ def _touched(lo: Column, hi: Column, g: float) -> Column:
     return F.sequence((F.ceil(lo / g) - 1).cast("int"), F.floor(hi / g).cast("int"))
 
 
+def polygon_bands(features: DataFrame, maxy: Column, gy: float) -> DataFrame:
+    """One row per (polygon, row of cells ``r``) that meet, with the edges that meet the row.
+
+    A polygon is cut by way of coarser rows, each step with the edges its parent has kept, so
+    an edge is looked at some ``FAN`` times a step and not once for every row of the polygon.
+    The rows are dealt evenly over the cluster at the end, before the real work: neither a huge
+    polygon, nor a crowded place, nor a coarse input file stays in one task.
+    """
+    gy = float(gy)
+    bands = features.withColumn("top_", maxy)
+    rows = _touched(F.col("top_") - F.col("maxy"), F.col("top_") - F.col("miny"), gy)
+    bands = bands.withColumn("r", F.get(rows, F.lit(0))).withColumn("upto_", F.element_at(rows, -1))
+    for height in (FAN**3, FAN**2, FAN, 1):
+        parts = F.sequence(
+            F.floor(F.col("r") / height).cast("int"), F.floor(F.col("upto_") / height).cast("int")
+        )
+        bands = bands.withColumn("part_", F.explode(parts))
+        lo = F.greatest(F.col("part_") * height, "r")
+        hi = F.least(F.col("part_") * height + (height - 1), "upto_")
+        high, low = F.col("top_") - lo * gy, F.col("top_") - (hi + 1) * gy
+        near = F.filter(
+            "edges",
+            lambda e: (F.greatest(e["ay"], e["by"]) >= low) & (F.least(e["ay"], e["by"]) <= high),
+        )
+        whole = (lo == F.col("r")) & (hi == F.col("upto_")) if height > 1 else F.lit(False)
+        bands = bands.withColumns(
+            {"edges": F.when(whole, F.col("edges")).otherwise(near), "r": lo, "upto_": hi}
+        )
+    return balance(bands.drop("part_", "upto_", "top_"))
+
+
 def polygon_cells(
     features: DataFrame, minx: Column, maxy: Column, gy: float, gx: float
 ) -> DataFrame:
     """One row per (polygon, grid cell) that intersect, touching included.
 
-    Needs the columns of :func:`with_geometry`.  A polygon is cut into rows of cells and the
-    rows are dealt evenly over the cluster before the edge tests, which are the real work:
-    neither a huge polygon, nor a crowded place, nor a coarse input file stays in one task.
-    ``edges`` of the result are those that meet the row of cells.
+    Needs the columns of :func:`with_geometry`.  The rows of cells of :func:`polygon_bands` are
+    cut into cells by :func:`rings.cells_in_band`, in time linear in edges and cells.  ``edges`` of
+    the result are those that meet the row of cells.
     """
     gy, gx = float(gy), float(gx)
-    placed = features.withColumn("left_", minx).withColumn("top_", maxy)
-    rows = _touched(F.col("top_") - F.col("maxy"), F.col("top_") - F.col("miny"), gy)
-    cols = _touched(F.col("minx") - F.col("left_"), F.col("maxx") - F.col("left_"), gx)
-    bands = placed.withColumn("r", F.explode(rows))
-    # a row of cells is tested against the edges that meet it and no others, and ships only those
+    bands = polygon_bands(features, maxy, gy).withColumn("left_", minx).withColumn("top_", maxy)
     high = F.col("top_") - F.col("r") * gy
-    near = F.filter(
-        "edges",
-        lambda e: (F.greatest(e["ay"], e["by"]) >= high - gy) & (F.least(e["ay"], e["by"]) <= high),
-    )
-    cells = balance(bands.withColumn("edges", near)).withColumn("c", F.explode(cols))
-    # corners as columns: the edge test below mentions them many times
-    cells = cells.withColumn("top_", F.col("top_") - F.col("r") * gy).withColumn(
-        "left_", F.col("left_") + F.col("c") * gx
+    cols = _touched(F.col("minx") - F.col("left_"), F.col("maxx") - F.col("left_"), gx)
+    bands = bands.withColumns({
+        "high_": high, "low_": high - gy, "first_": F.get(cols, F.lit(0)), "last_": F.element_at(cols, -1),
+    })
+    met = rings.cells_in_band(
+        F.col("edges"), F.col("left_"), F.col("low_"), F.col("high_"), gx, F.col("first_"), F.col("last_")
     )
-    top, left = F.col("top_"), F.col("left_")
-    # a polygon within one cell meets it; only the others need the edge test
-    within = (
-        (F.col("minx") >= left) & (F.col("maxx") <= left + gx)
-        & (F.col("maxy") <= top) & (F.col("miny") >= top - gy)
+    return bands.withColumn("c", F.explode(met)).drop(
+        "left_", "top_", "high_", "low_", "first_", "last_"
     )
-    hit = within | rings.touches_box(F.col("edges"), left, top - gy, left + gx, top)
-    return cells.where(hit).drop("left_", "top_")
 
 
 def _corner(bounds: DataFrame) -> tuple[Column, Column]:
@@ -135,16 +155,15 @@ def burned_pixels(
 ) -> DataFrame:
     """Distinct ``(*by, yi, xi)`` whose pixel centre lies inside a polygon.
 
-    A polygon is cut along the tile grid first (:func:`polygon_cells` deals the pieces), so
-    neither one huge polygon nor one crowded tile is expanded in a single task.
+    A polygon is cut into rows of ``tile`` pixels first (:func:`polygon_bands` deals the pieces), so
+    neither one huge polygon nor one crowded place is expanded in a single task.
     ``distinct=False`` leaves repeats in for a caller that merges them itself.
     ``extent`` is ``(height, width)`` of the raster; pixels outside it are never made.
     """
     s = float(scale)
-    span = tile * s
     left, top = F.lit(float(minx)), F.lit(float(maxy))
-    wanted = features.select(*by, "minx", "miny", "maxx", "maxy", "edges")
-    pieces = polygon_cells(wanted, left, top, span, span)
+    wanted = features.select(*by, "miny", "maxy", "edges")
+    pieces = polygon_bands(wanted, top, tile * s)
     # pixel centres sit half a pixel inside the corner labels
     y_lo = F.greatest(
         F.ceil((top - F.col("maxy")) / s - 0.5).cast("int"), F.col("r") * tile, F.lit(0)
@@ -152,14 +171,12 @@ def burned_pixels(
     y_hi = F.least(
         F.floor((top - F.col("miny")) / s - 0.5).cast("int"), F.col("r") * tile + tile - 1
     )
-    first, last = F.col("c") * tile, F.col("c") * tile + tile - 1
     if extent is not None:
         y_hi = F.least(y_hi, F.lit(extent[0] - 1))
-        last = F.least(last, F.lit(extent[1] - 1))
     rows = pieces.withColumn("yi", F.explode(F.when(y_lo <= y_hi, F.sequence(y_lo, y_hi))))
     # one crossing test per row, not per pixel: runs of pixels between pairs of crossings
     crossings = rings.row_crossings(F.col("edges"), top - (F.col("yi") + 0.5) * s)
-    rows = rows.select(*by, "yi", first.alias("first_"), last.alias("last_"), crossings.alias("x_"))
+    rows = rows.select(*by, "yi", crossings.alias("x_"))
     runs = rows.withColumn(
         "k_", F.explode(F.when(F.size("x_") >= 2, F.sequence(F.lit(0), F.size("x_") - 2, F.lit(2))))
     )
@@ -167,8 +184,10 @@ def burned_pixels(
     def pixel_at(x: Column) -> Column:
         return F.ceil((x - left) / s - 0.5).cast("int")
 
-    x_lo = F.greatest(pixel_at(F.get("x_", F.col("k_"))), F.col("first_"), F.lit(0))
-    x_hi = F.least(pixel_at(F.get("x_", F.col("k_") + 1)) - 1, F.col("last_"))
+    x_lo = F.greatest(pixel_at(F.get("x_", F.col("k_"))), F.lit(0))
+    x_hi = pixel_at(F.get("x_", F.col("k_") + 1)) - 1
+    if extent is not None:
+        x_hi = F.least(x_hi, F.lit(extent[1] - 1))
     inside = runs.withColumn("xi", F.explode(F.when(x_lo <= x_hi, F.sequence(x_lo, x_hi))))
     pixels = inside.select(*by, "yi", "xi")
     return pixels.distinct() if distinct else pixels

@@ -235,3 +235,60 @@ def test_rows_of_cells_carry_only_their_edges(spark):
         )
         assert count == want
     assert sum(held.values()) < 1.1 * n
+
+
+def test_cells_of_a_large_outline_grow_with_edges_and_cells(spark):
+    """A star of 100,000 vertices over 1,000 rows of cells: whole cells come from runs, not from edge tests."""
+    n = 100_000
+    angle = 2 * math.pi * np.arange(n) / n
+    radius = 4900 + 90 * np.sin(37 * angle)
+    x, y = 5000 + radius * np.cos(angle), 5000 + radius * np.sin(angle)
+    points = [(float(a), float(b)) for a, b in zip(x, y)]
+    points.append(points[0])
+    df = spark.createDataFrame([(1, points)], f"fid int, ring {RING}")
+    layer = polygons.with_geometry(df).drop("ring")
+    bands = polygons.polygon_bands(layer, F.lit(10000.0), 10.0)
+    held = bands.select(F.size("edges").alias("n"), F.spark_partition_id().alias("p")).collect()
+    assert len(held) >= 990 and sum(r.n for r in held) < 1.2 * n
+    assert len({r.p for r in held}) > 1
+    cells = polygons.polygon_cells(layer, F.lit(0.0), F.lit(10000.0), 10.0, 10.0)
+    got = {}
+    for r in cells.groupBy("r").agg(F.count("c").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).collect():
+        got[r.r] = (r.n, r.lo, r.hi)
+    # the outline meets a row in one run of cells
+    low, high = np.minimum(y, np.roll(y, -1)), np.maximum(y, np.roll(y, -1))
+    for row in range(100, 900, 50):
+        bottom, top = 10000 - 10 * (row + 1), 10000 - 10 * row
+        met = (high >= bottom) & (low <= top)
+        inside = met & (y >= bottom) & (y <= top)
+        lo, hi = math.floor(x[inside].min() / 10), math.floor(x[inside].max() / 10)
+        count, first, last = got[row]
+        assert count == last - first + 1
+        assert abs(first - lo) <= 1 and abs(last - hi) <= 1
+
+
+def test_long_edges_and_level_edges(spark):
+    """Slanted edges over many cells and rows, level and upright edges on and beside the borders."""
+    rng = random.Random(5)
+    shapes = [
+        [(0.0, 0.0), (990.0, 13.0), (0.0, 26.0), (0.0, 0.0)],
+        [(5.0, 300.0), (995.0, 300.0), (995.0, 310.0), (5.0, 310.0), (5.0, 300.0)],
+        [(200.0, 0.0), (200.0, 600.0), (230.0, 600.0), (230.0, 0.0), (200.0, 0.0)],
+        [(7.0, 7.0), (7.0, 7.0)],
+        *[[(rng.uniform(0, 1000), rng.uniform(0, 600)) for _ in range(3)] for _ in range(30)],
+    ]
+    shapes = [s if s[0] == s[-1] else s + s[:1] for s in shapes]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(shapes)], f"fid int, ring {RING}")
+    cells = polygons.polygon_cells(polygons.with_geometry(df), F.lit(0.0), F.lit(600.0), 10.0, 20.0)
+    rows = cells.select("fid", "r", "c").collect()
+    got = {(r.fid, r.r, r.c) for r in rows}
+    assert len(got) == len(rows)
+    for k, s in enumerate(shapes):
+        xs, ys = [p[0] for p in s], [p[1] for p in s]
+        want = {
+            (k, r, c)
+            for r in range(int((600 - max(ys)) // 10) - 1, int((600 - min(ys)) // 10) + 2)
+            for c in range(int(min(xs) // 20) - 1, int(max(xs) // 20) + 2)
+            if touches(s, (c * 20, 600 - (r + 1) * 10, (c + 1) * 20, 600 - r * 10))
+        }
+        assert {g for g in got if g[0] == k} == want, k
