@@ -167,28 +167,35 @@ def cells_in_band(
     Cell ``c`` spans ``left + c * gx`` to ``left + (c + 1) * gx`` between ``low`` and ``high``.  Every
     edge names the few cells along its own way through the band and is tested on those alone.  A
     cell that no edge meets is inside as a whole or outside as a whole, so the crossings of the
-    lower border give the rest as runs, without a test per cell.
+    lower border give the rest as runs, without a test per cell.  ``edge_list`` holds edges that meet
+    the row.
     """
-    def along(e: Column) -> Column:
+    def passage(e: Column) -> Column:
         dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
         west, east = F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])
 
         def x_at(y: Column) -> Column:  # where the edge passes the border, within its own ends
-            x = e["ax"] + (y - e["ay"]) * dx / dy
-            return F.greatest(F.least(x, east), west)
+            return F.greatest(F.least(e["ax"] + (y - e["ay"]) * dx / dy, east), west)
 
         down = x_at(F.greatest(F.least(e["ay"], e["by"]), low))
         up = x_at(F.least(F.greatest(e["ay"], e["by"]), high))
-        # a level edge passes no border; one cell more on either side for rounding
-        x0 = F.when(dy != 0, F.least(down, up)).otherwise(west)
-        x1 = F.when(dy != 0, F.greatest(down, up)).otherwise(east)
-        lo = F.greatest(F.ceil((x0 - left) / gx).cast("int") - 2, first)
-        hi = F.least(F.floor((x1 - left) / gx).cast("int") + 1, last)
-        return F.filter(
+        return F.struct(  # a level edge passes no border
+            e.alias("e"),
+            F.when(dy != 0, down).otherwise(west).alias("p"),
+            F.when(dy != 0, up).otherwise(east).alias("q"),
+        )
+
+    def along(way: Column) -> Column:
+        # the hundredth of a cell is for rounding: the test below is exact
+        lo = F.greatest(F.ceil((F.least(way["p"], way["q"]) - left) / gx - 1.01).cast("int"), first)
+        hi = F.least(F.floor((F.greatest(way["p"], way["q"]) - left) / gx + 0.01).cast("int"), last)
+        tested = F.filter(
             _sequence(lo, hi),
-            lambda c: _edge_meets_box(e, left + c * gx, low, left + (c + 1) * gx, high),
+            lambda c: _edge_meets_box(way["e"], left + c * gx, low, left + (c + 1) * gx, high),
         )
+        return F.when(lo == hi, F.array(lo)).otherwise(tested)
 
+    ways = F.transform(edge_list, passage)
     crossings = row_crossings(edge_list, low)
     pairs = _sequence(F.lit(0), F.size(crossings) - 2, 2)
 
@@ -197,9 +204,11 @@ def cells_in_band(
         hi = F.ceil((F.get(crossings, k + 1) - left) / gx).cast("int") - 1
         return _sequence(F.greatest(lo, first), F.least(hi, last))
 
-    return F.array_distinct(
-        F.concat(F.flatten(F.transform(edge_list, along)), F.flatten(F.transform(pairs, run)))
+    met = F.array_distinct(
+        F.concat(F.flatten(F.transform(ways, along)), F.flatten(F.transform(pairs, run)))
     )
+    # within one column of cells, whatever meets the row meets its cell
+    return F.when(first == last, F.when(F.size(edge_list) > 0, F.array(first))).otherwise(met)
 
 
 def box_overlap_area(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -15,7 +15,6 @@ from gridloom.operators.grid import densify, with_axis
 from gridloom.session import balance
 
 WORD = 62  # planes kept in one 64-bit word
-FAN = 32  # parts a piece of a polygon is cut into at a time
 
 
 def with_geometry(features: DataFrame, ring: str = "ring") -> DataFrame:
@@ -43,8 +42,8 @@ def _touched(lo: Column, hi: Column, g: float) -> Column:
 def polygon_bands(features: DataFrame, maxy: Column, gy: float) -> DataFrame:
     """One row per (polygon, row of cells ``r``) that meet, with the edges that meet the row.
 
-    A polygon is cut by way of coarser rows, each step with the edges its parent has kept, so
-    an edge is looked at some ``FAN`` times a step and not once for every row of the polygon.
+    A polygon over ``n`` rows is cut into some ``sqrt(n)`` pieces and these into their rows, each with
+    the edges its parent has kept, so an edge is looked at some ``2 * sqrt(n)`` times and not ``n``.
     The rows are dealt evenly over the cluster at the end, before the real work: neither a huge
     polygon, nor a crowded place, nor a coarse input file stays in one task.
     """
@@ -52,23 +51,21 @@ def polygon_bands(features: DataFrame, maxy: Column, gy: float) -> DataFrame:
     bands = features.withColumn("top_", maxy)
     rows = _touched(F.col("top_") - F.col("maxy"), F.col("top_") - F.col("miny"), gy)
     bands = bands.withColumn("r", F.get(rows, F.lit(0))).withColumn("upto_", F.element_at(rows, -1))
-    for height in (FAN**3, FAN**2, FAN, 1):
-        parts = F.sequence(
-            F.floor(F.col("r") / height).cast("int"), F.floor(F.col("upto_") / height).cast("int")
-        )
-        bands = bands.withColumn("part_", F.explode(parts))
-        lo = F.greatest(F.col("part_") * height, "r")
-        hi = F.least(F.col("part_") * height + (height - 1), "upto_")
+    n = F.col("upto_") - F.col("r") + 1
+    for height in (F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.least(n, F.lit(4))), F.lit(1)):
+        bands = bands.withColumn("step_", height)
+        bands = bands.withColumn("from_", F.explode(F.sequence("r", "upto_", "step_")))
+        lo, hi = F.col("from_"), F.least(F.col("from_") + F.col("step_") - 1, "upto_")
         high, low = F.col("top_") - lo * gy, F.col("top_") - (hi + 1) * gy
         near = F.filter(
             "edges",
             lambda e: (F.greatest(e["ay"], e["by"]) >= low) & (F.least(e["ay"], e["by"]) <= high),
         )
-        whole = (lo == F.col("r")) & (hi == F.col("upto_")) if height > 1 else F.lit(False)
+        whole = (lo == F.col("r")) & (hi == F.col("upto_"))
         bands = bands.withColumns(
             {"edges": F.when(whole, F.col("edges")).otherwise(near), "r": lo, "upto_": hi}
         )
-    return balance(bands.drop("part_", "upto_", "top_"))
+    return balance(bands.drop("from_", "step_", "upto_", "top_"))
 
 
 def polygon_cells(
@@ -77,7 +74,7 @@ def polygon_cells(
     """One row per (polygon, grid cell) that intersect, touching included.
 
     Needs the columns of :func:`with_geometry`.  The rows of cells of :func:`polygon_bands` are
-    cut into cells by :func:`rings.cells_in_band`, in time linear in edges and cells.  ``edges`` of
+    cut into cells by :func:`rings.cells_in_band`, whose time grows with edges and cells.  ``edges`` of
     the result are those that meet the row of cells.
     """
     gy, gx = float(gy), float(gx)
