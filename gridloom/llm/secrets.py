@@ -24,6 +24,8 @@ FAST = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]{20,}"  # what the models judge
 WORD = "[A-Za-z0-9+/_=-]{6,}"  # what the model of ordinary strings learns from
+PART = "[A-Za-z]{2,}"  # what identifiers are put together from
+PARTS = 4  # words from one start of an identifier to the next
 SAMPLE_DOCS = 20_000  # documents the model of ordinary strings is fitted on, about
 BLOCK = 256
 SCALE = 1000  # model values are whole thousandths of a bit
@@ -106,6 +108,24 @@ class MarkovModels:
         return total / F.lit(float(SCALE))
 
 
+def _identifiers(texts: DataFrame) -> DataFrame:
+    """Ordinary identifiers: neighbouring words of a text in the styles that programs and paths use.
+
+    Every word of a text is used; identifiers overlap by one word, so that each join of two words is
+    seen in every style.
+    """
+    words = texts.select(F.regexp_extract_all("text", F.lit(PART), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(PARTS))
+    runs = words.select(F.explode(F.transform(starts, lambda i: F.slice("w", i, PARTS + 1))).alias("w"))
+    lower, upper = (F.transform("w", f) for f in (F.lower, F.upper))
+    pascal = F.array_join(F.transform("w", lambda w: F.initcap(w)), "")
+    styles = [F.array_join(lower, mark) for mark in "_-/"] + [
+        F.array_join(upper, "_"), pascal, F.concat(F.lower(F.substring(pascal, 1, 1)), F.substr(pascal, F.lit(2))),
+    ]
+    rules = [F.lit(mark * PARTS) for mark in "+/_=-"]  # lines drawn with one character
+    return runs.select(F.explode(F.array(*styles, *rules)).alias("t"))
+
+
 def _pair_counts(tokens: DataFrame) -> dict[str, int]:
     """Counts of neighbouring characters; at most the square of the alphabet reaches the driver."""
     at = F.sequence(F.lit(1), F.length("t") - 1)
@@ -143,7 +163,8 @@ def fit_models(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_
     Random strings: the distinct values that the base patterns find in all texts, mixed half
     and half with the uniform distribution, so that alphabets not seen still count as random.
     Ordinary strings: words outside base matches in about ``sample_docs`` texts, chosen by the
-    hash of the text; each distinct text and word of a text counts.  Without any text both
+    hash of the text, and identifiers (snake, kebab, path, constant, camel case) and drawn lines put
+    together from neighbouring words of the same texts; each occurrence counts.  Without any text both
     models are uniform and nothing but base spans is found.
     """
     texts = df.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
@@ -159,7 +180,8 @@ def fit_models(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_
     for kind in ("access", "hex"):
         rest = rest.select(F.regexp_replace("text", FAST[kind], " ").alias("text"))
     words = rest.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("t"))
-    random, plain = _log_model(_pair_counts(values), 0.5), _log_model(_pair_counts(words), 1e-4)
+    ordinary = words.unionByName(_identifiers(rest))
+    random, plain = _log_model(_pair_counts(values), 0.5), _log_model(_pair_counts(ordinary), 1e-4)
     return MarkovModels(tuple(
         round(SCALE * (r - o)) for rs, os in zip(random, plain) for r, o in zip(rs, os)
     ))
@@ -167,7 +189,7 @@ def fit_models(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_
 
 def with_spans(
     df: DataFrame, models: MarkovModels, text_col: str = "text", out: str = "spans",
-    min_bits: float = 24.0, bits_per_char: float = 1.0,
+    min_bits: float = 24.0, bits_per_char: float = 2.5,
 ) -> DataFrame:
     """Add ``out``: sorted array of ``(start, ord, end, kind, value)``, base spans and model spans.
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -90,3 +92,32 @@ def test_empty(empty):
 def test_no_python_in_the_plan(cases, models):
     plan = S.secret_scan(cases, models)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# held out: none of these strings is learned from
+IDENTIFIERS = [
+    "thisIsAnOrdinaryCamelCaseName", "some-very-long-kebab-case-name", "MAX_RETRY_BUFFER_SIZE_LIMIT",
+    "src/main/java/org/example/project/Handler", "AbstractSingletonProxyFactoryBean",
+    "get_user_account_by_identifier", "usr/local/share/applications/default",
+    "HttpRequestHandlerRegistration", "internationalization-and-localization",
+    "compute_weighted_average_of_columns", "node_modules/webpack/lib/optimize",
+    "onBeforeUnloadEventListenerCallback", "DEFAULT_CONNECTION_TIMEOUT_SECONDS",
+    "xmlHttpRequestResponseParser", "project_2024_quarterly_report_final",
+    "kubernetes-cluster-autoscaler-policy", "_" * 40, "=" * 60, "-" * 24,
+]
+
+
+def test_identifiers_and_random_strings(spark, models):
+    rng = random.Random(17)
+    drawn = [
+        "".join(rng.choice(alphabet) for _ in range(rng.randrange(24, 41)))
+        for alphabet in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits)
+        for _ in range(100)
+    ]
+    df = spark.createDataFrame(
+        [(k, f"see {t} here") for k, t in enumerate(IDENTIFIERS + drawn)], "doc_id long, text string"
+    )
+    hits = {r.doc_id for r in S.secret_scan(df, models).collect() if "markov" in r.spans}
+    false = [IDENTIFIERS[k] for k in sorted(hits) if k < len(IDENTIFIERS)]
+    assert false == []
+    assert len(hits) >= 0.98 * len(drawn)
