@@ -25,7 +25,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]{20,}"  # what the models judge
 WORD = "[A-Za-z0-9+/_=-]{6,}"  # what the model of ordinary strings learns from
 PART = "[A-Za-z]{2,}"  # what identifiers are put together from
-PARTS = 4  # words from one start of an identifier to the next
 SAMPLE_DOCS = 20_000  # documents the model of ordinary strings is fitted on, about
 BLOCK = 256
 SCALE = 1000  # model values are whole thousandths of a bit
@@ -109,30 +108,45 @@ class MarkovModels:
 
 
 def _identifiers(texts: DataFrame) -> DataFrame:
-    """Ordinary identifiers: neighbouring words of a text in the styles that programs and paths use.
+    """Strings ``t`` and how often ``n`` they stand in ordinary identifiers made of neighbouring words.
 
-    Every word of a text is used; identifiers overlap by one word, so that each join of two words is
-    seen in every style.
+    Every word of a text and every join of two words is counted first, then spelled in the styles
+    that programs and paths use; drawn lines of one character come with the joins.
     """
-    words = texts.select(F.regexp_extract_all("text", F.lit(PART), F.lit(0)).alias("w")).where(F.size("w") > 1)
-    starts = F.sequence(F.lit(1), F.size("w"), F.lit(PARTS))
-    runs = words.select(F.explode(F.transform(starts, lambda i: F.slice("w", i, PARTS + 1))).alias("w"))
-    lower, upper = (F.transform("w", f) for f in (F.lower, F.upper))
-    pascal = F.array_join(F.transform("w", lambda w: F.initcap(w)), "")
-    styles = [F.array_join(lower, mark) for mark in "_-/"] + [
-        F.array_join(upper, "_"), pascal, F.concat(F.lower(F.substring(pascal, 1, 1)), F.substr(pascal, F.lit(2))),
-    ]
-    rules = [F.lit(mark * PARTS) for mark in "+/_=-"]  # lines drawn with one character
-    return runs.select(F.explode(F.array(*styles, *rules)).alias("t"))
+    words = texts.select(F.regexp_extract_all("text", F.lit(PART), F.lit(0)).alias("w"))
+    n = F.count(F.lit(1)).alias("n")
+    parts = words.select(F.explode("w").alias("w")).groupBy(F.lower("w").alias("w")).agg(n)
+    count = F.size("w") - 1
+    joined = F.zip_with(
+        F.slice("w", F.lit(1), count), F.slice("w", F.lit(2), count),
+        lambda a, b: F.lower(F.concat(F.right(a, F.lit(1)), F.left(b, F.lit(1)))),
+    )
+    joins = words.where(count > 0).select(F.explode(joined).alias("j")).groupBy("j").agg(n)
+    last, first = F.substring("j", 1, 1), F.substring("j", 2, 1)
+    low, up, cap = F.col("w"), F.upper("w"), F.initcap("w")
+    spelled = F.array(low, low, low, up, cap, cap)  # three marks, constants, two kinds of camel case
+    camel = F.concat(last, F.upper(first))
+    marked = F.array(
+        *[F.concat(last, F.lit(mark), first) for mark in "_-/"], F.upper(F.concat(last, F.lit("_"), first)),
+        camel, camel, *[F.lit(mark * 2) for mark in "+/_=-"],
+    )
+    return parts.select(F.explode(spelled).alias("t"), "n").unionByName(
+        joins.select(F.explode(marked).alias("t"), "n")
+    )
 
 
 def _pair_counts(tokens: DataFrame) -> dict[str, int]:
-    """Counts of neighbouring characters; at most the square of the alphabet reaches the driver."""
+    """Counts of neighbouring characters in strings ``t`` that stand ``n`` times each.
+
+    Equal strings are counted before they are taken apart; at most the square of the alphabet
+    reaches the driver.
+    """
     at = F.sequence(F.lit(1), F.length("t") - 1)
-    pairs = tokens.where(F.length("t") > 1).select(
-        F.explode(F.transform(at, lambda i: F.substr(F.col("t"), i, F.lit(2)))).alias("pair")
+    counted = tokens.where(F.length("t") > 1).groupBy("t").agg(F.sum("n").alias("n"))
+    pairs = counted.select(
+        F.explode(F.transform(at, lambda i: F.substr(F.col("t"), i, F.lit(2)))).alias("pair"), "n"
     )
-    return {r.pair: r.n for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
 def _log_model(counts: dict[str, int], uniform: float) -> list[list[float]]:
@@ -173,6 +187,7 @@ def fit_models(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_
         long = _spans(long, "text", order, kind, FAST.get(kind, pattern), group, least, f"{kind}_")
     found = F.concat(*[F.col(f"{kind}_") for kind, *_ in BASE])
     values = long.select(F.explode(found).alias("s")).select(F.col("s.value").alias("t")).distinct()
+    values = values.withColumn("n", F.lit(1))
     n = texts.count()
     share = F.lit(min(1.0, sample_docs / max(n, 1)))
     drawn = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) < share * 1_000_003
@@ -180,6 +195,7 @@ def fit_models(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_
     for kind in ("access", "hex"):
         rest = rest.select(F.regexp_replace("text", FAST[kind], " ").alias("text"))
     words = rest.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("t"))
+    words = words.withColumn("n", F.lit(1))
     ordinary = words.unionByName(_identifiers(rest))
     random, plain = _log_model(_pair_counts(values), 0.5), _log_model(_pair_counts(ordinary), 1e-4)
     return MarkovModels(tuple(
