@@ -12,32 +12,50 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm.common import clean, once
 
-BUCKETS = 1 << 14  # hashed n-grams
-ORDERS = (1, 2, 3)  # lengths in UTF-8 bytes of lower-case text
+BUCKETS = 1 << 15  # hashed n-grams
+ORDERS = (1, 2, 3)  # lengths in characters (code points) of lower-case text
+CHUNK = 1 << 20  # n-grams of a text that are hashed at once
 PER_LANGUAGE = 600  # training texts drawn for each language, about
 EPOCHS = 3
 _LETTER = re.compile(r"[^\W\d_]")
-# lower-case letters stay, all other ASCII becomes a word border
-_FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def grams(text: str) -> np.ndarray:
-    """Bucket of every n-gram of the text, one entry per occurrence."""
-    folded = b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
-    x = np.frombuffer(b" " + folded + b" ", dtype=np.uint8).astype(np.uint32)
-    out = []
-    code = np.zeros(len(x), dtype=np.uint32)
-    for n in range(1, max(ORDERS) + 1):
-        code = code[: len(x) - n + 1] * np.uint32(257) + x[n - 1 :]
-        if n in ORDERS:
-            mixed = (code + np.uint32(n << 26)) * np.uint32(2654435761)
-            out.append(mixed >> np.uint32(32 - BUCKETS.bit_length() + 1))
-    return np.concatenate(out) if len(x) > 2 else np.empty(0, dtype=np.uint32)
+def fold(text: str) -> np.ndarray:
+    """Code points of the lower-case text; every run of ASCII other than letters is one space.
+
+    A space stands at either end.  Lower-case ASCII letters and all other characters stay.
+    """
+    x = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    border = (x < 128) & ((x < 97) | (x > 122))
+    x = np.where(border, np.uint32(32), x)
+    return x[np.append(True, ~(border[1:] & border[:-1]))]
+
+
+def gram_counts(text: str) -> np.ndarray:
+    """How often an n-gram of the text falls into each bucket.
+
+    An n-gram is read as a number of 21 bits a character, so different n-grams are different numbers;
+    a long text is counted in chunks of n-grams.
+    """
+    x = fold(text).astype(np.uint64)
+    longest = max(ORDERS)
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    if len(x) < 3:
+        return out
+    for lo in range(0, len(x), CHUNK):
+        part = x[lo : lo + CHUNK + longest - 1]
+        code, starts = np.zeros(len(part), dtype=np.uint64), []
+        for n in range(1, min(longest, len(part)) + 1):
+            code = (code[: len(part) - n + 1] << np.uint64(21)) | part[n - 1 :]
+            if n in ORDERS:
+                starts.append(code[:CHUNK])
+        mixed = np.concatenate(starts) * np.uint64(0x9E3779B97F4A7C15)
+        out += np.bincount((mixed >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64), minlength=BUCKETS)
+    return out
 
 
-def weigh(buckets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weigh(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sparse TF-IDF vector of unit length: sublinear term counts times ``idf``."""
-    counts = np.bincount(buckets, minlength=0)
     at = np.flatnonzero(counts)
     values = (1.0 + np.log(counts[at])) * idf[at]
     norm = np.sqrt((values * values).sum())
@@ -64,7 +82,7 @@ class LanguageModel:
         """Most likely language and its calibrated probability; ties go to the first in order."""
         if not isinstance(text, str) or not self.languages or not _LETTER.search(text):
             return "und", 0.0
-        p = softmax(self.logits(*weigh(grams(text), self.idf)) / self.temperature)
+        p = softmax(self.logits(*weigh(gram_counts(text), self.idf)) / self.temperature)
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
@@ -128,7 +146,7 @@ def _document_frequency(texts: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for frame in batches:
             for t in clean(frame["text"]):
-                total[np.unique(grams(t))] += 1
+                total += gram_counts(t) > 0
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
@@ -168,7 +186,7 @@ def fit_language(
 
     def run(batches):
         for frame in batches:
-            made = [weigh(grams(t), idf) for t in clean(frame["text"])]
+            made = [weigh(gram_counts(t), idf) for t in clean(frame["text"])]
             yield pd.DataFrame({
                 "id": frame["id_"].astype(str), "lang": frame["lang"],
                 "at": [a.astype("int32") for a, _ in made],
@@ -202,7 +220,8 @@ def has_letter(text: str | Column) -> Column:
 def predict_language(text: str | Column, model: LanguageModel) -> Column:
     """Struct ``(lang_pred, score)`` of every whole text; ``und``, 0 for NULL or without a letter.
 
-    Only the text is read, so repeated rows get one result and other columns play no part.
+    Only the text is read, so repeated rows get one result and other columns play no part.  Very long
+    texts are read whole, in chunks of n-grams.
     """
 
     @F.pandas_udf("lang_pred string, score double")

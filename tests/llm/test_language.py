@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -46,3 +48,67 @@ def test_empty(empty):
 def test_temperature():
     logits = np.array([[4.0, 0.0], [4.0, 0.0], [0.0, 4.0], [4.0, 0.0]])
     assert L.calibrate(logits, np.array([0, 0, 1, 1])) > 1
+
+
+def bucket(gram):
+    """The bucket of one n-gram, a character at a time."""
+    code = 0
+    for c in gram:
+        code = code << 21 | ord(c)
+    return (code * 0x9E3779B97F4A7C15 % 2**64) >> (65 - L.BUCKETS.bit_length())
+
+
+def slow_counts(text):
+    kept = " "
+    for c in text.lower() + " ":
+        c = c if "a" <= c <= "z" or ord(c) > 127 else " "
+        if c != " " or kept[-1] != " ":
+            kept += c
+    if kept == " ":
+        return Counter()
+    return Counter(bucket(kept[k : k + n]) for n in L.ORDERS for k in range(len(kept) - n + 1))
+
+
+def slow_predict(text, model):
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    weights = {b: (1 + math.log(n)) * model.idf[b] for b, n in slow_counts(text).items()}
+    norm = math.sqrt(sum(v * v for v in weights.values()))
+    z = [
+        (sum(v / norm * model.weights[b, k] for b, v in weights.items()) + model.bias[k]) / model.temperature
+        for k in range(len(model.languages))
+    ]
+    e = [math.exp(v - max(z)) for v in z]
+    best = max(range(len(e)), key=lambda k: (e[k], -k))
+    return model.languages[best], e[best] / sum(e)
+
+
+def test_scores_equal_a_reference_scorer(awkward, docs):
+    model = L.fit_language(docs)
+    for rows in (predict(awkward, model), predict(docs.limit(60), model)):
+        for r in rows:
+            lang, score = slow_predict(r.text, model)
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-9
+
+
+def test_grams_are_of_characters():
+    for text in ("日本語 テキスト", "naïve 𝒳 ΟΔΟΣ", "A-b  c", "é", ""):
+        want = slow_counts(text)
+        got = L.gram_counts(text)
+        assert {int(b): int(got[b]) for b in np.flatnonzero(got)} == dict(want)
+
+
+def test_chunks_do_not_change_a_long_text(monkeypatch):
+    text = "Ein langer Text, 日本語 and more. " * 300
+    whole = L.gram_counts(text)
+    for chunk in (1, 7, 1000):
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        assert np.array_equal(L.gram_counts(text), whole)
+
+
+def test_a_text_of_some_megabytes(spark, docs):
+    model = L.fit_language(docs)
+    text = docs.where("lang is not null and text is not null").first().text
+    long = (text + " ") * (4_000_000 // len(text))
+    rows = predict(spark.createDataFrame([(1, long), (2, text)], "doc_id long, text string"), model)
+    assert len({r.lang_pred for r in rows}) == 1
