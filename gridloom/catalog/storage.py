@@ -70,6 +70,25 @@ def s1_files(i):
     return rounded(out, "minx", "miny", "maxx", "maxy")
 
 
+@query(
+    "s1_feature_collection",
+    f"""SELECT fid, label, yr, CAST(4 AS INT) AS vertices, {s6('x0')} AS minx, {s6('y0')} AS miny,
+               {s6('x0 + w')} AS maxx, {s6('y0 + h')} AS maxy FROM {{features}}""",
+)
+def s1_collection(i):
+    """The layer as FeatureCollection files, read back line by line."""
+    point = F.transform("ring", lambda p: F.format_string("[%.6f,%.6f]", p["x"], p["y"]))
+    text = F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.array_join(point, ","), F.lit("]]}"))
+    path = scratch_path(i.spark, "collection")
+    layers.write_geojson(i.polygons.select("fid", "label", "yr", text.alias("geometry")), path, "geometry")
+    kinds = i.features.select("fid", "label", "yr").schema.fields
+    properties = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+    layer = polygons.with_geometry(layers.read_geojson(i.spark, path, properties, by_line=True)).select(
+        "fid", "label", "yr", F.size("ring").alias("vertices"), "minx", "miny", "maxx", "maxy"
+    )
+    return rounded(layer, "minx", "miny", "maxx", "maxy")
+
+
 def stored_cube(i) -> str:
     path = scratch_path(i.spark, "cube")
     cubes.write_tiles(cubes.as_float(i.cube, BANDS).select("tile_id", "t", "yi", "xi", *BANDS), path)

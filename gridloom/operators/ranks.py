@@ -119,7 +119,7 @@ def _bucketed(df: DataFrame, keys: list[str], seed: int, epoch: int, digits: int
 
 
 def _bucket_offsets(bucketed: DataFrame) -> DataFrame:
-    """Rows before each bucket; at most ``16 ** digits`` rows, whatever the table's size."""
+    """Rows before each bucket; one row for each of them, whatever the table's size."""
     sizes = bucketed.groupBy("bucket_").agg(F.count(F.lit(1)).alias("size_"))
     running = W.orderBy("bucket_").rowsBetween(W.unboundedPreceding, W.currentRow)
     return sizes.withColumn("start_", F.sum("size_").over(running) - F.col("size_")).withColumn(
@@ -172,13 +172,23 @@ def hash_sample(
     )
 
 
-def dimension(df: DataFrame, column: str, index_col: str) -> DataFrame:
+def dimension(df: DataFrame, column: str, index_col: str, buckets: int = 256) -> DataFrame:
     """Sorted distinct values of a dimension column with their zero-based position.
 
-    Distinct values are merged on the map side; what is ranked is the dimension itself
-    (labels, dates, time steps), not the data.
+    Distinct values are merged on the map side.  Those of least hash, ``buckets - 1`` of them, cut the
+    order into buckets that are ranked side by side and shifted by the values before them.  A value's
+    bucket follows from the set of values alone, so a task that runs again puts it in the same place.
+    NULL has no position.
     """
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return distinct.withColumn(
-        index_col, (F.dense_rank().over(W.orderBy(column)) - 1).cast("int")
+    few = distinct.orderBy(F.xxhash64(column), column).limit(buckets - 1)  # bounded by ``buckets``
+    cuts = few.agg(F.sort_array(F.collect_list(column)).alias("cuts_")).scalar()
+    below = F.filter("cuts_", lambda c: c <= F.col(column))
+    placed = distinct.withColumn("cuts_", cuts).select(column, F.size(below).alias("bucket_"))
+    offsets = _bucket_offsets(placed).select("bucket_", "start_")
+    inside = W.partitionBy("bucket_").orderBy(column)
+    return (
+        placed.join(F.broadcast(offsets), "bucket_")  # at most ``buckets`` rows
+        .withColumn(index_col, (F.col("start_") + F.row_number().over(inside) - 1).cast("int"))
+        .select(column, index_col)
     )

@@ -29,19 +29,63 @@ def read_features(spark: SparkSession, path: str, geometry: str = "ring") -> Dat
     return df.withColumnRenamed(geometry, "ring")
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, properties: str, by_line: bool = False) -> DataFrame:
     """The features of FeatureCollection files; ``properties`` is a DDL schema.
 
-    Geometries stay text until they are parsed, so polygons and multi-polygons can mix.
+    Geometries stay text until they are parsed, so polygons and multi-polygons can mix.  A file is
+    read whole by one task unless its features stand on lines of their own, as most writers lay
+    them out: with ``by_line`` a file is split at its lines like any text.  A feature that does not
+    stand on one line is an error then, so none is lost.
     """
-    schema = f"features array<struct<properties: struct<{properties}>, geometry: string>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    rows = raw.select(F.explode("features").alias("f"))
+    if by_line:
+        features = _features_of_lines(spark.read.text(path), properties)
+    else:
+        schema = f"features array<struct<properties: struct<{properties}>, geometry: string>>"
+        raw = spark.read.schema(schema).option("multiLine", True).json(path)
+        features = raw.select(F.explode("features").alias("f"))
     return _with_ring(
-        rows.select("f.properties.*", parts_from_geojson(F.col("f.geometry")).alias("parts"))
+        features.select("f.properties.*", parts_from_geojson(F.col("f.geometry")).alias("parts"))
     )
 
 
+def _features_of_lines(lines: DataFrame, properties: str) -> DataFrame:
+    """Features ``f`` of the lines of FeatureCollection files; the lines around them give none."""
+    schema = f"array<struct<type: string, properties: struct<{properties}>, geometry: string>>"
+    body = F.regexp_replace("value", r"^\s+|\s*,?\s*$", "")
+    read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), schema)
+    found = F.filter(read, lambda f: f["type"] == "Feature")
+    names_one = F.col("value").rlike(r'"type"\s*:\s*"Feature"')
+    broken = F.raise_error(F.concat(F.lit("not one feature a line: "), F.substring("value", 1, 200)))
+    kept = lines.select("value", found.alias("found")).select(
+        F.when(names_one & (F.coalesce(F.size("found"), F.lit(0)) < 1), broken.cast(schema))
+        .otherwise(F.col("found")).alias("found")
+    )
+    return kept.select(F.explode("found").alias("f"))
+
+
+def write_geojson(df: DataFrame, path: str, geometry: str) -> None:
+    """FeatureCollection files of GeoJSON text ``geometry``, all other columns as properties.
+
+    Every task writes a whole collection with one feature a line; an empty one holds none.
+    """
+    rest = F.to_json(F.struct(*[c for c in df.columns if c != geometry]), {"ignoreNullFields": "false"})
+    shape = F.coalesce(F.regexp_replace(geometry, r"[\r\n]+", " "), F.lit("null"))
+    line = F.concat(
+        F.lit('{"type":"Feature","properties":'), rest, F.lit(',"geometry":'), shape, F.lit("}")
+    )
+
+    def framed(frames):
+        yield pd.DataFrame({"value": ['{"type":"FeatureCollection","features":[']})
+        held = []  # the last line so far: only it has no comma
+        for frame in frames:
+            lines = held + frame["value"].tolist()
+            held = lines[-1:]
+            yield pd.DataFrame({"value": [x + "," for x in lines[:-1]]}, dtype=object)
+        yield pd.DataFrame({"value": [*held, "]}"]})
+
+    df.select(line.alias("value")).mapInPandas(framed, "value string").write.text(path)
+
+
 def with_positions(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
     """The rows of a stored layer with their place in it, counted from 0 over its files by name.
 

@@ -191,6 +191,69 @@ def test_readers_agree(spark, layer, tmp_path):
     assert {r.label for r in read} == {"x"}
 
 
+def shape_of(k):
+    return [(float(k), 0.0), (float(k), 2.0), (k + 1.0, 2.0), (float(k), 0.0)]
+
+
+def test_a_large_collection_is_read_by_several_tasks(spark, tmp_path):
+    rows = [(k, json.dumps({"type": "Polygon", "coordinates": [shape_of(k)]}),
+             None if k % 5 == 0 else 'a "type": "Feature", b\n{') for k in range(3000)]
+    rows.append((3000, None, "no shape"))
+    layer = spark.createDataFrame(rows, "fid int, geometry string, label string")
+    path = str(tmp_path / "one")
+    layers.write_geojson(layer.coalesce(1), path, "geometry")
+    (file,) = (tmp_path / "one").glob("part-*")
+    assert len(json.loads(file.read_text())["features"]) == 3001
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        read = layers.read_geojson(spark, path, "fid int, label string", by_line=True)
+        tasks = {r.p for r in read.select(F.spark_partition_id().alias("p")).distinct().collect()}
+        got = {r.fid: r for r in read.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(tasks) > 3 and len(got) == 3001
+    for k, _, label in rows:
+        assert got[k].label == label
+        assert got[k].ring is None if k == 3000 else [(p.x, p.y) for p in got[k].ring] == shape_of(k)
+    whole = layers.read_geojson(spark, path, "fid int, label string")
+    assert {r.fid: r.ring for r in whole.collect()} == {k: r.ring for k, r in got.items()}
+
+
+def test_features_in_any_layout_are_read_or_refused(spark, tmp_path):
+    features = [{"properties": {"fid": k}, "geometry": {"type": "Polygon", "coordinates": [shape_of(k)]},
+                 "type": "Feature"} for k in range(4)]
+    one = [json.dumps(f) for f in features]
+    head = '{\n"type": "FeatureCollection",\n"name": "x",\n"features": [\n'
+    fine = {"lines": head + ",\n".join(one) + "\n]\n}\n", "crlf": head + " ,\r\n".join(one) + "\r\n] }",
+            "two a line": head + ", ".join(one[:2]) + ",\n" + ", ".join(one[2:]) + "\n]}"}
+    collection = {"type": "FeatureCollection", "features": features}
+    refused = {"one line": json.dumps(collection), "pretty": json.dumps(collection, indent=1),
+               "cut": head + one[0] + ',\n{"type": "Feature", "properties": {"fid": 1'}
+    for name, text in {**fine, **refused}.items():
+        file = tmp_path / f"{name}.json"
+        file.write_text(text, newline="")
+        read = layers.read_geojson(spark, str(file), "fid int", by_line=True)
+        if name in fine:
+            assert sorted(r.fid for r in read.collect()) == [0, 1, 2, 3], name
+        else:
+            with pytest.raises(Exception, match="not one feature a line"):
+                read.collect()
+
+
+@pytest.mark.parametrize("buckets", [2, 5, 256])
+def test_positions_of_a_dimension(spark, buckets):
+    from gridloom.operators.ranks import dimension
+
+    values = [None, "", "a", "b", "a", "é", "B", *(f"v{k % 700}" for k in range(2000))]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = dimension(df, "v", "idx", buckets).collect()
+    want = sorted({v for v in values if v is not None}, key=lambda v: v.encode())
+    assert sorted((r.idx, r.v) for r in got) == list(enumerate(want))
+    assert dimension(df.where("v is null"), "v", "idx", buckets).collect() == []
+
+
 def test_holes_and_several_parts(spark, tmp_path):
     square = lambda lo, hi: [(lo, lo), (hi, lo), (hi, hi), (lo, hi), (lo, lo)]
     parts = [[square(0.0, 100.0), square(30.0, 70.0)], [square(120.0, 150.0)]]
