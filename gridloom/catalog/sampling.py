@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog.base import CHUNKS, G, SCALE, WIDTH, query, r6, rounded, s6
 from gridloom.catalog.grids import chunks_of
-from gridloom.operators import sampling, temporal
+from gridloom.operators import sampling
 from gridloom.operators.ranks import lookup_join
 
 
@@ -70,13 +70,8 @@ def q4(i):
     marked = sampling.split_by_list(i.cube, i.splits, ["tile_id", "t"]).select(
         "yi", "xi", "t", F.col("t").alias("t_in"), "split", r6("b1").alias("b1")
     )
-    return sampling.per_split(
-        marked,
-        {
-            "train": [lambda d: temporal.reverse_time(d, 7)],
-            "validate": [],
-            "test": [lambda d: d.withColumn("b1", F.lit(0.0))],
-        },
+    return sampling.per_split_columns(
+        marked, {"train": [{"t": (6 - F.col("t")).cast("int")}], "validate": [], "test": [{"b1": F.lit(0.0)}]}
     )
 
 

@@ -120,21 +120,38 @@ def _summary(where: str, step: str) -> str:
       FROM sim"""
 
 
+def _contrasted(i):
+    negatives = F.array(F.reverse("emb_a"), F.reverse("emb_b"))
+    rows = i.embedding_pairs.withColumn("step", (F.col("label") % 3).cast("int")).withColumn("negatives", negatives)
+    return pairs.contrastive_scores(rows, "emb_a", "emb_b", "negatives", 0.1)
+
+
 @query(
     "a23_contrastive_summary",
     _summary("WHERE neg.step = sim.step", "sim.step") + " GROUP BY sim.step UNION ALL " + _summary("", "-1"),
     NCE,
 )
 def a23(i):
-    negatives = F.array(F.reverse("emb_a"), F.reverse("emb_b"))
-    rows = i.embedding_pairs.withColumn("step", (F.col("label") % 3).cast("int")).withColumn("negatives", negatives)
-    scored = pairs.contrastive_scores(rows, "emb_a", "emb_b", "negatives", 0.1)
+    scored = _contrasted(i)
     per_step = pairs.contrastive_summary(scored, "step")
     overall = pairs.contrastive_summary(scored).withColumn("step", F.lit(-1))
     both = per_step.unionByName(overall)
     return rounded(both, *[c for c in both.columns if c != "step"])
 
 
+@query(
+    "a23_contrastive_steps",
+    "SELECT " + ", ".join(
+        f"(SELECT {s6('avg(pos)')} FROM sim WHERE step = {k}) AS pos_sim_{k + 1}, "
+        f"(SELECT {s6('avg(s)')} FROM neg WHERE step = {k}) AS neg_sim_{3 - k}" for k in range(3)
+    ),
+    NCE,
+)
+def a23_steps(i):
+    out = pairs.contrastive_steps(_contrasted(i), "step", 3)
+    return rounded(out, *out.columns)
+
+
 @query("m2_projection")
 def m2(i):
     model = models.fit_projection(i.embedding_pairs, "emb_a")

@@ -176,6 +176,22 @@ def contrastive_summary(
     )
 
 
+def contrastive_steps(scored: DataFrame, step: str, steps: int) -> DataFrame:
+    """One row with the mean similarity of each prediction step 0 to ``steps - 1``.
+
+    Positives are named forward, ``pos_sim_1`` for step 0; negatives backward, ``neg_sim_1`` for the
+    last step, because their steps count down to the anchor.  A step without rows gives NULL.
+    """
+    negs = F.col("neg_sims")
+    at = lambda k, c: F.when(F.col(step) == k, c)
+    means = {}
+    for k in range(steps):
+        means[f"pos_sim_{k + 1}"] = F.avg(at(k, F.col("pos_sim")))
+        size = F.sum(at(k, F.size(negs)))
+        means[f"neg_sim_{steps - k}"] = F.sum(at(k, V.total(negs))) / F.nullif(size, F.lit(0))
+    return scored.agg(*[c.alias(name) for name, c in means.items()])
+
+
 def drop_invalid(df: DataFrame, columns: list[str]) -> DataFrame:
     """Drop a row from all aligned columns when any derived value is missing or NaN."""
     return df.dropna(subset=columns)

@@ -79,6 +79,25 @@ def per_split(df: DataFrame, chains: dict[str, list], split: str = "split") -> D
     return out
 
 
+def per_split_columns(
+    df: DataFrame, chains: dict[str, list[dict[str, Column]]], split: str = "split"
+) -> DataFrame:
+    """Each split's own chain of column changes in one pass over the rows.
+
+    A step maps column names to their new expressions over the columns as the step before left them.
+    Rows of a split without a chain are dropped, as in ``per_split``.
+    """
+    out = df.where(F.col(split).isin(list(chains)))
+    for k in range(max(map(len, chains.values()), default=0)):
+        changed: dict[str, Column] = {}
+        for name, chain in chains.items():
+            for column, expression in (chain[k] if k < len(chain) else {}).items():
+                otherwise = changed.get(column, F.col(column))
+                changed[column] = F.when(F.col(split) == name, expression).otherwise(otherwise)
+        out = out.withColumns(changed)
+    return out
+
+
 def with_choice(
     df: DataFrame, keys: list[str], n: int, seed: int, epoch: int = 0, out: str = "choice"
 ) -> DataFrame:

@@ -608,3 +608,27 @@ def test_positions_follow_the_files(spark, tmp_path):
     rows = features.with_positions(spark, path).collect()
     assert sorted((r.position, r.fid) for r in rows) == [(k, 3 * k) for k in range(997)]
     assert features.with_positions(spark, path).columns == ["fid", "position"]
+
+
+def test_split_chains_in_one_pass_equal_chains_one_by_one(spark, tmp_path):
+    rows = [(k, float(k), ["train", "validate", "test", "other", None][k % 5]) for k in range(100)]
+    spark.createDataFrame(rows, "t int, b double, split string").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    t, b = F.col("t"), F.col("b")
+    chains = {"train": [{"t": 99 - t, "b": b + t}, {"b": b * t}], "validate": [], "test": [{"c": t + 1}, {"t": t * 2}]}
+    df = df.withColumn("c", F.lit(None).cast("int"))
+    one = sampling.per_split_columns(df, chains)
+    several = sampling.per_split(
+        df, {name: [lambda d, s=step: d.withColumns(s) for step in chain] for name, chain in chains.items()})
+    assert sorted(map(repr, one.select(df.columns).collect())) == sorted(map(repr, several.select(df.columns).collect()))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert plan(one).count("FileScan") == 1 and plan(several).count("FileScan") == 3
+    assert sampling.per_split_columns(df, {}).collect() == []
+
+
+def test_step_means_count_negatives_from_the_last_step(spark):
+    rows = [(0, 1.0, [2.0, 4.0]), (0, 3.0, [6.0]), (1, 5.0, []), (5, 100.0, [100.0]), (None, 9.0, [9.0])]
+    scored = spark.createDataFrame(rows, "step int, pos_sim double, neg_sims array<double>")
+    (row,) = pairs.contrastive_steps(scored, "step", 3).collect()
+    assert row.asDict() == {"pos_sim_1": 2.0, "neg_sim_3": 4.0, "pos_sim_2": 5.0, "neg_sim_2": None,
+                            "pos_sim_3": None, "neg_sim_1": None}
