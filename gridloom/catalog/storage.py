@@ -89,9 +89,14 @@ def s1_collection(i):
     return rounded(layer, "minx", "miny", "maxx", "maxy")
 
 
+def write_cube(cube, path: str) -> None:
+    stored = cubes.as_float(cube, BANDS).select("tile_id", "t", "yi", "xi", *BANDS)
+    cubes.write_tiles(stored, path, tiles=cubes.tiles_per_folder(8 * 8))
+
+
 def stored_cube(i) -> str:
     path = scratch_path(i.spark, "cube")
-    cubes.write_tiles(cubes.as_float(i.cube, BANDS).select("tile_id", "t", "yi", "xi", *BANDS), path)
+    write_cube(i.cube, path)
     return path
 
 
@@ -119,7 +124,7 @@ def s5(i):
     again = i.cube.where("t = 2").withColumn("b1", F.lit(-1.0))
     # writing the tiles of one step again replaces those tiles only, and is safe to repeat
     for _ in range(2):
-        cubes.write_tiles(cubes.as_float(again, BANDS).select("tile_id", "t", "yi", "xi", *BANDS), path)
+        write_cube(again, path)
     return cubes.read_cube(i.spark, path).select("tile_id", "t", "yi", "xi", "b1")
 
 

@@ -1,11 +1,14 @@
-"""Cube tables: parquet partitioned by tile and time step."""
+"""Cube tables: parquet partitioned by tile, or block of tiles, and time step."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions.vectors import nan_to_null
-from gridloom.session import spread
+from gridloom.session import cut, spread
+
+FOLDER_PIXELS = 1 << 16
 
 
 def tile_of(yi: Column, xi: Column, height: int, width: int, across: int | Column) -> Column:
@@ -22,25 +25,61 @@ def as_float(df: DataFrame, bands: list[str]) -> DataFrame:
     return df.withColumns({b: F.col(b).cast("float") for b in bands})
 
 
-def write_tiles(df: DataFrame, path: str, partition: tuple[str, ...] = ("tile_id", "t")) -> None:
+def tiles_per_folder(pixels: int) -> int:
+    """Tiles of so many pixels that one folder holds: some 65,536 pixels together, one tile at least."""
+    return max(1, FOLDER_PIXELS // pixels)
+
+
+def write_tiles(
+    df: DataFrame, path: str, partition: tuple[str, ...] = ("tile_id", "t"), tiles: int = 1
+) -> None:
     """Write whole tiles; writing a tile again replaces that tile and no other.
 
-    Rows of one partition are brought together first, so each tile is one file.  A tile has
-    a bounded number of pixels, which bounds the task; the tiles spread over all tasks.
+    A folder holds ``tiles`` neighbouring tiles of one step as one file, since a folder for each small
+    tile costs more than its pixels: numbers ``k * tiles`` to ``(k + 1) * tiles - 1`` lie under
+    ``block_=k``.  Tiles have a bounded number of pixels, which bounds the task; the folders spread over
+    all tasks.  Where a folder is written again, the tiles that are not replaced are copied into its new
+    file.  A stored table is written with the same ``tiles`` each time.
     """
+    folders = partition
+    if tiles > 1:
+        tile, *rest = partition
+        folders = ("block_", *rest)
+        df = df.withColumn("block_", F.floor(F.col(tile) / tiles).cast("int"))
+        stored = _stored(df.sparkSession, path)
+        if stored is not None:
+            df = cut(df)  # looked up below and written
+            touched = _only(stored, df, folders, "left_semi")
+            df = df.unionByName(_only(touched, df, (*folders, tile), "left_anti").select(df.columns))
     (
-        spread(df, *partition)
-        .sortWithinPartitions(*partition)
+        spread(df, *folders)
+        .sortWithinPartitions(*folders, *(partition if tiles > 1 else ()))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition)
+        .partitionBy(*folders)
         .parquet(path)
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing or no file there
+            return None
+        raise
+
+
+def _only(df: DataFrame, other: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """Rows of ``df`` whose keys ``other`` has or lacks; NULL keys are keys like others."""
+    k = other.select(*[F.col(c).alias(f"k_{c}") for c in keys]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in keys]
+    return df.join(k, same, how)
+
+
 def read_cube(spark: SparkSession, path: str | None) -> DataFrame | None:
     """Lazy scan of a cube, or ``None`` for an optional cube without a path."""
-    return None if path is None else spark.read.parquet(path)
+    return None if path is None else spark.read.parquet(path).drop("block_")
 
 
 def with_labels(imagery: DataFrame, labels: DataFrame | None, on: list[str], value: str) -> DataFrame:

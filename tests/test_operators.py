@@ -504,6 +504,25 @@ def test_rewriting_tiles_is_idempotent(spark, tmp_path):
     assert cubes.read_cube(spark, None) is None
 
 
+def test_small_tiles_share_folders_and_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    rows = [(k % 9 if k % 9 < 8 else None, t, k, float(k)) for k in range(18) for t in (0, 1, None)]
+    df = spark.createDataFrame(rows, "tile_id int, t int, k int, v double")
+    cubes.write_tiles(df, path, tiles=4)
+    assert len(list((tmp_path / "cube").glob("block_=*/t=*"))) == 9  # two blocks and none, two steps and none
+    before = {(r.tile_id, r.t, r.k): r.v for r in cubes.read_cube(spark, path).collect()}
+    assert before == {r[:3]: r[3] for r in rows}
+    part = df.where("tile_id = 1 OR tile_id IS NULL AND t = 0").withColumn("v", F.lit(-1.0))
+    for _ in range(2):
+        cubes.write_tiles(part, path, tiles=4)
+    after = {(r.tile_id, r.t, r.k): r.v for r in cubes.read_cube(spark, path).collect()}
+    again = {(r.tile_id, r.t, r.k) for r in part.collect()}
+    assert after == {key: -1.0 if key in again else v for key, v in before.items()}
+    cubes.write_tiles(df.where("tile_id = 5 AND k = 5"), path, tiles=4)  # a tile is replaced whole
+    assert cubes.read_cube(spark, path).where("tile_id = 5").count() == 3
+    assert cubes.read_cube(spark, path).count() == df.count() - 3
+
+
 def test_merge_keeps_keys_of_both_sides(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
     new = spark.createDataFrame([("b", 5), ("c", 7)], "k string, n int")
