@@ -10,7 +10,7 @@ from gridloom.functions.indices import ndvi
 from gridloom.operators import grid, models, patches, polygons, stats
 from gridloom.operators.composites import median_composite, medoid_composite
 from gridloom.operators.masks import clear_pixels
-from gridloom.sources.cubes import as_float, tile_of, write_tiles
+from gridloom.sources.cubes import as_float, tile_of, tiles_per_folder, write_tiles
 
 BANDS = ["b1", "b2", "b3", "b4", "b5", "b6"]
 
@@ -47,7 +47,8 @@ def composite_tiles(
     else:
         annual = median_composite(clear, keys, bands)
     tiled = annual.withColumn("tile_id", tile_of(F.col("yi"), F.col("xi"), tile, tile, across))
-    write_tiles(as_float(tiled, bands).select("tile_id", "yr", "yi", "xi", *bands), path, ("tile_id", "yr"))
+    rows = as_float(tiled, bands).select("tile_id", "yr", "yi", "xi", *bands)
+    write_tiles(rows, path, ("tile_id", "yr"), tiles=tiles_per_folder(tile * tile))
 
 
 def statistics_documents(
