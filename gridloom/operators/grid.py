@@ -212,7 +212,10 @@ def nearest_cell(
 
 
 def patches_around(centres: DataFrame, pixels: DataFrame, size: int) -> DataFrame:
-    """Pixels within ``size // 2`` steps of each centre, joined on the cell they fall on."""
+    """Pixels within ``size // 2`` steps of each centre, joined on the cell they fall on.
+
+    The cells of the centres are never broadcast: the planner takes them for as small as the centres.
+    """
     k = size // 2
     offsets = F.sequence(F.lit(-k), F.lit(k))
     wanted = (
@@ -221,7 +224,7 @@ def patches_around(centres: DataFrame, pixels: DataFrame, size: int) -> DataFram
         .withColumn("yi", F.col("yi") + F.col("oy"))
         .withColumn("xi", F.col("xi") + F.col("ox"))
     )
-    return wanted.join(pixels, ["yi", "xi"])
+    return wanted.hint("merge").join(pixels, ["yi", "xi"])
 
 
 def thin(df: DataFrame, ry: int, rx: int) -> DataFrame:

@@ -221,6 +221,30 @@ def test_a_large_collection_is_read_by_several_tasks(spark, tmp_path):
     assert {r.fid: r.ring for r in whole.collect()} == {k: r.ring for k, r in got.items()}
 
 
+def test_a_line_of_a_collection_is_parsed_once(spark, tmp_path):
+    layer = spark.createDataFrame([(1, json.dumps({"type": "Polygon", "coordinates": [shape_of(1)]}))], "fid int, geometry string")
+    path = str(tmp_path / "one")
+    layers.write_geojson(layer, path, "geometry")
+    read = layers.read_geojson(spark, path, "fid int", by_line=True)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(properties") == 1
+    assert [r.fid for r in read.collect()] == [1]
+
+
+def test_cells_around_many_centres_are_not_broadcast(spark, tmp_path):
+    # a table of little size by its file, of nine times the rows once its cells are named
+    spark.range(2000).selectExpr("id AS fid", "CAST(id % 50 AS INT) AS yi", "CAST(id % 40 AS INT) AS xi").write.parquet(str(tmp_path / "c"))
+    centres = spark.read.parquet(str(tmp_path / "c"))
+    pixels = spark.range(2000).selectExpr("CAST(id % 50 AS INT) AS yi", "CAST(id DIV 50 AS INT) AS xi", "id AS v").repartition(4)
+    found = grid.patches_around(centres, pixels, 3)
+    rows = found.collect()
+    # row 0 and 49, column 0 and 39 lack a side
+    want = sum(1 for k in range(2000) for y in (-1, 0, 1) for x in (-1, 0, 1)
+               if 0 <= k % 50 + y < 50 and 0 <= k % 40 + x < 40)
+    assert len(rows) == want
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_features_in_any_layout_are_read_or_refused(spark, tmp_path):
     features = [{"properties": {"fid": k}, "geometry": {"type": "Polygon", "coordinates": [shape_of(k)]},
                  "type": "Feature"} for k in range(4)]
