@@ -12,7 +12,7 @@ from gridloom.catalog.base import BANDS, CHUNK, HITS, SCALE, query, r6, rounded,
 from gridloom.functions import indices, rings, vectors
 from gridloom.operators import patches, polygons
 from gridloom.plans import landcover
-from gridloom.session import scratch_path
+from gridloom.session import balance, scratch_path
 from gridloom.sources import cubes, features as layers
 
 
@@ -80,7 +80,9 @@ def s1_collection(i):
     point = F.transform("ring", lambda p: F.format_string("[%.6f,%.6f]", p["x"], p["y"]))
     text = F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.array_join(point, ","), F.lit("]]}"))
     path = scratch_path(i.spark, "collection")
-    layers.write_geojson(i.polygons.select("fid", "label", "yr", text.alias("geometry")), path, "geometry")
+    # dealt out before they become text: a file of orders has few splits, and their texts are long
+    dealt = balance(i.polygons.select("fid", "label", "yr", "ring"))
+    layers.write_geojson(dealt.select("fid", "label", "yr", text.alias("geometry")), path, "geometry")
     kinds = i.features.select("fid", "label", "yr").schema.fields
     properties = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
     layer = polygons.with_geometry(layers.read_geojson(i.spark, path, properties, by_line=True)).select(

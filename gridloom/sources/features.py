@@ -60,7 +60,8 @@ def _features_of_lines(lines: DataFrame, properties: str) -> DataFrame:
         F.when(names_one & (F.coalesce(F.size("found"), F.lit(0)) < 1), broken.cast(schema))
         .otherwise(F.col("found")).alias("found")
     )
-    return kept.select(F.explode("found").alias("f"))
+    # an inner explode would have the optimiser parse every line again in a filter of its own
+    return kept.select(F.explode_outer("found").alias("f")).where(F.col("f").isNotNull())
 
 
 def write_geojson(df: DataFrame, path: str, geometry: str) -> None:
