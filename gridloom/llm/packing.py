@@ -21,6 +21,7 @@ STEP_TOKENS = 32768  # tokens of one training step group
 END_ID = 2  # closes every document
 BLOCK_TOKENS = 2_000_000  # tokens that wait for partners at a time
 CACHE_WORDS = 400_000
+LINE_BREAK = "\u010a"  # the letter that spells its byte
 
 # white space that only Python splits on, a letter whose lower case hangs on its neighbours,
 # and the beginning of special tokens
@@ -53,26 +54,27 @@ class WordEncoder:
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Words of lower-case letters only are one group each and go straight to the merges."""
-        merge, spell = self.tokenizer.model.tokenize, self.as_bytes.pre_tokenize_str
-        return [
-            array("I", [t.id for t in merge(w if w.isascii() else spell(w)[0][0])]).tobytes()
-            for w in words
-        ]
+        merge, spelled = self.tokenizer.model.tokenize, words
+        if not all(map(str.isascii, words)):  # spelled together: a line break is none of their bytes
+            spelled = self.as_bytes.pre_tokenize_str("\n".join(words))[0][0].split(LINE_BREAK)
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in spelled]
 
     def _learn(self, words: list[str]) -> None:
         # trailing punctuation is a token group of its own behind letters
-        split = {}
+        single, split = set(), []
         for w in words:
-            m = _TAIL.fullmatch(w)
+            m = None if w.isalpha() else _TAIL.fullmatch(w)
             if m and m[1].isalpha() and m[2].isascii():
-                split[w] = m.groups()
-        parts = {p for pair in split.values() for p in pair}
-        single = [w for w in {*parts, *words} if w not in split and w not in self.known]
+                split.append((w, *m.groups()))
+                single.update(m.groups())
+            else:
+                single.add(w)
+        single.difference_update(self.known)
         letters = [w for w in single if w.isalpha()]
         others = [w for w in single if not w.isalpha()]
         self.known.update(zip(letters, self._letters(letters)))
         self.known.update(zip(others, self._direct(others)))
-        for w, (body, tail) in split.items():
+        for w, body, tail in split:
             self.known[w] = self.known[body] + self.known[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -80,23 +82,20 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         out: list = [None] * len(texts)
-        whole, late, new = [], [], set()
-        look = self.known.get
+        whole, split, new = [], [], set()
         for k, t in enumerate(texts):
             odd = any(c in t for c in _WHOLE)
             if odd or not (t.isascii() or unicodedata.is_normalized("NFC", t)):
                 whole.append(k)
                 continue
             words = t.lower().split()
-            ids = list(map(look, words))
-            if None in ids:
-                new.update(w for w, v in zip(words, ids) if v is None)
-                late.append((k, words))
-            else:
-                out[k] = b"".join(ids)
+            new.update(words)
+            split.append((k, words))
+        new.difference_update(self.known)
         if new:
             self._learn(list(new))
-        for k, words in late:
+        look = self.known.__getitem__
+        for k, words in split:
             out[k] = b"".join(map(look, words))
         for k, ids in zip(whole, self._direct([texts[k] for k in whole])):
             out[k] = ids

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from gridloom.llm.packing import TIERS, pack_documents
+from gridloom.llm.packing import TIERS, WordEncoder, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -76,3 +76,18 @@ def test_very_long_text(spark):
         assert start == at
         at += length
     assert at == 700_001
+
+
+def test_new_words_are_spelled_together_with_the_same_ids():
+    encode = WordEncoder(PATH)
+    spell, calls = encode.as_bytes, []
+
+    class Counted:
+        def pre_tokenize_str(self, text):
+            calls.append(text)
+            return spell.pre_tokenize_str(text)
+
+    encode.as_bytes = Counted()
+    texts = ["Ünïcödé ŁÓDŹ straße \u010a \u010a\u010b, 你好 ñandú! word, word.", "ไทย العربية 한국어 ʰ plain x² (ß) ñandú?", ""]
+    assert encode(texts) == WordEncoder(PATH)._direct(texts)
+    assert len(calls) == 1
