@@ -19,14 +19,16 @@ def _forest_scores(i):
     Target: pixels under more polygons of any label than the average covered pixel.
     """
     burned = polygons.burned_pixels(i.polygons, 0.0, MAXY, SCALE, ["fid"], tile=16)
-    depth = burned.groupBy("yi", "xi").agg(F.count(F.lit(1)).alias("depth"))
+    # read for the average and for the labels of both directions
+    depth = cut(burned.groupBy("yi", "xi").agg(F.count(F.lit(1)).alias("depth")))
+    cube = cut(i.cube.select("yi", "xi", "t", *BANDS))
     usual = depth.agg(F.avg("depth")).scalar()
     hits = depth.select("yi", "xi", F.when(F.col("depth") > usual, 1.0).otherwise(0.0).alias("hit"))
     tile = (F.floor(F.col("yi") / 8) * 5 + F.floor(F.col("xi") / 8)).cast("int")
     split = F.when(F.col("tile_id") % 5 == 0, "test").when(F.col("tile_id") % 5 == 1, "validate").otherwise("train")
 
     def labelled(reverse: bool):
-        rows = models.pixel_features(i.cube, ["yi", "xi"], BANDS, "t", 7, reverse=reverse)
+        rows = models.pixel_features(cube, ["yi", "xi"], BANDS, "t", 7, reverse=reverse)
         rows = rows.join(hits, ["yi", "xi"], "left").fillna({"hit": 0.0})
         return rows.withColumn("tile_id", tile).withColumn("split", split)
 

@@ -30,13 +30,17 @@ def fit_forest(
     df: DataFrame, label: str, features: str = "features", trees: int = 100, depth: int = 16,
     seed: int = 42,
 ):
-    """Random forest on array features; the trees grow distributed over the rows."""
+    """Random forest on array features; the trees grow distributed over the rows.
+
+    Every partition sends the statistics of all nodes that grow, so there are no more partitions than
+    tasks that run at a time.
+    """
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="vector", numTrees=trees, maxDepth=depth, seed=seed,
         predictionCol="prediction", cacheNodeIds=True,
     )
     data = df.withColumn("vector", array_to_vector(F.col(features)))
-    return forest.fit(data)
+    return forest.fit(data.coalesce(df.sparkSession.sparkContext.defaultParallelism))
 
 
 def apply_forest(model, df: DataFrame, features: str = "features") -> DataFrame:

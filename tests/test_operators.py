@@ -552,6 +552,16 @@ def test_steps_by_name(spark):
         registry.apply_steps(df, [{"name": "no_such_step"}])
 
 
+def test_a_forest_grows_on_no_more_partitions_than_run_at_a_time(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, data: met.append(data.rdd.getNumPartitions()))
+    rows = spark.range(0, 400, 1, 4 * spark.sparkContext.defaultParallelism).selectExpr(
+        "array(CAST(id AS DOUBLE)) AS features", "CAST(id % 2 AS DOUBLE) AS hit")
+    models.fit_forest(rows, "hit")
+    models.fit_forest(rows.coalesce(2), "hit")
+    assert met == [spark.sparkContext.defaultParallelism, 2]
+
+
 def test_forest_learns_and_reverses(spark):
     rows = [(k, 0, t, float(t if k % 2 else 6 - t)) for k in range(60) for t in range(7)]
     cube = spark.createDataFrame(rows, "yi int, xi int, t int, b double")
