@@ -10,7 +10,7 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,7 +20,8 @@ TIERS = (512, 1024, 2048, 4096)  # context sizes, each a power of two and half t
 STEP_TOKENS = 32768  # tokens of one training step group
 END_ID = 2  # closes every document
 BLOCK_TOKENS = 2_000_000  # tokens that wait for partners at a time
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000  # words looked up at hand; those of one call come on top
+TEXTS = 128  # texts encoded at a time
 LINE_BREAK = "\u010a"  # the letter that spells its byte
 
 # white space that only Python splits on, a letter whose lower case hangs on its neighbours,
@@ -35,6 +36,9 @@ class WordEncoder:
     Such a tokenizer treats every white-space-separated word alone, so the ids of a text are
     the ids of its words in a row.  Texts for which that might not hold go through the tokenizer
     as they are.
+
+    Words met since the last turnover are at hand, and those of the turnover before: words that
+    come again stay, the many that stand in one text only go.
     """
 
     def __init__(self, path: str):
@@ -43,6 +47,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -79,8 +84,8 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if 2 * len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
         out: list = [None] * len(texts)
         whole, split, new = [], [], set()
         for k, t in enumerate(texts):
@@ -92,6 +97,9 @@ class WordEncoder:
             new.update(words)
             split.append((k, words))
         new.difference_update(self.known)
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new -= again
         if new:
             self._learn(list(new))
         look = self.known.__getitem__
@@ -196,6 +204,10 @@ def pack_documents(
     """
 
     def run(batches):
+        kinds = {}
+        for c in SCHEMA.split(", "):
+            name, kind = c.split()
+            kinds[name.strip("`")] = pa.int64() if kind == "long" else pa.int32()
         encode, packer = WordEncoder(tokenizer), Packer()
         part = TaskContext.get().partitionId()
         held: dict[int, tuple] = {}  # documents with pieces that wait
@@ -224,29 +236,30 @@ def pack_documents(
                     waiting[doc] = held[doc]
             held.clear()
             held.update(waiting)
-            out = pd.DataFrame(rows, columns=[c.split()[0].strip("`") for c in SCHEMA.split(", ")])
-            # from the numbers themselves: a column with a gap would pass through floats
-            out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
-            return out
+            cols = zip(*rows) if rows else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, type=t) for c, t in zip(cols, kinds.values())], names=list(kinds)
+            )
 
         tokens = 0
-        for frame in batches:
-            texts = clean(frame["text"])
-            for lo in range(0, len(texts), 512):
-                ids_of = encode(texts[lo : lo + 512])
-                for doc_id, ids in zip(frame["doc_id"].iloc[lo : lo + 512], ids_of):
-                    ids += END_ID.to_bytes(4, "little")
-                    number = numbers["seen"]
-                    numbers["seen"] += 1
-                    held[number] = (int(doc_id) if isinstance(doc_id, str) else None, ids)
-                    fresh.append((len(ids) // 4, number, 0))
-                    tokens += len(ids) // 4
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                for at in range(0, some.num_rows, TEXTS):  # few at a time leave the batch
+                    few = some.slice(at, TEXTS)
+                    ids_of = encode(clean(few.column("text").to_pylist()))
+                    for doc_id, ids in zip(few.column("doc_id").to_pylist(), ids_of):
+                        ids += END_ID.to_bytes(4, "little")
+                        number = numbers["seen"]
+                        numbers["seen"] += 1
+                        held[number] = (doc_id, ids)
+                        fresh.append((len(ids) // 4, number, 0))
+                        tokens += len(ids) // 4
                 if tokens >= BLOCK_TOKENS:
                     yield flush(False)
                     tokens = 0
         yield flush(True)
 
-    # ids travel as text: beside a NULL a column of numbers turns into floats
-    slim = df.select(
-        F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, SCHEMA)
+    # by Arrow: whole batches of texts need no second copy as Python strings
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, SCHEMA)

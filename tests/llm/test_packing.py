@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from gridloom.llm import packing
 from gridloom.llm.packing import TIERS, WordEncoder, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -91,3 +92,21 @@ def test_new_words_are_spelled_together_with_the_same_ids():
     texts = ["Ünïcödé ŁÓDŹ straße \u010a \u010a\u010b, 你好 ñandú! word, word.", "ไทย العربية 한국어 ʰ plain x² (ß) ñandú?", ""]
     assert encode(texts) == WordEncoder(PATH)._direct(texts)
     assert len(calls) == 1
+
+
+def test_common_words_outlast_a_bounded_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 400)
+    encode, learned = WordEncoder(PATH), []
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda words: (learned.extend(words), learn(words)))
+    plain = WordEncoder(PATH)
+    for k in range(40):
+        texts = ["the common words, again!", " ".join(f"x{k}y{j}" for j in range(50))]
+        assert encode(texts) == plain._direct(texts)
+        assert len(encode.known) + len(encode.older) <= 400 + 2 * 60  # and the words of one call each
+    assert learned.count("common") == learned.count("again!") == 1
+
+
+def test_batches_of_texts_stay_in_arrow(docs):
+    plan = pack_documents(docs, PATH)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
