@@ -20,7 +20,7 @@ TIERS = (512, 1024, 2048, 4096)  # context sizes, each a power of two and half t
 STEP_TOKENS = 32768  # tokens of one training step group
 END_ID = 2  # closes every document
 BLOCK_TOKENS = 2_000_000  # tokens that wait for partners at a time
-CACHE_WORDS = 100_000  # words looked up at hand; those of one call come on top
+CACHE_WORDS = 250_000  # words at hand, up to half of them from before the last turnover
 TEXTS = 128  # texts encoded at a time
 LINE_BREAK = "\u010a"  # the letter that spells its byte
 
@@ -74,7 +74,7 @@ class WordEncoder:
                 single.update(m.groups())
             else:
                 single.add(w)
-        single.difference_update(self.known)
+        single = single.difference(self.known)
         letters = [w for w in single if w.isalpha()]
         others = [w for w in single if not w.isalpha()]
         self.known.update(zip(letters, self._letters(letters)))
@@ -96,10 +96,9 @@ class WordEncoder:
             words = t.lower().split()
             new.update(words)
             split.append((k, words))
-        new.difference_update(self.known)
-        again = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        new -= again
+        new = new.difference(self.known)  # in place it would walk through all known words
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        new = new.difference(self.known)
         if new:
             self._learn(list(new))
         look = self.known.__getitem__
