@@ -107,6 +107,49 @@ def test_common_words_outlast_a_bounded_cache(monkeypatch):
     assert learned.count("common") == learned.count("again!") == 1
 
 
+def test_words_that_come_again_in_a_call_are_looked_up_once():
+    asked = []
+
+    class Asked(dict):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+        def get(self, word, default=None):
+            asked.append(word)
+            return super().get(word, default)
+
+        def __contains__(self, word):
+            asked.append(word)
+            return super().__contains__(word)
+
+    encode = WordEncoder(PATH)
+    texts = ["The same words, again! " * 500, "the SAME words, again!", "", "again!"]
+    want = encode._direct(texts)
+    encode.known, encode.older = Asked(), Asked()
+    assert encode(texts) == want
+    assert len(asked) < 50
+
+
+def test_words_are_cut_into_groups_like_the_tokenizer():
+    texts = [
+        "it's 'state they'll o'clock 'n' 1984 3,5 a1b2 ..!? x_y __ naïve× 6÷2 ß½ €5 ʼn n’t l'été",
+        "tab\tnew\nline\r\nwide\u3000space\xa0here\x85there \x00nul\x01 del\x7f. \u0300lone ﬁ ǅ ɏ ɐ",
+        "ĊĊ Ċ. <|endoftext|> < | σΣ", "", " ", "\n", "Жизнь, 你好。 สวัสดี! 😀😀 #$%&&& ², x²",
+    ]
+    encode = WordEncoder(PATH)
+    for some in (texts, texts[::-1], *([t] for t in texts)):
+        assert encode(some) == encode._direct(some)
+    letters = [f"ab{chr(c)}cd{chr(c)} {chr(c)}" for c in range(0xD800)]
+    assert encode(letters) == encode._direct(letters)
+
+
+def test_a_letter_whose_lower_case_is_two_characters():
+    texts = ["İ\u093c İstanbul", "plain"]  # in lower case the dots change places
+    encode = WordEncoder(PATH)
+    assert encode(texts) == encode._direct(texts)
+
+
 def test_batches_of_texts_stay_in_arrow(docs):
     plan = pack_documents(docs, PATH)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
