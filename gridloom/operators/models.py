@@ -11,9 +11,12 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from gridloom.operators import forest
 from gridloom.operators.patches import flatten_pixels
 from gridloom.operators.temporal import reverse_time
 
+IN_DRIVER = 250_000  # leaves of a forest that may grow in the driver, which holds some 1 kB for each
+
 
 def pixel_features(
     cube: DataFrame, keys: list[str], bands: list[str], time: str, steps: int,
@@ -32,18 +35,28 @@ def fit_forest(
 ):
     """Random forest on array features; the trees grow distributed over the rows.
 
-    Every partition sends the statistics of all nodes that grow, so there are no more partitions than
-    tasks that run at a time.
+    MLlib keeps all nodes in the driver while it fits, and every partition sends the statistics of all
+    nodes that grow, so there are no more partitions than tasks that run at a time.  A forest that may
+    get more leaves than ``IN_DRIVER`` grows by the same rules where its rows are.
     """
-    forest = RandomForestClassifier(
+    value = F.col(label).cast("double")
+    odd = F.count_if(value.isNull() | (value < 0) | (value != F.floor(value)) | value.isNaN())
+    rows, top, odd = df.agg(F.count(F.lit(1)), F.max(value), odd).first()
+    if trees * min(2**depth, rows) > IN_DRIVER:
+        if odd or top >= 100:
+            raise ValueError(f"labels have to be whole numbers from 0 to 99, {label} has {odd} others and {top}")
+        return forest.grow(df, label, features, rows, int(top) + 1, trees, depth, seed)
+    model = RandomForestClassifier(
         labelCol=label, featuresCol="vector", numTrees=trees, maxDepth=depth, seed=seed,
         predictionCol="prediction", cacheNodeIds=True,
     )
     data = df.withColumn("vector", array_to_vector(F.col(features)))
-    return forest.fit(data.coalesce(df.sparkSession.sparkContext.defaultParallelism))
+    return model.fit(data.coalesce(df.sparkSession.sparkContext.defaultParallelism))
 
 
 def apply_forest(model, df: DataFrame, features: str = "features") -> DataFrame:
+    if isinstance(model, forest.Forest):
+        return model.transform(df, features)
     data = df.withColumn("vector", array_to_vector(F.col(features)))
     return model.transform(data).drop("vector", "rawPrediction", "probability")
 
