@@ -39,6 +39,7 @@ def _forest_scores(i):
             model, labelled(True).where("split = 'test'").withColumn("direction", F.lit("reversed"))
         )
     )
+    scored = cut(scored.drop("features"))  # each pixel goes down all trees, and is read by both scores
     image = ["split", "direction", "tile_id"]
     flat = metrics.binary_scores(scored, "prediction", "hit", by=["split", "direction"])
     likeness = (

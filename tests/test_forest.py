@@ -6,6 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from gridloom.catalog import QUERIES
 from gridloom.operators import forest, models
 
 
@@ -97,3 +98,22 @@ def test_borders():
     assert len(forest.borders_of(np.ones(5))) == 0
     borders = forest.borders_of(np.arange(320.0))
     assert borders.tolist() == [k * 10 - 0.5 for k in range(1, 32)]
+
+
+def test_pixels_go_down_the_trees_once(spark, tmp_path):
+    """Two scores read the predictions: they are stored, and neither model nor features are in the plan."""
+    n = 40 * 16
+    spark.range(12 * n).selectExpr(
+        "id AS l_orderkey", f"id % {n} AS l_partkey", "CAST(id % 7 AS INT) AS l_linenumber",
+        "CAST(1 + id % 7 AS DOUBLE) AS l_quantity", "CAST(id * 31 % 997 AS DOUBLE) AS l_extendedprice",
+        "(id % 11) / 100.0D AS l_discount", "(id % 9) / 100.0D AS l_tax", "'A' AS l_returnflag",
+        "make_timestamp_ntz(CAST(1995 + id % 5 AS INT), 6, 1, 0, 0, 0) AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(0, 4800, 5).selectExpr(
+        "id AS o_orderkey", "id * 7 % 1500 AS o_custkey", "'1-URGENT' AS o_orderpriority",
+        "make_timestamp_ntz(1996, 6, 1, 0, 0, 0) AS o_orderdate",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    out = QUERIES["m1_pixel_forest"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "MapInArrow" not in plan and "features" not in plan
+    assert sum(r.tp + r.fp + r.fn + r.tn for r in out.where("direction = 'forward'").collect()) == n
