@@ -121,7 +121,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[tuple[n
         yield np.concatenate(bins), np.concatenate(labels), np.concatenate(weights, axis=1)
 
 
-def _descend(feature: np.ndarray, border: np.ndarray, left: np.ndarray, flat: np.ndarray, base: np.ndarray) -> np.ndarray:
+def _descend(
+    feature: np.ndarray, border: np.ndarray, left: np.ndarray, flat: np.ndarray, base: np.ndarray
+) -> np.ndarray:
     """The place where each row ends: nodes with a negative ``left`` have no children."""
     at = np.zeros(len(base), dtype=np.int32)
     while True:
@@ -283,7 +285,8 @@ class Top:
         for node, here in ((2 * row.node, np.array(row.left)), (2 * row.node + 1, self.here[k] - row.left)):
             if node.bit_length() - 1 < rules.depth and _gini(here) >= EPSILON:
                 (self.waiting if here.sum() > group else self.ready).add(len(self.nodes))
-            for own, value in zip((self.nodes, self.feature, self.border, self.left, self.here), (node, 0, 0, -1, here)):
+            kept = self.nodes, self.feature, self.border, self.left, self.here
+            for own, value in zip(kept, (node, 0, 0, -1, here)):
                 own.append(value)
 
     def whole(self, below: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -431,7 +434,8 @@ def grow(
 ) -> Forest:
     """Fit on ``rows`` rows with labels from 0 to ``classes`` - 1."""
     spark = df.sparkSession
-    data = df.select(F.col(features).cast("array<double>").alias("features"), F.col(label).cast("double").alias("label"))
+    values = F.col(features).cast("array<double>").alias("features")
+    data = df.select(values, F.col(label).cast("double").alias("label"))
     some = data if rows <= SAMPLE else data.sample(SAMPLE / rows, seed)
     borders = [borders_of(v) for v in _matrix(some.select("features").toArrow()["features"]).T]
     width = len(borders)
